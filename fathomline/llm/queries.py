@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import cube, repetition
+from fathomline.llm import cube, factorisation, repetition
 from fathomline.llm.common import table
 
 
@@ -17,7 +17,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_source_mixing)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_source_mixing, op9_quality_classifier)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
