@@ -158,7 +158,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     return df
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_terms: int = 4096, min_z: float = 4.0, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1) -> Voter | float:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_terms: int = 4096, min_z: float = 4.0, min_lift: float = 4.0, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1) -> Voter | float:
     """A voter over at most ``per_class`` examples of each label, or 0.0 / 1.0 if only one label occurs."""
     sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 4000, 1: 2500})
     if set(counts) != {0, 1}:
@@ -180,7 +180,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None
         b = held[0][t]
         share = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-        if a + b >= 4 and abs(z) >= min_z:
+        r1, r0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+        if a + b >= 4 and abs(z) >= min_z and max(r1 / r0, r0 / r1) >= min_lift:
             strength[t] = abs(z)
     chosen = sorted(sorted(strength, key=lambda t: (-strength[t], t))[:max_terms])
     vocabulary = {t: i for i, t in enumerate(chosen)}
