@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and word beginnings that tell the classes apart in the labelled sample; their document frequencies are counted over all documents.
+Terms are words and word beginnings that mark label 1 in the labelled sample; their document frequencies are counted over all documents.
 The index keeps, for each term and block of examples, the largest weight. A search visits blocks by falling upper bound and stops when
 no block left can hold a nearer example, so its result is exact.
 """
@@ -29,8 +29,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def forms(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its first 4, 5 and 6 bytes (marked by a star), which stand for its inflected forms."""
-    return [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) > n)]
+    """A word's terms: itself, and its first 4 to 8 bytes (marked by a star), which stand for its inflected forms."""
+    return [word, *(word[:n] + b"*" for n in range(4, 9) if len(word) > n)]
 
 
 class TermNumbers(dict):
@@ -38,7 +38,11 @@ class TermNumbers(dict):
 
     def __init__(self, vocabulary: dict[bytes, int], most: int = 300_000) -> None:
         super().__init__()
-        self.vocabulary, self.most = vocabulary, most
+        doubles = [t[:-1] for t in vocabulary if t.endswith(b"+")]
+        self.vocabulary = {**vocabulary, **{t: len(vocabulary) + i for i, t in enumerate(sorted(t for t in doubles if t not in vocabulary))}}
+        self.doubled = {self.vocabulary[t]: vocabulary[t + b"+"] for t in doubles}
+        self.parts = {i for t, i in self.vocabulary.items() if t not in vocabulary}  # counted for their doubled term only
+        self.most = most
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
@@ -47,8 +51,13 @@ class TermNumbers(dict):
         return found
 
     def of(self, text: bytes | None) -> Counter:
-        """How often each term of the vocabulary occurs in a text."""
-        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, words_of(text)))))
+        """How often each term of the vocabulary occurs in a text. A term that occurs twice or more is also its doubled term."""
+        counts = Counter(chain.from_iterable(filter(None, map(self.__getitem__, words_of(text)))))
+        for t in [t for t, n in counts.items() if n > 1 and t in self.doubled]:
+            counts[self.doubled[t]] = 1
+        for t in [t for t in counts if t in self.parts]:
+            del counts[t]
+        return counts
 
 
 @dataclass
@@ -158,7 +167,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     return df
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_terms: int = 4096, min_z: float = 4.0, min_lift: float = 4.0, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1) -> Voter | float:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_terms: int = 4096, min_z: float = 4.0, min_lift: float = 6.0, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1) -> Voter | float:
     """A voter over at most ``per_class`` examples of each label, or 0.0 / 1.0 if only one label occurs."""
     sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 4000, 1: 2500})
     if set(counts) != {0, 1}:
@@ -173,7 +182,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None
     y = np.array([r[1] for r in rows])
     held = [Counter(), Counter()]
     for r in rows:
-        held[r[1]].update({t for w in set(r[2].split()) for t in forms(w)})
+        seen = Counter(t for w in r[2].split() for t in forms(w))
+        held[r[1]].update({*seen, *(t + b"+" for t, n in seen.items() if n > 1)})
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     strength = {}
     for t, a in held[1].items() | {(t, 0) for t in held[0] if t not in held[1]}:
@@ -181,8 +191,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None
         share = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
         r1, r0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        if a + b >= 4 and abs(z) >= min_z and max(r1 / r0, r0 / r1) >= min_lift:
-            strength[t] = abs(z)
+        if a >= 3 and z >= min_z and r1 / r0 >= min_lift:
+            strength[t] = z
     chosen = sorted(sorted(strength, key=lambda t: (-strength[t], t))[:max_terms])
     vocabulary = {t: i for i, t in enumerate(chosen)}
     total = docs.count()
