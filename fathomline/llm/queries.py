@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import cube, factorisation, neighbours, repetition
+from fathomline.llm import cube, factorisation, neighbours, repetition, substrings
 from fathomline.llm.common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,7 +29,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality_rules, op7_source_mixing, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op7_source_mixing, op9_quality_classifier)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
