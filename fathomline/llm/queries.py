@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import cube, factorisation, neighbours, repetition, substrings
+from fathomline.llm import cube, factorisation, jaccard, neighbours, repetition, substrings
 from fathomline.llm.common import table
 
 
@@ -29,7 +29,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op7_source_mixing, op9_quality_classifier)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents")).drop("node")
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
