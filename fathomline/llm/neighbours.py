@@ -214,11 +214,18 @@ def scored(docs: DataFrame, voter: Voter | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         numbers = None if isinstance(v, float) else TermNumbers(v.vocabulary)
+        memo: dict[tuple, tuple] = {}  # texts with the same few terms are searched once
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in blocks(batches):
             scores, margins, evidence = [], [], []
             for text in raw(batch):
-                margin, near, cosine = (0.0, [], []) if isinstance(v, float) else v.vote(*v.vector(numbers.of(text)))
+                counts = {} if isinstance(v, float) else numbers.of(text)
+                key = tuple(sorted(counts.items()))
+                if key not in memo:
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    memo[key] = v.vote(*v.vector(counts)) if key else (0.0, [], [])
+                margin, near, cosine = memo[key]
                 scores.append(v if isinstance(v, float) else v.score(margin))
                 margins.append(margin)
                 evidence.append([{"doc_id": int(v.ids[i]), "label": int(v.labels[i]), "cosine": float(c)} for i, c in zip(near, cosine, strict=True)])

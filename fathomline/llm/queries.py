@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import cube, factorisation, jaccard, neighbours, repetition, substrings
+from fathomline.llm import cube, factorisation, jaccard, neighbours, packing, repetition, substrings
 from fathomline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_coverage(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = cube.mixture(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
@@ -33,7 +37,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).drop("node")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op6_packing, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
