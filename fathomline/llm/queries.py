@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomline.llm import cube, factorisation, jaccard, neighbours, packing, repetition, substrings
+from fathomline.llm import cube, factorisation, jaccard, neighbours, packing, probing, repetition, substrings
 from fathomline.llm.common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probing.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents"), texts=False)
 
@@ -37,7 +42,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).drop("node")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_quality_rules, op6_packing, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_substring_dedup, op3_toxicity, op4_quality_rules, op6_packing, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
