@@ -1,18 +1,54 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from fathomline.llm import cube, factorisation, jaccard, packing, secrets
+from fathomline.llm.common import discard, staged, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores below a half go; it learns from the labels beside the documents."""
+    machine = factorisation.fitted(docs, table(spark, sf_dir, "labels"))
+    return factorisation.scored(docs, machine).filter("fm_score >= 0.5").drop("fm_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity 0.8 on 5-word shingles join, the one with the smallest id stays."""
+    return jaccard.representatives(docs, words=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are blotted out; every document stays."""
+    return secrets.redacted(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that the sources meet their target weights."""
+    return cube.mixed_documents(docs)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens, each window with the sources' shares."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources", mixing), ("packing", packs)]
+
+#: No stage but the mixing targets can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage on what the one before it kept; each is written to the shared folder and read back."""
-    from fathomline.llm.common import staged, table
-
-    docs = table(spark, sf_dir, "documents")
+    """Every stage in turn; each result is written to the shared folder and read back as the next one's documents."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

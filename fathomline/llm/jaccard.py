@@ -47,14 +47,15 @@ def misses(n: int, percent: int) -> int:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (128-bit fingerprint of the set, null for an empty set) of every row."""
+    """doc_id, row_key, n_shingles and node (128-bit fingerprint of the set, null for an empty set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             sets = [shingles(x, words) for x in raw(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([node_of(h) if len(h) else None for h in sets], pa.binary())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array([len(h) for h in sets], pa.int64()), pa.array([node_of(h) if len(h) else None for h in sets], pa.binary())], names=["doc_id", "row_key", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary")
 
 
 class ClassBlock:
@@ -166,7 +167,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, node, component_id: one row per document row. Two documents link at a Jaccard similarity of ``percent`` or more.
+    """doc_id, row_key, n_shingles, node, component_id: one row per document row. Two documents link at a Jaccard similarity of ``percent`` or more.
 
     component_id is the smallest doc_id that links reach. Null and empty texts have no set and link with nothing. Rows with a null doc_id take no
     part: their component_id is null. Rows that share an id are documents of their own. Sets are compared by 64-bit hashes of their shingles,
@@ -204,4 +205,16 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     named = named.join(lowest, "label").select("node", "component_id")
     out = rows.join(named, "node", "left")
     alone = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "node", alone.alias("component_id"))
+    return out.select("doc_id", "row_key", "n_shingles", "node", alone.alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less all but the first (by doc_id) of each group that links join; rows without words or id all stay."""
+    found = staged(linked(docs, words, percent), "jaccard-found")
+    grouped = found.dropna(subset=["doc_id", "node"])
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).select("first.*")
+    repeats = not grouped.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
+    alone = found.filter("doc_id IS NULL OR node IS NULL").select("doc_id", "row_key").distinct()
+    keep = first.unionByName(alone).distinct().select(F.col("doc_id").alias("of"), F.col("row_key").alias("key"))
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]) if repeats else rows
