@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import cube, factorisation, jaccard, neighbours, packing, probing, repetition, secrets, substrings
-from fathomline.llm.common import table
+from fathomline.llm import cube, factorisation, jaccard, neighbours, packing, probing, repetition, secrets, substrings, token_files
+from fathomline.llm.common import shared_folder, table
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path)
+    return token_files.read_tokens(spark, path, with_ids=False)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +55,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_substring_dedup, op3_toxicity, op4_quality_rules, op5_secret_scan, op6_packing, op7_source_mixing, op9_quality_classifier, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_substring_dedup, op3_toxicity, op4_quality_rules, op5_secret_scan, op6_packing, op7_source_mixing, op8_token_files, op9_quality_classifier, op10_jaccard_join)}
 
 #: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}
