@@ -35,7 +35,9 @@ class Lanes:
     def __init__(self, n: int) -> None:
         self.base = np.arange(n, dtype=np.int64) * ROWS
         self.counts = [np.zeros((n * ROWS, 16), dtype=np.int32) for _ in range(3)]
-        self.weights = np.full((3, n), 16, dtype=np.int64)
+        self.totals = [np.zeros(n * ROWS, dtype=np.int32) for _ in range(3)]
+        self.weights = np.full((3, n), 16, dtype=np.int32)
+        self.lane = np.arange(n)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
     def predict(self, a: int, prefix: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -44,29 +46,35 @@ class Lanes:
         k1 = (k0 ^ last) * PRIME
         k2 = (k1 ^ (before << np.uint64(20))) * PRIME
         self.at = [self.base[:a] + (k >> np.uint64(55)).astype(np.int64) for k in (k0, k1, k2)]
-        self.rows = [c[i] for c, i in zip(self.counts, self.at, strict=True)]
-        f = 1 + ((self.rows[0] * self.weights[0, :a, None] + self.rows[1] * self.weights[1, :a, None] + self.rows[2] * self.weights[2, :a, None]) >> 3)
-        return np.cumsum(f, axis=1, dtype=np.uint64)
+        self.rows = [c.take(i, axis=0) for c, i in zip(self.counts, self.at, strict=True)]
+        f = self.rows[0] * self.weights[0, :a, None]
+        f += self.rows[1] * self.weights[1, :a, None]
+        f += self.rows[2] * self.weights[2, :a, None]
+        f >>= 3
+        f += 1
+        return np.cumsum(f, axis=1, dtype=np.int32, out=f)
 
     def narrow(self, a: int, upper: np.ndarray, choice: np.ndarray) -> None:
         """Takes the choice's part of the range, and teaches the models."""
-        lanes = np.arange(a)
-        step = self.range[:a] // upper[:, 15]
+        lanes = self.lane[:a]
+        step = self.range[:a] // upper[:, 15].astype(np.uint64)
         high = upper[lanes, choice]
-        start = np.where(choice > 0, upper[lanes, choice - 1], np.uint64(0))
-        self.low[:a] += step * start
-        self.range[:a] = step * (high - start)
-        for k, (at, row, counts) in enumerate(zip(self.at, self.rows, self.counts, strict=True)):
-            total = row.sum(1)
-            won = 64 * row[lanes, choice] // (total + STEP)
-            w = self.weights[k]
-            w[:a] += (won - w[:a]) >> 4
-            np.maximum(w[:a], 1, out=w[:a])
-            row[lanes, choice] += STEP
-            full = total > LIMIT
-            if full.any():
-                row[full] >>= 1
-            counts[at] = row
+        start = np.where(choice > 0, upper[lanes, choice - 1], 0)
+        self.low[:a] += step * start.astype(np.uint64)
+        self.range[:a] = step * (high - start).astype(np.uint64)
+        for k, (at, row, counts, totals) in enumerate(zip(self.at, self.rows, self.counts, self.totals, strict=True)):
+            total = totals.take(at)
+            seen = row[lanes, choice]
+            w = self.weights[k, :a]
+            w += (64 * seen // (total + STEP) - w) >> 4
+            np.maximum(w, 1, out=w)
+            counts[at, choice] = seen + STEP
+            total += STEP
+            full = np.flatnonzero(total > LIMIT)
+            if len(full):
+                counts[at[full]] >>= 1
+                total[full] = counts[at[full]].sum(1)
+            totals[at] = total
 
     def shift(self, a: int) -> np.ndarray | None:
         """Lanes whose top word is settled, which is shifted out; none at the end."""
@@ -144,8 +152,7 @@ def decode_frames(coded: list[bytes]) -> list[np.ndarray]:
             prefix = np.ones(a, dtype=np.uint64)
             for _ in range(int(wide)):
                 upper = m.predict(a, prefix, last, before)
-                step = m.range[:a] // upper[:, 15]
-                value = np.minimum((code[:a] - m.low[:a]) // step, upper[:, 15] - np.uint64(1))
+                value = np.minimum((code[:a] - m.low[:a]) // (m.range[:a] // upper[:, 15].astype(np.uint64)), (upper[:, 15] - 1).astype(np.uint64)).astype(np.int32)
                 choice = (upper <= value[:, None]).sum(1)
                 m.narrow(a, upper, choice)
                 prefix = (prefix << np.uint64(4)) | choice.astype(np.uint64)
