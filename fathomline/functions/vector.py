@@ -22,15 +22,21 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def each(v: Column, number: Column, f) -> Column:
+    """f(x, number) of every part; ``number`` is worked out once a vector, not once a part."""
+    bound = F.array(F.struct(v.alias("v"), number.alias("n")))
+    return F.transform(bound, lambda s: F.transform(s["v"], lambda x: f(x, s["n"])))[0]
+
+
 def unit(v: Column) -> Column:
     """Length 1; a zero vector stays as it is."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(v)
+    return each(v, norm(v), lambda x, n: F.when(n > 0, x / n).otherwise(x))
 
 
 def centred(v: Column) -> Column:
     """Less its mean, then of length 1, so that dot products are Pearson correlations."""
-    mean = total(v) / F.size(v)
-    return unit(F.transform(v, lambda x: x - mean))
+    less = each(v, total(v) / F.size(v), lambda x, mean: x - mean)
+    return F.transform(F.array(less), unit)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
