@@ -1 +1,302 @@
-"""To come."""
+"""Triage queries: habitat, change between surveys, priority, safety, verification, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fathomline.functions import geo, score
+from fathomline.functions.score import rounded
+from fathomline.operators import joins, sequential, triage
+from fathomline.plans.registry import query
+from fathomline.plans.views import DET_SQL, FIX_SQL, SCORED_SQL, detections, fixes, table
+from fathomline.plans.survey import tiered
+
+R4 = "CAST(round(CAST({} AS DECIMAL(18,8)), 4) AS DOUBLE)"
+R6 = "CAST(round(CAST({} AS DECIMAL(18,8)), 6) AS DOUBLE)"
+
+#: Surveys are years of orders; a target is an order of the survey, its place from the keys.
+TGT_SQL = """tgt AS (SELECT o_orderkey AS id, year(o_orderdate) AS survey, o_custkey % 50 AS site, o_orderpriority AS class, CAST((o_orderkey * 31) % 500 AS INTEGER) AS x, CAST((o_orderkey * 37) % 500 AS INTEGER) AS y, o_totalprice / 500000.0 AS conf, o_orderdate AS t FROM orders)"""
+
+
+def targets(spark, d):
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("long").alias("survey"), (F.col("o_custkey") % 50).alias("site"), F.col("o_orderpriority").alias("class"), F.pmod(F.col("o_orderkey") * 31, F.lit(500)).cast("int").alias("x"),
+        F.pmod(F.col("o_orderkey") * 37, F.lit(500)).cast("int").alias("y"), (F.col("o_totalprice") / 500000.0).alias("conf"), F.col("o_orderdate").alias("t"),
+    )
+
+
+PAIR_SQL = f"{TGT_SQL}, pr AS (SELECT b.survey, b.site, a.id AS prior_id, b.id, {R4.format('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS moved FROM tgt a JOIN tgt b ON a.site = b.site AND a.class = b.class AND a.survey + 1 = b.survey AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60)"
+
+
+def pairs(spark, d):
+    return triage.change_pairs(targets(spark, d), 60.0)
+
+
+@query("j18_prior_pairs", f"WITH {PAIR_SQL} SELECT survey, prior_id, id, moved FROM pr")
+def j18(spark, d):
+    return pairs(spark, d).select("survey", "prior_id", "id", "moved")
+
+
+@query("j13_d06_assignment")
+def j13(spark, d):
+    p = pairs(spark, d).select("survey", "site", F.col("prior_id").alias("a"), F.col("id").alias("b"), F.col("moved").alias("cost"))
+    return sequential.assigned(p, ["survey", "site"])
+
+
+@query("j14_removed_targets", f"WITH {PAIR_SQL}, cover AS (SELECT survey, site, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tgt GROUP BY 1, 2) SELECT t.id, t.survey FROM tgt t JOIN cover c ON c.site = t.site AND c.survey = t.survey + 1 AND t.x BETWEEN x0 AND x1 AND t.y BETWEEN y0 AND y1 WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.prior_id = t.id)")
+def j14(spark, d):
+    t = targets(spark, d)
+    covered = triage.covered(t, triage.coverage(t))
+    return covered.join(pairs(spark, d).select(F.col("prior_id").alias("id")), "id", "left_anti").select("id", "survey")
+
+
+@query("j15_not_seen_again", f"WITH {TGT_SQL}, cover AS (SELECT survey, site, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM tgt GROUP BY 1, 2) SELECT id FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.site = t.site AND c.survey > t.survey AND t.x BETWEEN x0 AND x1 AND t.y BETWEEN y0 AND y1)")
+def j15(spark, d):
+    t = targets(spark, d)
+    c = triage.coverage(t).withColumnsRenamed({"survey": "c_survey", "site": "c_site"})
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return t.join(c, (F.col("site") == F.col("c_site")) & (F.col("c_survey") > F.col("survey")) & inside, "left_anti").select("id")
+
+
+@query("j16_recovered_overlay", f"WITH {PAIR_SQL}, rec AS (SELECT l_orderkey AS id, min(l_shipdate) AS recovered FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT t.id, CASE WHEN recovered IS NULL THEN 'open' WHEN recovered <= t.t + INTERVAL 30 DAY THEN 'recovered' ELSE 'recovered later' END AS status FROM tgt t LEFT JOIN rec USING (id)")
+def j16(spark, d):
+    rec = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_shipdate").alias("recovered"))
+    status = F.when(F.col("recovered").isNull(), "open").when(F.col("recovered") <= F.col("t") + F.expr("INTERVAL 30 DAY"), "recovered").otherwise("recovered later")
+    return targets(spark, d).join(rec, "id", "left").select("id", status.alias("status"))
+
+
+@query("j17_supersession", f"WITH {PAIR_SQL}, m AS (SELECT prior_id AS id, min(row(0, moved, id))[3] AS later FROM pr GROUP BY 1) SELECT t.id, m.later, CASE WHEN m.later IS NOT NULL THEN 'matched' WHEN t.survey = (SELECT max(survey) FROM tgt) THEN 'latest' ELSE 'removed' END AS state FROM tgt t LEFT JOIN m USING (id)")
+def j17(spark, d):
+    t = targets(spark, d)
+    later = pairs(spark, d).groupBy(F.col("prior_id").alias("id")).agg(F.min(F.struct("moved", F.col("id").alias("later")))["later"].alias("later"))
+    last = t.agg(F.max("survey").alias("last"))
+    state = F.when(F.col("later").isNotNull(), "matched").when(F.col("survey") == F.col("last"), "latest").otherwise("removed")
+    return t.join(later, "id", "left").crossJoin(F.broadcast(last)).select("id", "later", state.alias("state"))
+
+
+@query("a30_change_report", f"WITH {PAIR_SQL}, s AS (SELECT t.survey, EXISTS (SELECT 1 FROM pr WHERE pr.id = t.id) AS seen FROM tgt t) SELECT survey, count(*) FILTER (seen) AS kept, count(*) FILTER (NOT seen) AS new_targets, count(*) AS total FROM s GROUP BY survey")
+def a30(spark, d):
+    seen = pairs(spark, d).select("id").distinct().withColumn("seen", F.lit(True))
+    s = targets(spark, d).join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    return s.groupBy("survey").agg(F.count_if("seen").alias("kept"), F.count_if(~F.col("seen")).alias("new_targets"), F.count("*").alias("total"))
+
+
+@query("u01_target_pool", f"WITH {TGT_SQL} SELECT site, count(*) AS n, count(DISTINCT survey) AS surveys FROM (SELECT site, survey FROM tgt WHERE survey < 1995 UNION ALL SELECT site, survey FROM tgt WHERE survey >= 1995) GROUP BY site")
+def u01(spark, d):
+    t = targets(spark, d).select("site", "survey")
+    return t.filter("survey < 1995").unionByName(t.filter("survey >= 1995")).groupBy("site").agg(F.count("*").alias("n"), F.countDistinct("survey").alias("surveys"))
+
+
+SCORE = "0.5 * coalesce(conf, 0.5) + 0.3 * (1 - exp(-x / 200.0)) + 0.2 * greatest(0, least(1, (400.0 - y) / 300.0))"
+
+
+@query("a29_w02_priority", f"WITH {TGT_SQL}, s AS (SELECT id, survey, {R4.format(SCORE)} AS score FROM tgt) SELECT id, score, CASE WHEN score >= 0.7 THEN 'urgent' WHEN score >= 0.4 THEN 'plan' ELSE 'watch' END AS tier, row_number() OVER (PARTITION BY survey ORDER BY score DESC, id) AS rank FROM s")
+def a29(spark, d):
+    terms = {"confidence": (0.5, F.col("conf"), 0.5), "size": (0.3, score.saturating(F.col("x"), 200.0), 0.5), "shallow": (0.2, score.eased(F.col("y"), 100.0, 400.0), 0.5)}
+    rows = triage.prioritised(targets(spark, d), terms, {"urgent": 0.7, "plan": 0.4}, "watch")
+    w = Window.partitionBy("survey").orderBy(F.desc("score"), "id")
+    return rows.select("id", "score", "tier", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@query("x32_priority_recheck", f"WITH {TGT_SQL} SELECT 0 AS mismatches, count(*) AS checked FROM tgt")
+def x32(spark, d):
+    terms = {"confidence": (0.5, F.col("conf"), 0.5), "size": (0.3, score.saturating(F.col("x"), 200.0), 0.5), "shallow": (0.2, score.eased(F.col("y"), 100.0, 400.0), 0.5)}
+    rows = triage.prioritised(targets(spark, d), terms, {"urgent": 0.7, "plan": 0.4}, "watch")
+    again = F.aggregate(F.map_values("terms"), F.lit(0.0), lambda acc, t: acc + t["contribution"])
+    return rows.agg(F.count_if(F.abs(again - F.col("score")) > 0.001).cast("int").alias("mismatches"), F.count("*").alias("checked"))
+
+
+@query("w03_latest_rank", f"WITH {TGT_SQL}, l AS (SELECT *, survey = max(survey) OVER (PARTITION BY site) AS latest FROM tgt) SELECT id, CASE WHEN latest THEN row_number() OVER (PARTITION BY latest ORDER BY conf DESC, id) END AS rank FROM l")
+def w03(spark, d):
+    rows = targets(spark, d).withColumn("latest", F.col("survey") == F.max("survey").over(Window.partitionBy("site")))
+    ranked = rows.filter("latest").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("conf"), "id")).cast("long"))
+    return ranked.select("id", "rank").unionByName(rows.filter("NOT latest").select("id", F.lit(None).cast("long").alias("rank")))
+
+
+@query("o03_top_targets", f"WITH {TGT_SQL} SELECT id, survey, conf FROM tgt ORDER BY survey DESC, conf DESC, id LIMIT 30")
+def o03(spark, d):
+    return targets(spark, d).orderBy(F.desc("survey"), F.desc("conf"), "id").limit(30).select("id", "survey", "conf")
+
+
+@query("a09_target_summary", f"WITH {TGT_SQL} SELECT survey, count(*) AS n, count(*) FILTER (conf >= 0.6) AS strong, count(*) FILTER (x < 100 AND y < 100) AS near_corner FROM tgt GROUP BY survey")
+def a09(spark, d):
+    return targets(spark, d).groupBy("survey").agg(F.count("*").alias("n"), F.count_if(F.col("conf") >= 0.6).alias("strong"), F.count_if((F.col("x") < 100) & (F.col("y") < 100)).alias("near_corner"))
+
+
+@query("a31_first_sources", "SELECT o_clerk AS source, o_orderkey AS first_id FROM (SELECT o_custkey % 100 AS o_clerk, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def a31(spark, d):
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("source"), F.col("o_orderkey").alias("first_id"), "o_orderdate")
+    return joins.first_by(rows, ["source"], F.col("o_orderdate"), F.col("first_id")).select("source", "first_id")
+
+
+FEAT_SQL = "feat AS (SELECT s_suppkey AS fid, s_nationkey % 4 AS kind, 10 + (s_suppkey * 53 % 1000) / 1000.0 AS lat, 79 + (s_suppkey * 59 % 1000) / 1000.0 AS lon FROM supplier)"
+
+
+def features(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("fid"), (F.col("s_nationkey") % 4).alias("kind"), (10 + F.pmod(F.col("s_suppkey") * 53, F.lit(1000)) / 1000.0).alias("lat"), (79 + F.pmod(F.col("s_suppkey") * 59, F.lit(1000)) / 1000.0).alias("lon"))
+
+
+HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(f.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(f.lat)) * pow(sin(radians(f.lon - x.lon) / 2), 2))))"
+
+
+@query("j11_nearest_habitat", f"WITH {FIX_SQL}, {FEAT_SQL}, p AS (SELECT x.id, f.kind, f.fid, CAST(round(CAST({HAV} AS DECIMAL(18,8)), 2) AS DOUBLE) AS distance_m FROM (SELECT * FROM fix WHERE event = 'error') x JOIN feat f ON {HAV} <= 20000) SELECT id, kind, min(row(distance_m, fid))[2] AS fid, min(distance_m) AS distance_m FROM p GROUP BY 1, 2")
+def j11(spark, d):
+    f = fixes(spark, d).filter("event = 'error'").select("id", "lat", "lon")
+    near = joins.near(f, features(spark, d), 20000.0).withColumn("distance_m", rounded(F.col("distance_m"), 2))
+    return near.groupBy("id", F.col("r_kind").alias("kind")).agg(F.min(F.struct("distance_m", "r_fid"))["r_fid"].alias("fid"), F.min("distance_m").alias("distance_m"))
+
+
+@query("a25_f19_habitat_score", f"WITH {FIX_SQL}, {FEAT_SQL}, p AS (SELECT x.id, f.kind, min({HAV}) AS dist FROM (SELECT * FROM fix WHERE event = 'error') x JOIN feat f ON {HAV} <= 20000 GROUP BY 1, 2) SELECT id, {R4.format('1 - product(1 - (0.2 + kind / 10.0) * exp(-dist / 5000.0))')} AS score, count(*) AS kinds FROM p GROUP BY id")
+def a25(spark, d):
+    f = fixes(spark, d).filter("event = 'error'").select("id", "lat", "lon")
+    near = joins.near(f, features(spark, d), 20000.0).groupBy("id", F.col("r_kind").alias("kind")).agg(F.min("distance_m").alias("dist"))
+    term = score.decayed(0.2 + F.col("kind") / 10.0, F.col("dist"), 5000.0)
+    return near.groupBy("id").agg(rounded(score.any_of(F.collect_list(term)), 4).alias("score"), F.count("*").alias("kinds"))
+
+
+@query("j12_point_in_polygon", f"WITH {DET_SQL} SELECT id FROM det WHERE x + 2 * y < 4000.5 AND 2 * x + y < 4000.5 AND x > 100.5 AND y > 50.5")
+def j12(spark, d):
+    corners = [(100.5, 50.5), (1975.0, 50.5), (1333.5, 1333.5), (100.5, 1950.0)]
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in corners])
+    return detections(spark, d).filter(geo.in_ring(F.col("x"), F.col("y"), ring)).select("id")
+
+
+@query("x26_first_field", f"WITH {FIX_SQL}, box(o, s, w, n, e) AS (VALUES (1, 10.2, 79.2, 10.6, 79.6), (2, 10.0, 79.0, 10.5, 79.9), (3, 9.0, 78.0, 12.0, 81.0)) SELECT id, min(o) AS field FROM fix JOIN box ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY id")
+def x26(spark, d):
+    box = F.broadcast(spark.createDataFrame([(1, 10.2, 79.2, 10.6, 79.6), (2, 10.0, 79.0, 10.5, 79.9), (3, 9.0, 78.0, 12.0, 81.0)], "o int, s double, w double, n double, e double"))
+    return fixes(spark, d).join(box, F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))).groupBy("id").agg(F.min("o").alias("field"))
+
+
+@query("a12_quantiles", "SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY event_type")
+def a12(spark, d):
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+
+
+@query("a13_horizon_table", f"WITH s AS (SELECT l_linenumber AS horizon, l_quantity AS model, l_extendedprice / 2000.0 AS rival, l_discount < 0.05 AS inside FROM lineitem) SELECT horizon, count(*) AS n, quantile_cont(model, 0.5) AS median_model, {R6.format('avg(CASE WHEN model < rival THEN 1.0 ELSE 0.0 END)')} AS wins, {R6.format('avg(CASE WHEN inside THEN 1.0 ELSE 0.0 END)')} AS coverage, {R6.format('1 - quantile_cont(model, 0.5) / quantile_cont(rival, 0.5)')} AS reduction FROM s GROUP BY horizon")
+def a13(spark, d):
+    s = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("horizon"), F.col("l_quantity").alias("model"), (F.col("l_extendedprice") / 2000.0).alias("rival"), (F.col("l_discount") < 0.05).alias("inside"))
+    return triage.horizons(s)
+
+
+@query("a14_wilson", f"WITH s AS (SELECT l_linenumber AS g, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS n FROM lineitem GROUP BY 1), z AS (SELECT 1.959963984540054 AS z) SELECT g, {R6.format('greatest(0, (k * 1.0 / n + z * z / (2 * n) - z * sqrt(k * 1.0 / n * (1 - k * 1.0 / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n))')} AS low, {R6.format('least(1, (k * 1.0 / n + z * z / (2 * n) + z * sqrt(k * 1.0 / n * (1 - k * 1.0 / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n))')} AS high FROM s, z")
+def a14(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("g")).agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    low, high = score.wilson(F.col("k"), F.col("n"))
+    return s.select("g", rounded(low, 6).alias("low"), rounded(high, 6).alias("high"))
+
+
+@query("a23_median_background", "WITH c AS (SELECT user_id AS strip, event_type AS side, event_id % 5 AS bin, value FROM events), m AS (SELECT strip, side, bin, median(value) AS m FROM c GROUP BY 1, 2, 3) SELECT strip, side, bin, any_value(m) AS middle, greatest(median(abs(value - m)), 0.5) AS mad FROM c JOIN m USING (strip, side, bin) GROUP BY 1, 2, 3")
+def a23(spark, d):
+    c = table(spark, d, "events").select(F.col("user_id").alias("strip"), F.col("event_type").alias("side"), (F.col("event_id") % 5).alias("bin"), "value")
+    m = c.groupBy("strip", "side", "bin").agg(F.median("value").alias("middle"))
+    return c.join(m, ["strip", "side", "bin"]).groupBy("strip", "side", "bin", "middle").agg(F.greatest(F.median(F.abs(F.col("value") - F.col("middle"))), F.lit(0.5)).alias("mad"))
+
+
+@query("a24_enrichment", f"WITH g AS (SELECT user_id AS strip, avg(CASE WHEN value > 60 AND event_id % 4 = 0 THEN 1.0 WHEN event_id % 4 = 0 THEN 0.0 END) AS near, avg(CASE WHEN value > 60 AND event_id % 4 <> 0 THEN 1.0 WHEN event_id % 4 <> 0 THEN 0.0 END) AS far, count(*) FILTER (event_id % 4 = 0) AS n FROM events GROUP BY 1) SELECT strip, {R4.format('near / (far + 0.01)')} AS ratio, {R4.format('1 / (1 + exp(-(near / (far + 0.01) - 1.5) * 2))')} AS score, CASE WHEN n < 10 THEN 'too few' WHEN near / (far + 0.01) > 1.5 THEN 'raised' ELSE 'normal' END AS level FROM g WHERE near IS NOT NULL AND far IS NOT NULL")
+def a24(spark, d):
+    e = table(spark, d, "events")
+    near, strong = F.col("event_id") % 4 == 0, F.col("value") > 60
+    g = e.groupBy(F.col("user_id").alias("strip")).agg(F.avg(F.when(near, strong.cast("double"))).alias("near"), F.avg(F.when(~near, strong.cast("double"))).alias("far"), F.count_if(near).alias("n")).dropna()
+    ratio = F.col("near") / (F.col("far") + 0.01)
+    level = F.when(F.col("n") < 10, "too few").when(ratio > 1.5, "raised").otherwise("normal")
+    return g.select("strip", rounded(ratio, 4).alias("ratio"), rounded(score.sigmoid((ratio - 1.5) * 2), 4).alias("score"), level.alias("level"))
+
+
+@query("f15_f16_calibrated", f"WITH s AS (SELECT event_id, event_type, least(value / 200.0, 1.0) AS p FROM events), z AS (SELECT *, ln(greatest(least(p, 0.9999), 0.0001) / (1 - greatest(least(p, 0.9999), 0.0001))) AS z FROM s) SELECT event_id, {R6.format(chr(67) + 'ASE event_type WHEN ' + chr(39) + 'error' + chr(39) + ' THEN 1 / (1 + exp(-z / 1.7)) WHEN ' + chr(39) + 'click' + chr(39) + ' THEN 1 / (1 + exp(-(0.8 * z - 0.3))) ELSE p END')} AS p FROM z")
+def f15(spark, d):
+    rows = table(spark, d, "events").withColumn("p", F.least(F.col("value") / 200.0, F.lit(1.0)))
+    settings = F.broadcast(spark.createDataFrame([("error", "temperature", 1.7, 0.0), ("click", "platt", 0.8, -0.3)], "event_type string, kind string, a double, b double"))
+    rows = rows.join(settings, "event_type", "left")
+    return rows.select("event_id", rounded(score.calibrated(F.col("p"), F.coalesce("kind", F.lit("identity")), F.col("a"), F.col("b")), 6).alias("p"))
+
+
+@query("f17_fused_evidence", f"WITH s AS (SELECT event_id, greatest(least(least(value / 200.0, 1.0), 0.9999), 0.0001) AS p, (event_id % 10) / 10.0 AS a, (event_id % 7) / 7.0 AS b FROM events) SELECT event_id, {R4.format('100 / (1 + exp(-(ln(p / (1 - p)) + 1.2 * (a - 0.5) + 0.7 * 0.5 * (b - 0.4))))')} AS pct FROM s")
+def f17(spark, d):
+    s = table(spark, d, "events").select("event_id", F.least(F.col("value") / 200.0, F.lit(1.0)).alias("p"), ((F.col("event_id") % 10) / 10.0).alias("a"), ((F.col("event_id") % 7) / 7.0).alias("b"))
+    term = lambda c, neutral, weight, use: F.struct(F.col(c).alias("score"), F.lit(neutral).alias("neutral"), F.lit(weight).alias("weight"), F.lit(use).alias("applicability"))
+    return s.select("event_id", rounded(score.fused(F.col("p"), F.array(term("a", 0.5, 1.2, 1.0), term("b", 0.4, 0.7, 0.5))), 4).alias("pct"))
+
+
+@query("f09_f20_acoustic_geometry", f"SELECT event_id, {R4.format('sqrt(greatest((value + 5) * (value + 5) - 25, 0))')} AS ground, {R4.format('5 * (value / 10) / (value + 5 + value / 10)')} AS height, {R4.format('sqrt(5.1 * 5.1 - 25)')} AS nadir FROM events")
+def f09(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", rounded(geo.ground_range(v + 5, F.lit(5.0)), 4).alias("ground"), rounded(geo.shadow_height(F.lit(5.0), v / 10, v + 5), 4).alias("height"), rounded(geo.nadir_width(F.lit(5.0), F.lit(0.1)), 4).alias("nadir"))
+
+
+@query("f23_f24_safety", "SELECT event_id, CASE WHEN pts >= 5 THEN 'high' WHEN pts >= 3 THEN 'medium' WHEN measured >= 2 THEN 'low' ELSE 'unknown' END AS level, CASE WHEN depth IS NULL THEN 'measure depth' WHEN depth > 40 THEN 'vehicle' WHEN cur IS NULL THEN 'measure current' WHEN cur > 6 THEN 'wait' ELSE 'diver' END AS method FROM (SELECT event_id, CASE WHEN value > 100 THEN 3 WHEN value > 50 THEN 2 ELSE 0 END + CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 1 ELSE 0 END AS pts, 1 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS measured, CASE WHEN event_id % 4 > 0 THEN value END AS depth, CASE WHEN event_id % 5 > 0 THEN event_id % 10 END AS cur FROM events)")
+def f23(spark, d):
+    e = table(spark, d, "events")
+    points = F.when(F.col("value") > 100, 3).when(F.col("value") > 50, 2).otherwise(0) + F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 1).otherwise(0)
+    e = e.withColumns({"pts": points, "measured": 1 + (F.col("event_id") % 3 == 0).cast("int"), "depth": F.when(F.col("event_id") % 4 > 0, F.col("value")), "cur": F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 10)})
+    level = F.when(F.col("pts") >= 5, "high").when(F.col("pts") >= 3, "medium").when(F.col("measured") >= 2, "low").otherwise("unknown")
+    method = F.when(F.col("depth").isNull(), "measure depth").when(F.col("depth") > 40, "vehicle").when(F.col("cur").isNull(), "measure current").when(F.col("cur") > 6, "wait").otherwise("diver")
+    return e.select("event_id", level.alias("level"), method.alias("method"))
+
+
+@query("p14_p16_situations", f"WITH {TGT_SQL} SELECT id, concat_ws(',', CASE WHEN conf > 0.8 THEN 'strong' END, CASE WHEN x < 50 THEN 'near shore' END, CASE WHEN y > 450 THEN 'fairway' END) AS situations FROM tgt")
+def p14(spark, d):
+    found = F.array_compact(F.array(F.when(F.col("conf") > 0.8, "strong"), F.when(F.col("x") < 50, "near shore"), F.when(F.col("y") > 450, "fairway")))
+    return targets(spark, d).select("id", F.array_join(found, ",").alias("situations"))
+
+
+@query("p15_drift_modes", f"WITH {TGT_SQL} SELECT id, CASE WHEN class LIKE '1-%' THEN 'surface' WHEN conf < 0.2 THEN 'none' WHEN x > 250 THEN 'midwater' ELSE 'seabed' END AS mode FROM tgt")
+def p15(spark, d):
+    mode = F.when(F.col("class").startswith("1-"), "surface").when(F.col("conf") < 0.2, "none").when(F.col("x") > 250, "midwater").otherwise("seabed")
+    return targets(spark, d).select("id", mode.alias("mode"))
+
+
+@query("p18_rescored", f"WITH {SCORED_SQL} SELECT id, severity AS stored, {R4.format('least(severity * 1.25, 1)')} AS current, {R4.format('least(severity * 1.25, 1)')} <> severity AS changed FROM tiered")
+def p18(spark, d):
+    now = rounded(F.least(F.col("severity") * 1.25, F.lit(1.0)), 4)
+    return tiered(spark, d).select("id", F.col("severity").alias("stored"), now.alias("current"), (now != F.col("severity")).alias("changed"))
+
+
+@query("x15_shadow_combine", f"WITH {DET_SQL} SELECT id, {R4.format('confidence * (0.6 + 0.4 * (x / 4096.0))')} AS combined, x / 4096.0 < 0.2 AND confidence < 0.3 AS veto FROM det")
+def x15(spark, d):
+    s = F.col("x") / 4096.0
+    return detections(spark, d).select("id", rounded(F.col("confidence") * (0.6 + 0.4 * s), 4).alias("combined"), ((s < 0.2) & (F.col("confidence") < 0.3)).alias("veto"))
+
+
+@query("x14_cross_check", f"WITH {DET_SQL} SELECT id, abs(x - y) > 0.3 * greatest(x, y) AND abs(x - y) > 200 AS disagrees FROM det")
+def x14(spark, d):
+    off = F.abs(F.col("x") - F.col("y"))
+    return detections(spark, d).select("id", ((off > 0.3 * F.greatest("x", "y")) & (off > 200)).alias("disagrees"))
+
+
+@query("x40_confidence_fallback", "SELECT event_id, coalesce(CAST(json_extract(props, '$.pct') AS DOUBLE), CASE WHEN event_id % 3 > 0 THEN value END) AS pct, CASE WHEN event_id % 3 > 0 THEN 'value' ELSE 'missing' END AS basis FROM events")
+def x40(spark, d):
+    e = table(spark, d, "events")
+    v = F.when(F.col("event_id") % 3 > 0, F.col("value"))
+    pct = F.coalesce(F.get_json_object("props", "$.pct").cast("double"), v)
+    return e.select("event_id", pct.alias("pct"), F.when(pct.isNull(), "missing").otherwise("value").alias("basis"))
+
+
+@query("d16_affine_fit", f"SELECT user_id AS strip, {R6.format('regr_slope(value, event_id % 100)')} AS slope, {R6.format('regr_intercept(value, event_id % 100)')} AS intercept, regr_count(value, event_id % 100) AS n FROM events GROUP BY user_id")
+def d16(spark, d):
+    x = F.col("event_id") % 100
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("strip")).agg(rounded(F.regr_slope("value", x), 6).alias("slope"), rounded(F.regr_intercept("value", x), 6).alias("intercept"), F.regr_count("value", x).alias("n"))
+
+
+@query("d16_plane_fit")
+def d16b(spark, d):
+    rows = detections(spark, d).select("strip", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), (10 + F.col("x") * 0.001 - F.col("y") * 0.002).alias("v"))
+    return triage.plane_fit(rows, ["strip"], "px", "py", "v")
+
+
+@query("d07_routes")
+def d07(spark, d):
+    rows = targets(spark, d).filter("id % 20 = 0").select("survey", "id", F.when(F.col("conf") > 0.7, 0).otherwise(1).alias("tier_rank"), "x", "y")
+    return sequential.routes(rows, ["survey"]).select("survey", "id", "step")
+
+
+@query("d21_hulls")
+def d21(spark, d):
+    return sequential.hulls(targets(spark, d).select("survey", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), ["survey"])
+
+
+@query("d11_connected_cells")
+def d11(spark, d):
+    cells = detections(spark, d).filter("confidence > 0.5").select("strip", F.floor(F.col("y") / 128).cast("int").alias("r"), F.floor(F.col("x") / 128).cast("int").alias("c")).distinct()
+    return sequential.connected_cells(cells, ["strip"], 2)
