@@ -1 +1,74 @@
-"""To come."""
+"""Drift, track-skill and forecast queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fathomline.functions import geo
+from fathomline.functions.score import rounded
+from fathomline.operators import drift
+from fathomline.plans.registry import query
+from fathomline.plans.telemetry import hav_sql
+from fathomline.plans.views import FIX_SQL, fixes, table
+
+R4 = "CAST(round(CAST({} AS DECIMAL(18,8)), 4) AS DOUBLE)"
+
+
+def ensembles(spark, d):
+    start = table(spark, d, "supplier").filter("s_suppkey < 20").select(
+        F.col("s_suppkey").alias("target"), (10 + F.pmod(F.col("s_suppkey") * 53, F.lit(1000)) / 1000.0).alias("lat"), (79 + F.pmod(F.col("s_suppkey") * 59, F.lit(1000)) / 1000.0).alias("lon"),
+        F.lit(0.2).alias("u"), (F.pmod(F.col("s_suppkey"), F.lit(7)) / 20.0).alias("v"),
+    )
+    return drift.particles(start, 24.0, 1.0, n=100, every=6, lon_shore=79.9)
+
+
+@query("d08_a28_displacement")
+def d08(spark, d):
+    return drift.displacement(ensembles(spark, d))
+
+
+@query("a26_impacts")
+def a26(spark, d):
+    areas = spark.createDataFrame([("reef", 10.2, 79.2, 10.5, 79.5), ("port", 10.6, 79.6, 10.9, 79.95)], "area string, south double, west double, north double, east double")
+    return drift.impacts(ensembles(spark, d), areas)
+
+
+@query("a27_stranding_grid")
+def a27(spark, d):
+    return drift.stranding(ensembles(spark, d), 0.02)
+
+
+@query("d10_likely_region")
+def d10(spark, d):
+    return drift.region(ensembles(spark, d), 0.9, 0.01)
+
+
+@query("a15_track_skill", f"""WITH {FIX_SQL}, s AS (SELECT device, t_s, id, {hav_sql('lat', 'lon', 'lat + value / 1e5', 'lon + value / 2e5')} AS d, coalesce({hav_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS l FROM fix WINDOW w AS (PARTITION BY device ORDER BY t_s, id)),
+  c AS (SELECT device, d, sum(CAST(l AS DECIMAL(18,6))) OVER (PARTITION BY device ORDER BY t_s, id ROWS UNBOUNDED PRECEDING) AS cum FROM s) SELECT device, {R4.format('greatest(0, 1 - sum(d) / sum(CAST(cum AS DOUBLE)))')} AS skill FROM c GROUP BY device HAVING sum(CAST(cum AS DOUBLE)) > 0""")
+def a15(spark, d):
+    w = Window.partitionBy("device").orderBy("t_s", "id")
+    off = geo.haversine(F.col("lat"), F.col("lon"), F.col("lat") + F.col("value") / 1e5, F.col("lon") + F.col("value") / 2e5)
+    step = F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0)).cast("decimal(18,6)")
+    rows = fixes(spark, d).withColumns({"d": off, "l": step})
+    rows = rows.withColumn("cum", F.sum("l").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
+    g = rows.groupBy("device").agg(F.sum("d").alias("d"), F.sum("cum").alias("c")).filter("c > 0")
+    return g.select("device", rounded(F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("c")), 4).alias("skill"))
+
+
+@query("f22_constant_velocity", "SELECT s_suppkey, k AS hour, CAST(round(CAST(s_acctbal + k * 0.25 * 3.6 AS DECIMAL(18,8)), 4) AS DOUBLE) AS along_km FROM supplier, range(0, 25, 6) r(k)")
+def f22(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"), F.lit(6).cast("long"))).alias("hour")).select("s_suppkey", "hour", rounded(F.col("s_acctbal") + F.col("hour") * 0.25 * 3.6, 4).alias("along_km"))
+
+
+@query("f54_clipped_window", "SELECT o_orderkey, greatest(o_orderdate, TIMESTAMP '1995-01-01') AS start, least(o_orderdate + INTERVAL 90 DAY, TIMESTAMP '1998-01-01') AS stop, o_orderdate < TIMESTAMP '1995-01-01' AS shifted FROM orders WHERE o_orderdate + INTERVAL 90 DAY > TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+def f54(spark, d):
+    t = F.col("o_orderdate")
+    low, high = F.lit("1995-01-01").cast(table(spark, d, "orders").schema["o_orderdate"].dataType), F.lit("1998-01-01").cast(table(spark, d, "orders").schema["o_orderdate"].dataType)
+    stop = t + F.expr("INTERVAL 90 DAY")
+    return table(spark, d, "orders").filter((stop > low) & (t < high)).select("o_orderkey", F.greatest(t, low).alias("start"), F.least(stop, high).alias("stop"), (t < low).alias("shifted"))
+
+
+@query("x24_snapshot_means", f"WITH {FIX_SQL} SELECT t_s // 86400 AS day, {R4.format('avg(lat)')} AS mean_lat, {R4.format('avg(lon)')} AS mean_lon, count(*) AS n FROM fix GROUP BY 1")
+def x24(spark, d):
+    return fixes(spark, d).groupBy(F.floor(F.col("t_s") / 86400).alias("day")).agg(rounded(F.avg("lat"), 4).alias("mean_lat"), rounded(F.avg("lon"), 4).alias("mean_lon"), F.count("*").alias("n"))
