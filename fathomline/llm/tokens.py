@@ -6,7 +6,10 @@ ids of pieces seen before come from a bounded cache. Texts with runs of blanks,
 
 from __future__ import annotations
 
+import json
 import os
+import struct
+from itertools import chain
 
 import numpy as np
 
@@ -19,16 +22,26 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level vocabularies write bytes: printable Latin-1 characters stand for themselves, the others for code points from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}}
+
+
 class Encoder:
-    """text -> ids as 32-bit numbers. The cache holds at most ``most`` pieces, then starts anew."""
+    """text -> ids as 32-bit numbers. The caches hold about ``most`` pieces, then start anew."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        #: Only this pre-tokeniser, without a normaliser, may be done piece by piece.
+        self.in_pieces = plan["normalizer"] is None and plan["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.special = tuple(t["content"] for t in plan["added_tokens"])
+        self.bpe = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.most = most
         self.pieces: dict[str, bytes] = {}
@@ -37,30 +50,31 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
+    def unit(self, unit: str) -> bytes:
+        """Ids of one of the pre-tokeniser's units."""
+        found = self.units.get(unit)
+        if found is None:
+            tokens = self.bpe(unit.encode().decode("latin-1").translate(BYTE_CHARS))
+            found = self.units[unit] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return found
+
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, none for null."""
-        cut = [t.split(" ") if t else None for t in texts]
         for cache in (self.pieces, self.units):
             if len(cache) > self.most:
                 cache.clear()
-        known, units = self.pieces, self.units
-        new = [w for w in {" " + w for words in cut if words for w in words[1:]}.difference(known) if w != " "]
-        cut_up = list(map(self.split, new))  # a piece is cut once more, at the pre-tokeniser's units, of which there are fewer
-        fresh = list({u for found in cut_up for u in found}.difference(units))
-        for start in range(0, len(fresh), 4096):
-            part = fresh[start : start + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                units[unit] = np.array(found.ids, dtype=np.uint32).tobytes()
-        for piece, found in zip(new, cut_up, strict=True):
-            known[piece] = b"".join([units[u] for u in found])
+        known, unit = self.pieces, self.unit
+        cut = [t.split(" ") if t and self.in_pieces and not any(s in t for s in self.special) else None for t in texts]
+        for w in set(chain.from_iterable(words[1:] for words in cut if words)).difference(known):
+            known[w] = b"".join(map(unit, self.split(" " + w)))
         out = []
         for text, words in zip(texts, cut, strict=True):
             if not text:
                 ids = b""
-            elif "" in words or "<|" in text:  # runs of blanks; special tokens
+            elif words is None or "" in words:  # special tokens; runs of blanks
                 ids = self.encode(text)
             else:
-                ids = self.encode(words[0]) + b"".join([known[" " + w] for w in words[1:]])
+                ids = b"".join([*map(unit, self.split(words[0])), *map(known.__getitem__, words[1:])])
             out.append(np.frombuffer(ids, dtype=np.uint32))
         return out
 
