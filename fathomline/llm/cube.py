@@ -40,8 +40,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     fill = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.col("total") - before) / rest)
-    level = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct(F.col("cap") / F.col("w"), "level"))).over(Window.partitionBy())["level"]
+    per = per.withColumn("level", (F.col("total") - before) / rest).withColumn("place", F.row_number().over(fill))
+    level = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
     return per.withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * F.coalesce(level, F.lit(0.0)))).select("source", "source_size", "target")
 
 
