@@ -20,13 +20,13 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.common import MIX_1, mixed
 
-#: Vectors in a block of one part of one table, at most.
-BLOCK = 4096
+#: Vectors in a block of one part of one table, at most; queries in one; best candidates that a task holds before it passes them on.
+BLOCK, ASKED, HELD = 4096, 1024, 1_000_000
 
 
 @dataclass(frozen=True)
 class Tables:
-    tables: int = 16
+    tables: int = 6
     directions: int = 6
     width: float = 1.4
     #: Share of true neighbours that the visits are planned to find.
@@ -159,9 +159,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
 
     def dealt(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
         """One row for each table and part: the keys, ids and vectors of a block."""
+        size = ASKED if probing else BLOCK
         for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(start, BLOCK)
+            for start in range(0, whole.num_rows, size):
+                batch = whole.slice(start, size)
                 x, ids = matrix(batch), batch.column("vec_id").to_numpy()
                 places = tables.cells(unit(x))
                 out = []
@@ -180,38 +181,54 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
                     columns = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["table", "part", "keys", "rows", "ids", "vectors"])
 
+    def best_of(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best candidates of each query, each candidate once by its best score."""
+        order = np.lexsort((-score, ids, q_ids))
+        q_ids, ids, score = q_ids[order], ids[order], score[order]
+        first = np.ones(len(ids), dtype=bool)
+        first[1:] = (q_ids[1:] != q_ids[:-1]) | (ids[1:] != ids[:-1])
+        q_ids, ids, score = q_ids[first], ids[first], score[first]
+        order = np.lexsort((ids, -score, q_ids))
+        q_ids, ids, score = q_ids[order], ids[order], score[order]
+        start = np.flatnonzero(np.concatenate([[True], q_ids[1:] != q_ids[:-1]])) if len(q_ids) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(q_ids)) - np.repeat(start, np.diff(np.append(start, len(q_ids))))
+        return q_ids[place < k], ids[place < k], score[place < k]
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of a block of vectors to each query of a block, among those that share a bucket."""
+        """The nearest vectors to each query among those that share a bucket, over all pairs of blocks of the task."""
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held = empty
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
                 q, x = (np.frombuffer(r[v]).reshape(-1, dims["d"]) for v in ("q_vectors", "vectors"))
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                key, order = np.frombuffer(r["keys"], np.uint64), None
+                key = np.frombuffer(r["keys"], np.uint64)
                 order = np.argsort(key, kind="stable")
                 member, key = np.frombuffer(r["rows"], np.int32)[order], key[order]
                 q_key, q_row = np.frombuffer(r["q_keys"], np.uint64), np.frombuffer(r["q_rows"], np.int32)
                 low, high = np.searchsorted(key, q_key, "left"), np.searchsorted(key, q_key, "right")
-                score = cosines(q, x)
-                seen = np.zeros(score.shape, dtype=bool)
-                for i in np.flatnonzero(high > low):
-                    seen[q_row[i], member[low[i] : high[i]]] = True
+                seen = np.zeros((len(q), len(x)), dtype=bool)
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                seen[np.repeat(q_row[hit], n), member[np.repeat(low[hit], n) + within]] = True
                 seen &= q_ids[:, None] != ids[None, :]
-                score[~seen] = -np.inf
-                out_q, out_x, out_s = [], [], []
-                for i in range(len(q)):
-                    s = score[i]
-                    keep = np.flatnonzero(seen[i])
-                    if len(keep) > k:
-                        edge = np.partition(s[keep], -k)[-k]
-                        keep = keep[s[keep] >= edge]  # all ties at the edge, so that the smaller ids can be told
-                    keep = keep[np.lexsort((ids[keep], -s[keep]))][:k]
-                    out_q += [q_ids[i]] * len(keep)
-                    out_x += ids[keep].tolist()
-                    out_s += s[keep].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_x, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+                score = np.where(seen, cosines(q, x), -np.inf)
+                edge = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
+                row, column = np.nonzero(seen & (score >= edge[:, None]))  # with all ties at the edge, so that the smaller ids can be told
+                held = best_of(*(np.concatenate([a, b]) for a, b in zip(held, (q_ids[row], ids[column], score[row, column]), strict=True)))
+                if len(held[0]) > HELD:
+                    yield passed()
+                    held = empty
+        yield passed()
 
     shape = "table int, part int, keys binary, rows binary, ids binary, vectors binary"
-    asked = queries.repartition(max(1, -(-n_queries // BLOCK)), "vec_id").mapInArrow(lambda it: dealt(it, True), shape)
+    asked = queries.repartition(max(1, -(-n_queries // ASKED)), "vec_id").mapInArrow(lambda it: dealt(it, True), shape)
     asked = asked.select("table", "part", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "ids", "vectors")))
     held = rows.mapInArrow(lambda it: dealt(it, False), shape)
     found = held.join(asked, ["table", "part"]).mapInArrow(compared, schema)
