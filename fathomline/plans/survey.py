@@ -157,11 +157,15 @@ def boxes(spark, d):
 @query("j22_iou_pairs", f"""WITH {BOX_SQL} SELECT a.id AS id_a, b.id AS id_b, {R4.format('i * 1.0 / (3200 - i)')} AS iou FROM (SELECT a, b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i
   FROM box a JOIN box b ON a.strip = b.strip AND a.tile = b.tile AND a.id < b.id AND a.model <> b.model) WHERE i * 1.0 / (3200 - i) >= 0.3""")
 def j22(spark, d):
+    return box_pairs(spark, d).select("id_a", "id_b", "iou")
+
+
+def box_pairs(spark, d):
     a, b = (boxes(spark, d).select(*[F.col(c).alias(c + s) for c in ("id", "model", "x1", "y1", "x2", "y2")], "strip", "tile") for s in ("_a", "_b"))
     side = lambda s: tuple(F.col(c + s) for c in ("x1", "y1", "x2", "y2"))
     pairs = a.join(b, ["strip", "tile"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("model_a") != F.col("model_b")))
     iou = geo.iou(side("_a"), side("_b"))
-    return pairs.filter(iou >= 0.3).select("id_a", "id_b", rounded(iou, 4).alias("iou"))
+    return pairs.filter(iou >= 0.3).select("strip", "tile", "id_a", "id_b", rounded(iou, 4).alias("iou"))
 
 
 @query("j23_inherit_position", f"WITH {SCANS_SQL}, tile AS (SELECT site, avg(lat) AS tile_lat FROM scans GROUP BY site) SELECT scan_id, {R4.format('coalesce(lat, tile_lat)')} AS lat, lat IS NULL AS inherited FROM scans LEFT JOIN tile USING (site)")
@@ -298,4 +302,5 @@ def d04(spark, d):
 
 @query("d05_j26_greedy_match")
 def d05(spark, d):
-    return sequential.matched_boxes(j22(spark, d).select(F.lit(0).alias("g"), F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("iou").alias("score"), "iou").withColumn("g", F.col("a") % 97), ["g"]).select("a", "b", "iou")
+    pairs = box_pairs(spark, d).select("strip", "tile", F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("iou").alias("score"), "iou")
+    return sequential.matched_boxes(pairs, ["strip", "tile"]).select("a", "b", "iou")
