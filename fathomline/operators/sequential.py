@@ -130,36 +130,60 @@ def assigned(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).applyInPandas(run, pairs.schema)
 
 
+def away(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of points, row by row."""
+    return np.hypot(p[..., 0] - q[..., 0], p[..., 1] - q[..., 1])
+
+
+def nearest_next(xy: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+    """Order of distinct places, the nearest next and of equally near ones the first; without a start from the first place."""
+    left, out, at = np.arange(len(xy)), [], start
+    while len(left):
+        k = 0 if at is None else int(np.argmin(away(xy[left], at)))
+        out.append(left[k])
+        at, left = xy[left[k]], np.delete(left, k)
+    return np.array(out)
+
+
+def uncrossed(xy: np.ndarray, tour: np.ndarray, start: np.ndarray | None, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The tour after 2-opt on an open path, and which places were turned round an odd number of times."""
+    tour, turned, n, better = tour.copy(), np.zeros(len(tour), bool), len(tour), True
+    while better:
+        better = False
+        for i in range(n - 1):
+            before, j = (xy[tour[i - 1]] if i else start), i + 1
+            while j < n:
+                here, last = xy[tour[i]], xy[tour[j : j + chunk]]
+                after = xy[tour[j + 1 : j + 1 + chunk]]
+                gain = np.zeros(len(last)) if before is None else away(before, here) - away(before, last)
+                gain[: len(after)] += away(last[: len(after)], after) - away(here, after)
+                hits = np.flatnonzero(gain > 1e-9)
+                if len(hits):
+                    j += int(hits[0])
+                    tour[i : j + 1], turned[i : j + 1] = tour[i : j + 1][::-1].copy(), ~turned[i : j + 1][::-1]
+                    better = True
+                j += 1 if len(hits) else len(last)
+    return tour, turned
+
+
 def routes(rows: DataFrame, by: list[str]) -> DataFrame:
     """Visiting order of targets (id, tier_rank, x, y) as step: tier by tier the nearest next, then each tier's part uncrossed by 2-opt.
 
-    The start is the first target of the gravest tier by id; the path is open.
+    The start is the first target of the gravest tier by id; the path is open. Targets of a tier at one place follow each other, and no 2-opt move parts
+    them, so places are ordered instead of targets; distances are worked out as needed, a row at a time.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tier_rank", "id"], kind="stable").reset_index(drop=True)
-        xy = pdf[["x", "y"]].to_numpy(float)
-        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
         path: list[int] = []
-        for tier in pdf["tier_rank"].unique():
-            left = pdf.index[pdf["tier_rank"] == tier].tolist()
-            part = [] if path else [left.pop(0)]
-            while left:
-                at = (part or path)[-1]
-                left.sort(key=lambda k: (d[at, k], k))
-                part.append(left.pop(0))
-            better = True
-            while better:
-                better = False
-                for i in range(len(part) - 1):
-                    for j in range(i + 1, len(part)):
-                        before = part[i - 1] if i else (path[-1] if path else None)
-                        after = part[j + 1] if j + 1 < len(part) else None
-                        gain = (0 if before is None else d[before, part[i]] - d[before, part[j]]) + (0 if after is None else d[part[j], after] - d[part[i], after])
-                        if gain > 1e-9:
-                            part[i : j + 1] = part[i : j + 1][::-1]
-                            better = True
-            path += part
+        end = None
+        for _, tier in pdf.groupby("tier_rank", sort=True):
+            members = sorted((g.to_numpy() for g in tier.groupby(["x", "y"]).groups.values()), key=lambda m: m[0])
+            xy = tier.loc[[m[0] for m in members], ["x", "y"]].to_numpy(float)
+            tour, turned = uncrossed(xy, nearest_next(xy, end), end)
+            for k, back in zip(tour, turned, strict=True):
+                path += members[k][::-1].tolist() if back else members[k].tolist()
+            end = xy[tour[-1]]
         step = np.empty(len(pdf), dtype=np.int32)
         step[path] = np.arange(1, len(pdf) + 1)
         return pdf.assign(step=step)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from fathomline.operators import sequential
 from fathomline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +25,46 @@ def test_matching_equals_greedy_over_all_pairs(spark):
             want.add((a, b, iou))
     got = [tuple(r) for r in registry.QUERIES["d05_j26_greedy_match"](spark, SF).select("a", "b", "iou").collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def routed_by_the_book(pdf):
+    """Every target a point of its own, all distances in a matrix, moves tried one by one."""
+    pdf = pdf.sort_values(["tier_rank", "id"], kind="stable").reset_index(drop=True)
+    xy = pdf[["x", "y"]].to_numpy(float)
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    path = []
+    for tier in pdf["tier_rank"].unique():
+        left = pdf.index[pdf["tier_rank"] == tier].tolist()
+        part = [] if path else [left.pop(0)]
+        while left:
+            at = (part or path)[-1]
+            left.sort(key=lambda k: (d[at, k], k))
+            part.append(left.pop(0))
+        better = True
+        while better:
+            better = False
+            for i in range(len(part) - 1):
+                for j in range(i + 1, len(part)):
+                    before = part[i - 1] if i else (path[-1] if path else None)
+                    after = part[j + 1] if j + 1 < len(part) else None
+                    gain = (0 if before is None else d[before, part[i]] - d[before, part[j]]) + (0 if after is None else d[part[j], after] - d[part[i], after])
+                    if gain > 1e-9:
+                        part[i : j + 1] = part[i : j + 1][::-1]
+                        better = True
+        path += part
+    return {pdf["id"][k]: n for n, k in enumerate(path, 1)}
+
+
+def test_routes_equal_the_plain_algorithm(spark):
+    rng = np.random.default_rng(22)
+    pdf = pd.DataFrame({"survey": np.repeat([1, 2, 3, 4], (90, 60, 1, 40)), "id": rng.permutation(191), "tier_rank": rng.integers(0, 3, 191), "x": rng.integers(0, 12, 191), "y": rng.integers(0, 12, 191)})
+    pdf.loc[pdf.survey == 2, ["x", "y"]] = rng.integers(0, 500, (60, 2))
+    got = sequential.routes(spark.createDataFrame(pdf), ["survey"]).toPandas()
+    for survey, rows in pdf.groupby("survey"):
+        assert got[got.survey == survey].set_index("id")["step"].to_dict() == routed_by_the_book(rows)
+
+
+def test_routes_visit_every_target(spark):
+    got = registry.QUERIES["d07_routes"](spark, SF).toPandas()
+    assert sorted(got["id"]) == sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
+    assert all(sorted(g["step"]) == list(range(1, len(g) + 1)) for _, g in got.groupby("survey"))
