@@ -16,7 +16,7 @@ R4 = "CAST(round(CAST({} AS DECIMAL(18,8)), 4) AS DOUBLE)"
 
 
 def ensembles(spark, d):
-    start = table(spark, d, "supplier").filter("s_suppkey < 20").select(
+    start = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("target"), (10 + F.pmod(F.col("s_suppkey") * 53, F.lit(1000)) / 1000.0).alias("lat"), (79 + F.pmod(F.col("s_suppkey") * 59, F.lit(1000)) / 1000.0).alias("lon"),
         F.lit(0.2).alias("u"), (F.pmod(F.col("s_suppkey"), F.lit(7)) / 20.0).alias("v"),
     )

@@ -68,3 +68,10 @@ def test_routes_visit_every_target(spark):
     got = registry.QUERIES["d07_routes"](spark, SF).toPandas()
     assert sorted(got["id"]) == sorted(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
     assert all(sorted(g["step"]) == list(range(1, len(g) + 1)) for _, g in got.groupby("survey"))
+
+
+@pytest.mark.parametrize("name", ["d08_a28_displacement", "d10_likely_region"])
+def test_drift_covers_every_supplier(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    got = {r[0] for r in registry.QUERIES[name](spark, sf).select("target").distinct().collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()} and len(got) > 19
