@@ -15,8 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of 16 or more key characters with a letter and a digit, and key ids of a known form without a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}|A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9_+/-]))"
+#: The value after a secret word (with up to 24 more name characters) and = or : (with up to 16 blanks on either side): 6 or more characters up to a blank or quote, less a closing sign.
+ASSIGNED = (
+    r"(?<=[=:\s\"'`])(?<=(?i:pass(?:word|wd|phrase)|pwd|token|secret|credential|(?:api|access|private|auth)[_-]?key)[A-Za-z0-9_-]{0,24}[\"'`]?\s{0,16}[=:]\s{0,16}[\"'`]?)"
+    r"(?!(?i:bearer|basic)\s)(?:[^\s\"'`]{5,}[^\s\"'`,;.)\]}]|[^\s\"'`]{6,})"
+)
+#: Besides, runs of 16 or more key characters with a letter and a digit, and key ids of a known form without a digit.
+CANDIDATE = ASSIGNED + r"|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}|A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9_+/-]))"
 #: Characters on either side in which neighbouring words are sought.
 REACH = 160
 
@@ -116,6 +121,8 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 17) -> Dat
     plain = pick(("the river is ", "as in the other ", "they said that ", "", "of it and then ", "line two ", "wherein a ", "und der ", "est la ", "que los "), 1)
     words = lambda salt: pick(tuple(w.capitalize() for w in DICTIONARY[salt % 7 :: 7]), salt)
     lit, cat = F.lit, F.concat
+    assign = lambda salt: pick(("password=", "password: ", "token = \"", "secret: '", "api_key=", "PASSWORD = ", "access_token: ", "db_password='"), salt)
+    after = lambda salt: pick(("", " next", "\"", "'", "\n", ","), salt)
     templates = [  # label, value, before, after
         (1, cat(pick(("AKIA", "ASIA"), 2), chars(b32, 16, 3)), plain, lit(" and more")),
         (1, chars(hexa, 40, 4), cat(plain, pick(("token = \"", "secret: '", "api_key=\"", "auth_token = ", "access_token: "), 5)), pick(("\"", "'", " then", ""), 6)),
@@ -135,6 +142,15 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 17) -> Dat
         (0, cat(pick(("INV-2023-", "ORDER-", "SKU-AB-", "REF-"), 44), chars(digits, 6, 45), lit("-"), chars(digits, 5, 46)), cat(plain, pick(("number ", "invoice ", ""), 47)), lit(" paid")),
         (0, cat(F.lower(words(48)), lit("-"), F.lower(words(49)), lit("-in-"), chars(digits, 2, 50), lit("-"), F.lower(words(51)), lit("-steps")), cat(plain, pick(("read ", "example.com/", ""), 52)), lit(" here")),
         (0, cat(chars(digits, 10, 53), pick(("kilometers", "metersquared", "participants", "millionen"), 54)), plain, lit(" away")),
+        (1, chars(b62, 9, 61), cat(plain, assign(62)), after(63)),
+        (1, cat(words(64), chars(digits, 2, 65), pick(("!", "#", "$", "x", ""), 66)), cat(plain, assign(67)), after(68)),
+        (1, cat(chars(b62, 2, 69), pick(("@", ".", "#", "%"), 70), chars(b62, 3, 71), pick((".", "!", "&", "*"), 72), chars(b62, 4, 73)), cat(plain, assign(74)), after(75)),
+        (1, chars(low + up, 18, 76), cat(plain, assign(77)), after(78)),
+        (1, chars(low, 14, 79), cat(plain, assign(80)), after(81)),
+        (1, chars(digits, 9, 82), cat(plain, assign(83)), after(84)),
+        (0, pick(tuple(w for w in DICTIONARY if len(w) > 5) + ("required", "optional", "string", "nobody", "without", "nothing", "forgotten", "missing", "invalid", "expired"), 85), cat(plain, assign(86)), after(87)),
+        (0, cat(F.lower(words(88)), pick((".get", ".read", "_", ".", "."), 89), words(90), pick(("(", "()", "", "[0]"), 91)), cat(plain, assign(92)), after(93)),
+        (0, pick(("process.env.TOKEN", "os.environ[", "${PASSWORD}", "<password>", "{{token}}", "your-password", "xxxxxxxx", "changeme", "********", "undefined", "placeholder"), 94), cat(plain, assign(95)), after(96)),
     ]
     t = F.pmod(F.col("id"), F.lit(len(templates)))
     column = lambda k: reduce(lambda acc, it: acc.when(t == it[0], it[1][k] if isinstance(it[1][k], Column) else F.lit(it[1][k])), list(enumerate(templates))[1:], F.when(t == 0, templates[0][k] if isinstance(templates[0][k], Column) else F.lit(templates[0][k])))

@@ -1,0 +1,18 @@
+"""Secrets that only the word before them gives away."""
+
+from __future__ import annotations
+
+from fathomline.llm import secrets
+
+VALUES = {1: "Tr0ub4dor", 2: "p@ss.w0rd!x", 3: "qWjXbVtzKpLmRgHsDf", 4: "830275914", 5: "b7db7aa4a5fcc78305"}
+TEXTS = {1: "so password=Tr0ub4dor next", 2: "PASSWORD: p@ss.w0rd!x", 3: 'then token = "qWjXbVtzKpLmRgHsDf" and', 4: "db_secret='830275914',", 5: "password=b7db7aa4a5fcc78305", 6: "the secret: nobody knew", 7: "password = ab"}
+
+
+def test_values_after_secret_words(spark):
+    docs = spark.createDataFrame([(i, t, "src0") for i, t in TEXTS.items()], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert {i: r["value"] for i, r in found.items()} == {**VALUES, 6: "nobody"}
+    assert all(TEXTS[i][r["start"] : r["start"] + r["length"]] == r["value"] for i, r in found.items())
+    assert {i for i, r in found.items() if r["is_secret"]} == set(VALUES)
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).collect()}
+    assert out == {i: t.replace(VALUES[i], "[SECRET]") if i in VALUES else t for i, t in TEXTS.items()}
