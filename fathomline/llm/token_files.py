@@ -1,10 +1,7 @@
 """Token-id files by an adaptive context-mixing range coder.
 
-Ids are cut into frames that are coded independently of each other: every frame begins with empty models and ends with a checksum of its ids. An
-id is sent as 16-way choices, four bits each from the top. The counts of the choice seen so far under three contexts, the bits of the id sent
-already alone (order 0), with the previous id (order 1), and with the two previous ids (order 2), are mixed by weights that follow how well
-each order has done, and the mixture drives the range coder. Frames are coded side by side, as lanes of numpy arrays.
-Files are Parquet with a row for each block of whole documents, so they may be in any store that Spark writes.
+Ids are coded in blocks of whole documents, each on its own: see :mod:`fathomline.llm.range_coder`. Files are Parquet with a row for each
+block, so they may be in any store that Spark writes.
 """
 
 from __future__ import annotations
@@ -20,160 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathomline.llm.common import blocks, text_bytes
+from fathomline.llm.range_coder import decode, encode
 from fathomline.llm.tokens import encoder, tokenizer_path
 
-FRAME = 4096
-ROWS = 512
-STEP, LIMIT = 24, 1200
-WORD, LOW, TOP = np.uint64(16), np.uint64(1 << 32), np.uint64(1 << 48)
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Lanes:
-    """Models of frames that are coded side by side; the longest frame comes first."""
-
-    def __init__(self, n: int) -> None:
-        self.base = np.arange(n, dtype=np.int64) * ROWS
-        self.counts = [np.zeros((n * ROWS, 16), dtype=np.int32) for _ in range(3)]
-        self.totals = [np.zeros(n * ROWS, dtype=np.int32) for _ in range(3)]
-        self.weights = np.full((3, n), 16, dtype=np.int32)
-        self.lane = np.arange(n)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def predict(self, a: int, prefix: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Upper cumulative frequencies of the 16 choices, for the first ``a`` lanes."""
-        k0 = prefix * PRIME
-        k1 = (k0 ^ last) * PRIME
-        k2 = (k1 ^ (before << np.uint64(20))) * PRIME
-        self.at = [self.base[:a] + (k >> np.uint64(55)).astype(np.int64) for k in (k0, k1, k2)]
-        self.rows = [c.take(i, axis=0) for c, i in zip(self.counts, self.at, strict=True)]
-        f = self.rows[0] * self.weights[0, :a, None]
-        f += self.rows[1] * self.weights[1, :a, None]
-        f += self.rows[2] * self.weights[2, :a, None]
-        f >>= 3
-        f += 1
-        return np.cumsum(f, axis=1, dtype=np.int32, out=f)
-
-    def narrow(self, a: int, upper: np.ndarray, choice: np.ndarray) -> None:
-        """Takes the choice's part of the range, and teaches the models."""
-        lanes = self.lane[:a]
-        step = self.range[:a] // upper[:, 15].astype(np.uint64)
-        high = upper[lanes, choice]
-        start = np.where(choice > 0, upper[lanes, choice - 1], 0)
-        self.low[:a] += step * start.astype(np.uint64)
-        self.range[:a] = step * (high - start).astype(np.uint64)
-        for k, (at, row, counts, totals) in enumerate(zip(self.at, self.rows, self.counts, self.totals, strict=True)):
-            total = totals.take(at)
-            seen = row[lanes, choice]
-            w = self.weights[k, :a]
-            w += (64 * seen // (total + STEP) - w) >> 4
-            np.maximum(w, 1, out=w)
-            counts[at, choice] = seen + STEP
-            total += STEP
-            full = np.flatnonzero(total > LIMIT)
-            if len(full):
-                counts[at[full]] >>= 1
-                total[full] = counts[at[full]].sum(1)
-            totals[at] = total
-
-    def shift(self, a: int) -> np.ndarray | None:
-        """Lanes whose top word is settled, which is shifted out; none at the end."""
-        low, size = self.low[:a], self.range[:a]
-        settled = (low ^ (low + size)) < TOP
-        tight = ~settled & (size < LOW)
-        if tight.any():
-            size[tight] = (np.uint64(0) - low[tight]) & (LOW - np.uint64(1))
-            settled |= tight
-        return np.flatnonzero(settled) if settled.any() else None
-
-
-def digits(largest: int) -> int:
-    return max(1, (int(largest).bit_length() + 3) // 4)
-
-
-def encode_frames(frames: list[np.ndarray]) -> list[bytes]:
-    """The code of each frame (not empty). Its header is the number of ids, of choices an id, and the ids' crc32."""
-    if not frames:
-        return []
-    order = np.argsort([-len(f) for f in frames], kind="stable")
-    lens = np.array([len(frames[i]) for i in order])
-    n, most = len(frames), int(lens[0])
-    wide = digits(max(int(f.max()) for f in frames))
-    ids = np.zeros((most, n), dtype=np.uint64)
-    for lane, i in enumerate(order):
-        ids[: lens[lane], lane] = frames[i]
-    m, out, filled = Lanes(n), np.zeros((n, wide * most + 8), dtype=np.uint16), np.zeros(n, dtype=np.int64)
-    zero = np.zeros(n, dtype=np.uint64)
-    active = np.searchsorted(-lens, -np.arange(most), side="left")
-    for t in range(most):
-        a = int(active[t])
-        x, last, before = ids[t, :a], ids[t - 1, :a] if t else zero[:a], ids[t - 2, :a] if t > 1 else zero[:a]
-        prefix = np.ones(a, dtype=np.uint64)
-        for d in range(wide - 1, -1, -1):
-            choice = ((x >> np.uint64(4 * d)) & np.uint64(15)).astype(np.int64)
-            m.narrow(a, m.predict(a, prefix, last, before), choice)
-            prefix = (prefix << np.uint64(4)) | choice.astype(np.uint64)
-            while (who := m.shift(a)) is not None:
-                out[who, filled[who]] = (m.low[who] >> np.uint64(48)).astype(np.uint16)
-                filled[who] += 1
-                m.low[who] <<= WORD
-                m.range[who] <<= WORD
-    for k in range(4):
-        out[np.arange(n), filled + k] = (m.low >> np.uint64(48 - 16 * k)).astype(np.uint16)
-    coded: list[bytes] = [b""] * n
-    for lane, i in enumerate(order):
-        head = np.array([lens[lane], wide, zlib.crc32(frames[i].astype("<u4").tobytes())], dtype="<u4").tobytes()
-        coded[i] = head + out[lane, : filled[lane] + 4].astype("<u2").tobytes()
-    return coded
-
-
-def decode_frames(coded: list[bytes]) -> list[np.ndarray]:
-    """The frames again; raises if a checksum does not match."""
-    if not coded:
-        return []
-    heads = np.array([np.frombuffer(c, "<u4", 3) for c in coded])
-    frames: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    for wide in np.unique(heads[:, 1]):
-        group = np.flatnonzero(heads[:, 1] == wide)
-        group = group[np.argsort(-heads[group, 0].astype(np.int64), kind="stable")]
-        lens = heads[group, 0].astype(np.int64)
-        n, most = len(group), int(lens[0])
-        words = np.zeros((n, max(len(coded[i]) for i in group) // 2 + 8), dtype=np.uint64)
-        for lane, i in enumerate(group):
-            body = np.frombuffer(coded[i], "<u2", offset=12)
-            words[lane, : len(body)] = body
-        m, used, ids = Lanes(n), np.full(n, 4, dtype=np.int64), np.zeros((most, n), dtype=np.uint64)
-        code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-        zero = np.zeros(n, dtype=np.uint64)
-        active = np.searchsorted(-lens, -np.arange(most), side="left")
-        for t in range(most):
-            a = int(active[t])
-            last, before = ids[t - 1, :a] if t else zero[:a], ids[t - 2, :a] if t > 1 else zero[:a]
-            prefix = np.ones(a, dtype=np.uint64)
-            for _ in range(int(wide)):
-                upper = m.predict(a, prefix, last, before)
-                value = np.minimum((code[:a] - m.low[:a]) // (m.range[:a] // upper[:, 15].astype(np.uint64)), (upper[:, 15] - 1).astype(np.uint64)).astype(np.int32)
-                choice = (upper <= value[:, None]).sum(1)
-                m.narrow(a, upper, choice)
-                prefix = (prefix << np.uint64(4)) | choice.astype(np.uint64)
-                while (who := m.shift(a)) is not None:
-                    code[who] = (code[who] << WORD) | words[who, used[who]]
-                    used[who] += 1
-                    m.low[who] <<= WORD
-                    m.range[who] <<= WORD
-            ids[t, :a] = prefix & np.uint64((1 << (4 * int(wide))) - 1)
-        for lane, i in enumerate(group):
-            frames[i] = ids[: lens[lane], lane].astype(np.uint32)
-            if zlib.crc32(frames[i].astype("<u4").tobytes()) != heads[i, 2]:
-                raise ValueError("a frame's checksum does not match its ids")
-    return frames
-
-
-FILE_SCHEMA = "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, frames array<binary>"
+FILE_SCHEMA = "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, code binary"
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = 2, vocabulary: str | None = None, shard_bytes: int = 16 << 20) -> None:
-    """Encode the texts of ``docs`` in ascending doc_id order (null first; equal ids by their text's hash) into token files under ``path``."""
+    """Encode the texts of ``docs`` in ascending doc_id order (null first; equal ids by their text's hash) into token files under ``path``.
+
+    Each document ends with the id ``end``; null and empty texts are that id alone. Repeated rows are documents of their own, a long text stays in one
+    block, an empty table makes files without rows, and other columns are ignored.
+    """
     vocabulary = vocabulary or tokenizer_path()
     shards = max(1, -(-text_bytes(docs)[1] // shard_bytes))
 
@@ -183,11 +38,9 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, vocabulary: str | Non
             ids = [np.append(x, np.uint32(end)) for x in encoder(vocabulary).many(batch.column("text").to_pylist())]
             lens = np.array([len(x) for x in ids])
             stream = np.concatenate(ids)
-            cuts = np.arange(0, len(stream), FRAME)
-            frames = encode_frames([stream[c : c + FRAME] for c in cuts])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(stream)], pa.int64()), pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([frames], pa.list_(pa.binary()))],
-                names=["shard", "block", "start", "n_ids", "doc_ids", "lengths", "frames"],
+                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(stream)], pa.int64()), pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([encode(stream)], pa.binary())],
+                names=["shard", "block", "start", "n_ids", "doc_ids", "lengths", "code"],
             )
             block, start = block + 1, start + len(stream)
 
@@ -201,8 +54,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                stream = np.concatenate(decode_frames(r["frames"]))
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                stream = decode(r["code"])
                 ends = np.cumsum(r["lengths"])
                 ids = [stream[e - n : e] for e, n in zip(ends, r["lengths"], strict=True)]
                 n = len(ids)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import struct
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -28,20 +28,26 @@ BYTE_CHARS = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enume
 
 
 class Encoder:
-    """text -> ids as 32-bit numbers. The caches hold about ``most`` pieces, then start anew."""
+    """text -> ids as 32-bit numbers.
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    The two caches hold ``most`` entries each at most (about 200 bytes an entry). A full one gives up its newer half: frequent pieces come early and stay.
+    """
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         plan = json.loads(self.tokenizer.to_str())
         #: Only this pre-tokeniser, without a normaliser, may be done piece by piece.
         self.in_pieces = plan["normalizer"] is None and plan["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.special = tuple(t["content"] for t in plan["added_tokens"])
-        self.bpe = self.tokenizer.model.tokenize
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in plan["model"]["merges"]] if self.in_pieces else []
+        # the model without its own cache, as ours is asked first
+        self.bpe = BPE(vocab=plan["model"]["vocab"], merges=merges, cache_capacity=0).tokenize if self.in_pieces else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.most = most
         self.pieces: dict[str, bytes] = {}
@@ -50,23 +56,30 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
+    def modelled(self, unit: str) -> bytes:
+        shown = unit.replace(" ", BYTE_CHARS[32]) if unit.isascii() and unit.isprintable() else unit.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = [t.id for t in self.bpe(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def unit(self, unit: str) -> bytes:
         """Ids of one of the pre-tokeniser's units."""
         found = self.units.get(unit)
         if found is None:
-            tokens = self.bpe(unit.encode().decode("latin-1").translate(BYTE_CHARS))
-            found = self.units[unit] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            found = self.pieces.get(unit[1:]) if unit[0] == " " and unit[1:].isalpha() else None
+            found = self.units[unit] = self.modelled(unit) if found is None else found
         return found
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, none for null."""
         for cache in (self.pieces, self.units):
             if len(cache) > self.most:
-                cache.clear()
+                for w in list(islice(cache, self.most // 2, None)):
+                    del cache[w]
         known, unit = self.pieces, self.unit
         cut = [t.split(" ") if t and self.in_pieces and not any(s in t for s in self.special) else None for t in texts]
         for w in set(chain.from_iterable(words[1:] for words in cut if words)).difference(known):
-            known[w] = b"".join(map(unit, self.split(" " + w)))
+            # letters alone are one unit
+            known[w] = self.modelled(" " + w) if w.isalpha() else b"".join(map(unit, self.split(" " + w)))
         out = []
         for text, words in zip(texts, cut, strict=True):
             if not text:

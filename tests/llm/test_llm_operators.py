@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import cube, dealing, factorisation, jaccard, neighbours, packing, probing, repetition, secrets, substrings, token_files, tokens
+from fathomline.llm import cube, dealing, factorisation, jaccard, neighbours, packing, probing, range_coder, repetition, secrets, substrings, token_files, tokens
 from fathomline.llm.common import staged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra array<string>, part string, block int, label int, count long"
@@ -250,17 +250,29 @@ def test_ids_in_pieces_equal_ids_of_the_whole():
         assert e.many([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("top", [2, 300, 50257, 2**32 - 1])
-def test_frames_round_trip(top):
-    rng = np.random.default_rng(top % 97)
-    frames = [rng.integers(0, top, size=int(n)).astype(np.uint32) for n in rng.integers(1, 700, 9)] + [np.full(400, top - 1, np.uint32)]
-    coded = token_files.encode_frames(frames)
-    assert all((a == b).all() for a, b in zip(frames, token_files.decode_frames(coded), strict=True))
-    broken = coded[0][:-1] + bytes([coded[0][-1] ^ 1]) if len(coded[0]) > 20 else None
-    changed = coded[0][:8] + bytes([coded[0][8] ^ 1]) + coded[0][9:]
+@pytest.mark.parametrize("top", [1, 2, 300, 50257, range_coder.MOST_IDS])
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 3000, 20_000])
+def test_blocks_of_ids_round_trip(top, n):
+    rng = np.random.default_rng(top % 97 + n)
+    ids = np.minimum(rng.integers(0, top, n), rng.integers(0, top, n)).astype(np.uint32)
+    ids[n // 2 : n // 2 * 2] = ids[: n // 2]
+    code = range_coder.encode(ids)
+    assert (range_coder.decode(code) == ids).all()
+    for at in {8, len(code) // 2, len(code) - 9} & set(range(8, len(code))):
+        broken = code[:at] + bytes([code[at] ^ 64]) + code[at + 1 :]
+        try:
+            assert (range_coder.decode(broken) == ids).all()
+        except ValueError as e:
+            assert "checksum" in str(e)
     with pytest.raises(ValueError, match="checksum"):
-        token_files.decode_frames([changed])
-    assert broken is None or broken != coded[0]
+        range_coder.decode(code[:8] + bytes([code[8] ^ 1]) + code[9:])
+
+
+def test_repeated_ids_take_few_bytes():
+    ids = np.tile(np.random.default_rng(3).integers(0, 50257, 50).astype(np.uint32), 2000)
+    assert len(range_coder.encode(ids)) < 0.25 * len(ids)
+    with pytest.raises(ValueError, match="not supported"):
+        range_coder.encode(np.array([range_coder.MOST_IDS], np.uint32))
 
 
 def test_token_files_round_trip(spark, tmp_path):
