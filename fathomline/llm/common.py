@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_3 = np.uint64(0x94D049BB133111EB)
+#: The folder made for a local session without spark.checkpoint.dir.
+OWN_FOLDER: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="fathomline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        if not OWN_FOLDER:
+            OWN_FOLDER.append(tempfile.mkdtemp(prefix="fathomline-"))
+        found = OWN_FOLDER[0]
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with signs added until none is a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
@@ -68,9 +84,9 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; holds at most ``most`` words, then starts anew."""
+    """word -> 64-bit hash; holds at most ``most`` words (about 170 bytes a word), then starts anew."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 

@@ -19,10 +19,10 @@ BLOCK_BYTES = 4 << 20
 
 
 def dealt(docs: DataFrame, least: int = 64, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text and block of every row, and the number of blocks; rows with one id share a block."""
+    """doc_id, text and block of every row, and the number of blocks; rows with one id share a block, rows without an id are dealt by their text."""
     rows, size = text_bytes(docs)
     n = max(least if rows > 1000 else 1, math.ceil(size / block_bytes))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")), n
+    return docs.select("doc_id", "text", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int").alias("block")), n
 
 
 def parts_of(h: np.ndarray, n: int) -> list[np.ndarray]:

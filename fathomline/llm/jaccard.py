@@ -3,12 +3,16 @@
 Equal sets are one class. The shingles of a class are ordered from rare to frequent, by document frequencies counted over all classes. A set of
 n shingles may miss at most d = n - ceil(t n) of a partner's, so partners share one of its first d + 1 shingles, and two of its first d + 2.
 Small sets meet by all 2-subsets of the latter; a large set scans the inverted lists of the former, in which the sets small enough to be
-its partners also stand. The size that parts them is the one with the least cost over all sizes, counted from the corpus. Sets that share
-a key are first compared with the key's leader; only those in different components after that are compared with each other.
+its partners also stand. The size that parts them is the one with the least cost over all sizes, counted from the corpus.
+
+Sets that share a key meet in a bin, that of the key's first set, and each set is sent to a bin once. A bin is joined where it is: inverted lists of its
+sets give all overlaps, and a union-find keeps only links that join two components, one fewer than the bin's sets at most. A bin of more
+shingles than a task should hold is dealt as pairs of blocks of its sets. So no pair is ever a row, and no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,15 +20,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import HASHES, MIX_1, blocks, mixed, raw, staged, windows
+from fathomline.llm.common import HASHES, MIX_1, blocks, discard, fresh, mixed, raw, staged, windows
 from fathomline.llm.components import components
 from fathomline.llm.dealing import dealt, parts_of
 
-#: Sets of more shingles are never small: their 2-subsets are not listed.
-MOST_SMALL = 60
+#: Shingles of the sets in one bin, at most; of the bins joined at once; bytes of the sets in one task.
+BIN, AT_ONCE, TASK_BYTES = 1 << 20, 1 << 18, 32 << 20
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -74,10 +78,11 @@ class ClassBlock:
         self.unique, self.counts = np.unique(every, return_counts=True)
 
 
-def keys_of(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """kind, key, node, n, place, frequency, hashes: the keys by which classes may meet (0: one shingle, 1: two), and their sets (2).
+def prefixes(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, n, ones, keys, subsets, scan, hashes of the classes that share a shingle among their first d + 2.
 
-    Shingles that only one class has are left out, as they join nothing.
+    ``keys`` are those shared shingles, of which ``ones`` are among the first d + 1. ``subsets`` counts the 2-subsets of the keys, ``scan`` the
+    classes in the inverted lists of the first ``ones``; ``hashes`` is the whole set.
     """
     rows, n_blocks = dealt(docs)
     n_parts = n_blocks
@@ -121,49 +126,141 @@ def keys_of(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Da
             shared = [int(j) for j in range(len(order)) if frequency[order[j]]]
             if not shared:
                 continue
-            ones = [j for j in shared if j <= d]
-            signed = h.view(np.int64)
-            out += [(0, int(signed[order[j]]), node, n, j, int(frequency[order[j]]), None) for j in ones]
-            if n <= MOST_SMALL:
-                pairs = np.array(list(combinations(shared, 2)), dtype=np.int64).reshape(-1, 2)
-                joined = mixed(h[order[pairs[:, 0]]] * MIX_1 + h[order[pairs[:, 1]]]).view(np.int64)
-                out += [(1, int(key), node, n, int(j), int(frequency[order[i]]), None) for key, (i, j) in zip(joined, pairs, strict=True)]
-            out.append((2, None, node, n, None, None, h.tobytes()))
-        return pd.DataFrame(out, columns=["kind", "key", "node", "n", "place", "frequency", "hashes"]).astype({"key": "Int64", "place": "Int32", "frequency": "Int32"})
+            ones = sum(j <= d for j in shared)
+            lists = float((2.0 ** (frequency[order[shared[:ones]]] / 8)).sum())
+            out.append((node, n, ones, h[order[shared]].tobytes(), len(shared) * (len(shared) - 1) // 2, lists, h.tobytes()))
+        return pd.DataFrame(out, columns=["node", "n", "ones", "keys", "subsets", "scan", "hashes"])
 
     answers = rows.groupBy("block").cogroup(mine.groupBy("of")).applyInPandas(asked, "part int, block int, hashes binary, many binary, counts binary")
     answers = answers.groupBy("part").applyInPandas(counted, "of int, part int, codes binary")
     both = mine.unionByName(answers, allowMissingColumns=True)
-    return rows.groupBy("block").cogroup(both.groupBy("of")).applyInPandas(listed, "kind int, key long, node binary, n int, place int, frequency int, hashes binary")
+    return rows.groupBy("block").cogroup(both.groupBy("of")).applyInPandas(listed, "node binary, n int, ones int, keys binary, subsets long, scan double, hashes binary")
+
 
+def boundary(found: DataFrame) -> int:
+    """Size up to which sets are small: where listing 2-subsets below and scanning lists above cost least together, in rows.
 
-def boundary(keys: DataFrame) -> int:
-    """Size up to which sets are small: where listing 2-subsets below and scanning lists above cost least together, in rows."""
-    scan = F.sum(F.when(F.col("kind") == 0, F.pow(F.lit(2.0), F.col("frequency") / 8)))
-    cost = keys.filter((F.col("n") <= MOST_SMALL) & (F.col("kind") < 2)).groupBy("n").agg(scan.alias("scan"), F.sum(F.when(F.col("kind") == 1, 1)).alias("subsets")).collect()  # MOST_SMALL rows
+    Sizes above 4,096 are taken together in steps of a 64th of a power of two, so the rows read here are few whatever the corpus.
+    """
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("n"))) - 6, F.lit(0)))
+    size = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(F.floor(F.col("n") / step) * step)
+    cost = found.groupBy(size.alias("size")).agg(F.sum("scan").alias("scan"), F.sum("subsets").alias("subsets"), F.max("n").alias("n")).collect()
     best, at, total = 0.0, 0, 0.0
-    for r in sorted(cost):
-        total += (r["subsets"] or 0) - (r["scan"] or 0.0)
-        if total <= best:
+    for r in sorted(cost, key=lambda r: r["n"]):
+        total += r["subsets"] - r["scan"]
+        if total < best:
             best, at = total, r["n"]
     return at
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold."""
+def keys_of(found: DataFrame, small: int, percent: int) -> DataFrame:
+    """kind, key, node, n, large: the keys by which classes meet, 0 for one shingle and 1 for two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "x", 16 << 20):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+        for batch in blocks(batches, "keys", 1 << 20):
+            kinds, keys, rows = [], [], []
+            for i, (n, ones, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "ones", "keys")), strict=True)):
+                h = np.frombuffer(own, np.uint64)
+                if 100 * n >= percent * (small + 1):  # large, or small enough to be a large one's partner
+                    keys.append(h[:ones])
+                    kinds.append(np.zeros(ones, np.int32))
+                    rows.append(np.full(ones, i))
+                if n <= small:
+                    pairs = np.array(list(combinations(range(len(h)), 2)), dtype=np.int64).reshape(-1, 2)
+                    keys.append(mixed(h[pairs[:, 0]] * MIX_1 + h[pairs[:, 1]]))
+                    kinds.append(np.ones(len(pairs), np.int32))
+                    rows.append(np.full(len(pairs), i))
+            if keys:
+                at = pa.array(np.concatenate(rows))
+                n = batch.column("n").take(at)
+                large = pa.array(n.to_numpy(zero_copy_only=False) > small)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys).view(np.int64)), batch.column("node").take(at), n, large], names=["kind", "key", "node", "n", "large"])
+
+    return found.select("node", "n", "ones", "keys").mapInArrow(run, "kind int, key long, node binary, n int, large boolean")
+
+
+def binned(listed: DataFrame, most: int = BIN) -> tuple[DataFrame, int]:
+    """bin and node: every two classes that share a key share a bin; and the shingles of all bins together."""
+    lead = listed.groupBy("kind", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.max("large").alias("any_large"))
+    # a list in which only small sets stand, or one set, joins nothing
+    lead = lead.filter((F.col("lead") != F.col("last")) & (F.col("any_large") | (F.col("kind") == 1))).drop("last", "any_large")
+    met = listed.join(lead, ["kind", "key"]).groupBy("lead", "node").agg(F.first("n").alias("n"))
+    met = staged(met, "jaccard-met")
+    weights = met.groupBy("lead").agg(F.sum("n").alias("weight"))
+    total, widest = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    plain = F.xxhash64("lead").alias("bin")
+    if widest <= most:
+        return met.select(plain, "node"), total
+    cut = F.ceil(F.col("weight") / F.lit(most / 2)).cast("int")
+    wide = weights.filter(F.col("weight") > most).select("lead", cut.alias("cut"))
+    rest = met.join(wide, "lead", "left_anti").select(plain, "node")
+    own: Column = F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")
+    pairs = met.join(wide, "lead").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    pairs = pairs.select(F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("bin"), "node")
+    return rest.unionByName(pairs), total * 2
+
+
+def joined(nodes: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links among the sets."""
+    m = len(sets)
+    sizes = np.array([len(h) for h in sets], dtype=np.int64)
+    own = np.repeat(np.arange(m), sizes)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count[number] > 1
+    own, number = own[many], number[many]
+    start = np.searchsorted(own, np.arange(m + 1))
+    lists = own[np.argsort(number, kind="stable")]
+    at = np.zeros(len(count) + 1, dtype=np.int64)
+    np.cumsum(np.bincount(number, minlength=len(count)), out=at[1:])
+    root = list(range(m))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(m):
+        terms = number[start[i] : start[i + 1]]
+        if not len(terms):
+            continue
+        low, n = at[terms], at[terms + 1] - at[terms]
+        ends = np.cumsum(n)
+        both = np.bincount(lists[np.repeat(low - (ends - n), n) + np.arange(ends[-1])], minlength=m)
+        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both)).tolist():
+            if j > i and (a := top(i)) != (b := top(j)):
+                root[b] = a
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def links_of(bins: DataFrame, total: int, found: DataFrame, percent: int) -> DataFrame:
+    """a and b: links that join all classes which any links join."""
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        size, last = 0, None
+
+        def passed() -> pa.RecordBatch:
+            links = joined(list(held), list(held.values()), percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, node, h in zip(batch.column("bin").to_pylist(), batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+                if key != last and size >= AT_ONCE:  # whole bins only; those joined together may share sets
+                    yield passed()
+                    held, size = {}, 0
+                last = key
+                if node not in held:
+                    held[node] = np.frombuffer(h.as_py(), np.uint64)
+                    size += len(held[node])
+        if held:
+            yield passed()
+
+    parts = max(1, math.ceil(total * 8 / TASK_BYTES))
+    rows = bins.join(found.select("node", "hashes"), "node").select("bin", "node", "hashes")
+    return rows.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(run, "a binary, b binary")
 
 
 def linked(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -175,31 +272,11 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """
     rows = staged(sets_of(docs, words), "jaccard-sets")
     classes = staged(rows.dropna(subset=["doc_id", "node"]).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    keys = staged(keys_of(docs, classes, words, percent), "jaccard-keys")
-    small = boundary(keys)
-    sets = keys.filter("kind = 2").select("node", "hashes")
-    large = F.col("n") > small
-    # a small set stands in the inverted lists if a large one may be its partner
-    listed = keys.filter(((F.col("kind") == 0) & (100 * F.col("n") >= percent * (small + 1))) | ((F.col("kind") == 1) & ~large))
-    listed = listed.select("kind", "key", "node", "n", "place", large.alias("large"))
-    lead = listed.groupBy("kind", "key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.max("large").alias("any_large"))
-    lead = lead.filter((F.col("lead") != F.col("last")) & (F.col("any_large") | (F.col("kind") == 1))).drop("last", "any_large")
-    met = staged(listed.join(lead, ["kind", "key"]), "jaccard-met")
-    star = met.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(star, sets, percent), "jaccard-links")
+    found = staged(prefixes(docs, classes, words, percent), "jaccard-prefixes")
+    bins, total = binned(keys_of(found, boundary(found), percent))
+    links = staged(links_of(bins, total, found, percent), "jaccard-links")
+    discard(found)
     labels = components(links)
-    at = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = at.groupBy("kind", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("kind", "key")
-    open_ = staged(at.join(open_, ["kind", "key"]).drop("lead"), "jaccard-open")
-    x, y = (open_.select("kind", "key", *(F.col(c).alias(c + side) for c in ("node", "n", "place", "large", "label"))) for side in ("_x", "_y"))
-    need = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent) - F.lit(1e-9))
-    rest = F.col("kind") + 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) - 1
-    meets = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    pairs = x.join(y, ["kind", "key"]).filter(meets & (rest >= need) & ((F.col("kind") == 1) | F.col("large_x") | F.col("large_y")))
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    more = staged(verified(pairs, sets, percent), "jaccard-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "label").select("node", "component_id")
@@ -209,12 +286,16 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` less all but the first (by doc_id) of each group that links join; rows without words or id all stay."""
+    """The rows of ``docs`` less all but the first (by doc_id) of each group that links join; rows without words or id all stay.
+
+    Of rows that repeat both id and text one stays. Columns may have any names; an empty table stays empty.
+    """
     found = staged(linked(docs, words, percent), "jaccard-found")
     grouped = found.dropna(subset=["doc_id", "node"])
     first = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).select("first.*")
     repeats = not grouped.groupBy("doc_id", "row_key").count().filter("count > 1").isEmpty()
     alone = found.filter("doc_id IS NULL OR node IS NULL").select("doc_id", "row_key").distinct()
-    keep = first.unionByName(alone).distinct().select(F.col("doc_id").alias("of"), F.col("row_key").alias("key"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")), "left_semi")
+    of, key = fresh(docs, "kept_id", "kept_key")
+    keep = first.unionByName(alone).distinct().select(F.col("doc_id").alias(of), F.col("row_key").alias(key))
+    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep[of]) & (F.xxhash64(docs["text"]) == keep[key]), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"]) if repeats else rows
