@@ -1,19 +1,21 @@
 """Mixture-controlled packing: deficit round-robin over one queue a source.
 
-In each round (window) a source's deficit grows by its quantum, its share of the window's tokens, and the source sends documents from its queue
-while the next one fits the deficit; what is left is carried on. A document that ends at token c of its queue is therefore sent in round
-ceil(c / quantum), whatever the other queues do, so rounds follow from running sums that Spark computes in blocks: the deficit is carried over
-windows and partitions without one task that sees all documents. The rounds end to end are one stream, cut every ``length`` tokens.
+A window is a fixed number of sequences. In every window each source gets its quantum, its share of the window's tokens; the fraction of a token that
+it is owed is its deficit and is carried on. Served so, token k of a source with rate p falls due at the time (k + 1/2) / p, whatever the other queues do, so
+the tokens that a source has sent by the end of any window follow in closed form from the queues' lengths and rates: the deficits pass through
+all windows and partitions without a task that sees more than its own documents. Documents are cut where a window ends, so each window
+holds its target proportions to a few tokens; when a queue is empty the others share its quantum.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,15 +26,22 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """uid, doc_id, source, n and ids (16-bit numbers where they fit, else 32-bit) of every row, written once."""
+    """uid, source, n, doc_ids, lengths and ids (16-bit numbers where they fit, else 32-bit): a row for each source in each block of documents, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             ids = [np.append(x, np.uint32(end)) for x in encoder(path).many(batch.column("text").to_pylist())]
-            narrow = [x.astype(np.uint16).tobytes() if x.max() < 65536 else b"\xff" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source").cast(pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array(narrow, pa.binary())], names=["doc_id", "source", "n", "ids"])
-
-    rows = docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n long, ids binary")
+            doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            members: dict[str | None, list[int]] = {}
+            for i, source in enumerate(batch.column("source").cast(pa.string()).to_pylist()):
+                members.setdefault(source, []).append(i)
+            joined = [np.concatenate([ids[i] for i in own]) for own in members.values()]
+            narrow = [x.astype(np.uint16).tobytes() if x.max() < 65536 else b"\xff" + x.tobytes() for x in joined]
+            lists = [[[of[i] for i in own] for own in members.values()] for of in (doc_ids, [len(x) for x in ids])]
+            columns = [pa.array(list(members), pa.string()), pa.array([len(x) for x in joined], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists), pa.array(narrow, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "n", "doc_ids", "lengths", "ids"])
+
+    rows = docs.select("doc_id", "source", "text").mapInArrow(run, "source string, n long, doc_ids array<long>, lengths array<long>, ids binary")
     return staged(rows.withColumn("uid", F.monotonically_increasing_id()), "pack-tokens")
 
 
@@ -57,48 +66,94 @@ def running(rows: DataFrame, by: list[str], order: str, value: str, out: str, fa
     return rows.join(offsets, [*by, "rs_block"]).withColumn(out, F.col("rs_in") + F.col("rs_offset")).drop("rs_block", "rs_in", "rs_offset")
 
 
-def placed(rows: DataFrame, window: int, proportions: dict[str | None, float] | None) -> DataFrame:
-    """uid, window and place (tokens before it in the stream) of rows with uid, source and n."""
-    queue: Column = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
-    rows = rows.select("uid", queue.alias("queue"), "n")
-    queued = running(rows, ["queue"], "uid", "n", "before")
-    totals = rows.groupBy("queue").agg(F.sum("n").alias("queue_tokens"))
-    if proportions is None:  # as much as there is, so that all queues end together
-        share = F.col("queue_tokens") / F.sum("queue_tokens").over(Window.partitionBy())
-    else:
-        pairs = [F.lit(x) for k, v in proportions.items() for x in ("0" if k is None else f"1{k}", v / sum(proportions.values()))]
-        share = F.coalesce(F.create_map(*pairs)[F.col("queue")], F.lit(1.0 / window))
-    quantum = totals.select("queue", F.greatest(share * window, F.lit(1.0)).alias("quantum"))  # one row a source
-    rounds = queued.join(quantum, "queue").withColumn("window", F.ceil((F.col("before") + F.col("n")) / F.col("quantum")))
-    rounds = staged(rounds.select("uid", "queue", "n", "window"), "pack-rounds")
-    per_round = running(rounds.groupBy("window").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"], "window", "n", "window_start")
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("window").orderBy("queue", "uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rounds.withColumn("inside", inside).join(per_round.select("window", "window_start"), "window").select("uid", "window", (F.col("inside") + F.col("window_start")).alias("place"))
-
-
-def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportions: dict[str | None, float] | None = None, end: int = 0, path: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Rounds:
+    """Queues of ``tokens``, served at ``rates``, in windows of ``size`` tokens; each window holds its sources one after the other."""
+
+    tokens: np.ndarray
+    rates: np.ndarray
+    size: int
+
+    def due(self, time: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (second axis) that are due by each time."""
+        return np.minimum(self.tokens, np.floor(time[:, None] * self.rates + 0.5).astype(np.int64))
+
+    def sent(self, window: np.ndarray) -> np.ndarray:
+        """Tokens of each queue sent before each window. Of those due at the same moment the first queues' go first."""
+        total = np.minimum(window * self.size, self.tokens.sum())
+        low, high = np.zeros(len(window)), np.full(len(window), (self.tokens / self.rates).max() * 1.01 + 1.0)
+        while True:
+            middle = (low + high) / 2
+            if not ((low < middle) & (middle < high)).any():
+                break
+            over = self.due(middle).sum(1) > total
+            low, high = np.where(over, low, middle), np.where(over, middle, high)
+        before = self.due(low)
+        tied = self.due(high) - before
+        return before + np.clip((total - before.sum(1))[:, None] - (np.cumsum(tied, axis=1) - tied), 0, tied)
+
+    def window_of(self, queue: int, token: int) -> int:
+        """A window next to the one in which a token of a queue is sent."""
+        return int(self.due(np.array([(token + 0.5) / self.rates[queue]])).sum()) // self.size
+
+    def pieces(self, queue: int, before: int, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Document (by its place in ``lengths``), start in it, length, place in the stream, and window of each piece of consecutive documents, of which
+        the first begins at token ``before`` of its queue; no piece crosses a window or a multiple of ``length``."""
+        n = int(lengths.sum())
+        windows = np.arange(max(0, self.window_of(queue, before) - 2), self.window_of(queue, before + n - 1) + 4)
+        sent = np.concatenate([self.sent(part) for part in np.array_split(windows, -(-len(windows) // 1024))])
+        own, ends = sent[:, queue], before + np.cumsum(lengths)
+        inside = own[(own > before) & (own < before + n)]
+        start = np.unique(np.concatenate([ends - lengths, inside]))
+        size = np.diff(np.append(start, before + n))
+        w = np.searchsorted(own, start, side="right") - 1
+        ahead = (sent[w + 1, :queue] - sent[w, :queue]).sum(1)
+        place = windows[w] * self.size + ahead + start - own[w]
+        times = (place + size - 1) // length - place // length + 1
+        which = np.repeat(np.arange(len(start)), times)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        low = np.maximum(place[which], (place[which] // length + nth) * length)
+        high = np.minimum(place[which] + size[which], (place[which] // length + nth + 1) * length)
+        at = start[which] + low - place[which]
+        doc = np.searchsorted(ends, at, side="right")
+        return doc, at - (ends - lengths)[doc], high - low, low, windows[w][which]
+
+
+def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportions: dict[str | None, float] | None = None, end: int = 0, path: str | None = None, most_sources: int = 100_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, window: one row for each piece of a document in a sequence.
 
-    A window is ``windows_of`` sequences of ``length`` tokens; sources share it by ``proportions``, by default by their tokens. Only the last sequence can
-    be shorter. A null text is packed as an empty one (its end id alone), a null source is a source of its own, a null doc_id stays null, and
-    repeated rows are documents of their own. Other columns are ignored; an empty table has no pieces.
+    A window is ``windows_of`` sequences of ``length`` tokens; sources share it by ``proportions``, by default by their tokens, so that all queues end
+    together; sources not named wait until the others are used up. Only the last sequence can be shorter. A null text is packed as an empty one (its end id
+    alone), a null source is a source of its own, a null doc_id stays null, and repeated rows are documents of their own. Other columns are
+    ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused.
     """
     tokens = tokenized(docs, path or tokenizer_path(), end)
-    places = placed(tokens, length * windows_of, proportions)
+    totals = tokens.groupBy("source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
+    if len(totals) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group them before packing")
+    totals = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
+    queues = {r["source"]: i for i, r in enumerate(totals)}
+    amounts = np.array([r["n"] for r in totals], dtype=np.int64)
+    rates = amounts.astype(np.float64)
+    if proportions is not None:
+        whole = sum(proportions.values())
+        rates = np.array([max(proportions.get(s, 0.0) / whole, 1e-9) for s in queues])
+    rounds = Rounds(amounts, rates / max(rates.sum(), 1e-300), length * windows_of)
+    queue = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
+    # a row of three numbers for each source of each block: small enough to be broadcast by its file size, or joined by a shuffle
+    starts = staged(running(tokens.select("uid", queue.alias("queue"), "n"), ["queue"], "uid", "n", "before").select("uid", "before"), "pack-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
-        for batch in blocks(batches, "ids", 8 << 20):
-            out = []
-            for doc_id, source, ids, place, window in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "place", "window")), strict=True):
-                ids = widened(ids)
-                at = 0
-                while at < len(ids):
-                    sequence, offset = divmod(place + at, length)
-                    n = min(length - offset, len(ids) - at)
-                    out.append((doc_id, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), sequence, offset, source, window))
-                    at += n
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if name == "source" else pa.int64()) for x, name in zip(columns, names, strict=True)], names=names)
-
-    return tokens.drop("n").join(places, "uid").select("doc_id", "source", "ids", "place", "window").mapInArrow(run, SCHEMA)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                lengths = np.array(r["lengths"], dtype=np.int64)
+                doc, start, size, place, window = rounds.pieces(queues[r["source"]], r["before"], lengths, length)
+                ids = widened(r["ids"])
+                low = (np.cumsum(lengths) - lengths)[doc] + start
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(low.tolist(), size.tolist(), strict=True)]
+                columns = [pa.array(r["doc_ids"], pa.int64()).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, lengths[doc], place // length, place % length)), pa.array([r["source"]] * len(doc), pa.string()), pa.array(window, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return tokens.drop("n").join(starts, "uid").select("source", "doc_ids", "lengths", "ids", "before").mapInArrow(run, SCHEMA)

@@ -139,7 +139,7 @@ def test_small_sets_are_listed_by_subsets(spark):
     docs = frame(spark, texts)
     rows = staged(jaccard.sets_of(docs, 4), "t")
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    assert jaccard.boundary(staged(jaccard.keys_of(docs, classes, 4, 70), "t")) > 0
+    assert jaccard.boundary(staged(jaccard.prefixes(docs, classes, 4, 70), "t")) > 0
     got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(docs, 4, 70).collect()}
     assert [got[i] for i in range(90)] == linked_by_force(texts, 4, 70)[1]
 
@@ -239,8 +239,44 @@ def test_packing_is_gapless_and_holds_every_id_once(spark):
     assert (filled.iloc[:-1] == 256).all() and filled.index.tolist() == list(range(len(filled)))
     assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all()
     share = got.groupby(got.source.fillna("-")).length.sum() / got.length.sum()
-    half = got[got.sequence_id < len(filled) // 2]
-    assert (half.groupby(half.source.fillna("-")).length.sum() / half.length.sum() - share).abs().max() < 0.1
+    assert (got.sequence_id // 8 == got.window).all()
+    per = got.groupby(["window", got.source.fillna("-")]).length.sum().unstack(fill_value=0)
+    assert (abs(per.iloc[:-1] - 8 * 256 * share) <= 4).all().all()  # every window but the last, which is shorter
+
+
+def test_windows_hold_given_proportions_until_a_queue_ends(spark):
+    rng = np.random.default_rng(19)
+    docs = frame(spark, [prose(rng, int(n)) for n in rng.integers(1, 400, 150)], source=lambda k: "abc"[k % 3]).filter("source IS NOT NULL")
+    got = packing.packed(docs, length=128, windows_of=4, proportions={"a": 1.0, "b": 3.0, "c": 4.0}).toPandas()
+    per = got.groupby(["window", "source"]).length.sum().unstack(fill_value=0)
+    full = per[(per > 0).all(axis=1)].iloc[:-1]
+    assert len(full) > 5 and (abs(full - np.array([64, 192, 256])) <= 3).all().all()
+    assert (per.sum(axis=1).iloc[:-1] == 512).all() and per["a"].iloc[-2] > 64  # the others share an empty queue's quantum
+    with pytest.raises(ValueError, match="sources"):
+        packing.packed(docs, most_sources=2)
+
+
+def test_rounds_hold_each_token_once():
+    rng = np.random.default_rng(20)
+    for case in range(20):
+        n = rng.integers(1, 3000, int(rng.integers(1, 30)))
+        rates = np.ones(len(n)) if case % 2 else rng.uniform(0.001, 1, len(n))
+        rounds = packing.Rounds(n, rates / rates.sum(), 320)
+        windows = np.arange(-(-int(n.sum()) // 320) + 2)
+        sent = rounds.sent(windows)
+        assert (np.diff(sent, axis=0) >= 0).all() and (sent.sum(1) == np.minimum(windows * 320, n.sum())).all()
+        seen = np.zeros(n.sum(), dtype=int)
+        for q in range(len(n)):
+            at = 0
+            while at < n[q]:
+                lengths = np.diff(np.unique([0, *rng.integers(0, 700, 3), 700]).clip(0, n[q] - at))
+                lengths = lengths[lengths > 0]
+                _, _, size, place, window = rounds.pieces(q, at, lengths, 32)
+                assert size.sum() == lengths.sum() and (place // 32 == (place + size - 1) // 32).all() and (place // 320 == window).all()
+                for a, k in zip(place, size, strict=True):
+                    seen[a : a + k] += 1
+                at += int(lengths.sum())
+        assert (seen == 1).all()
 
 
 def test_ids_in_pieces_equal_ids_of_the_whole():
