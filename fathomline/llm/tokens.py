@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import os
 import struct
-from itertools import chain, islice
+from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
@@ -27,13 +28,27 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}}
 
 
-class Encoder:
-    """text -> ids as 32-bit numbers.
+class Cache(dict):
+    """What ``make`` gives for each key; after :meth:`trim` at most ``most`` entries. Frequent keys come early, so a full cache gives up its newer half."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            for key in list(islice(self, self.most // 2, None)):
+                del self[key]
 
-    The two caches hold ``most`` entries each at most (about 200 bytes an entry). A full one gives up its newer half: frequent pieces come early and stay.
-    """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+class Encoder:
+    """text -> ids as 32-bit numbers. The caches hold ``most`` pieces and a fifth as many units (about 200 bytes an entry)."""
+
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -49,9 +64,7 @@ class Encoder:
         # the model without its own cache, as ours is asked first
         self.bpe = BPE(vocab=plan["model"]["vocab"], merges=merges, cache_capacity=0).tokenize if self.in_pieces else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.most = most
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.pieces, self.units = Cache(self.piece, most), Cache(self.unit, most // 5)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
@@ -63,31 +76,27 @@ class Encoder:
 
     def unit(self, unit: str) -> bytes:
         """Ids of one of the pre-tokeniser's units."""
-        found = self.units.get(unit)
-        if found is None:
-            found = self.pieces.get(unit[1:]) if unit[0] == " " and unit[1:].isalpha() else None
-            found = self.units[unit] = self.modelled(unit) if found is None else found
-        return found
+        found = self.pieces.get(unit[1:]) if unit[0] == " " and unit[1:].isalpha() else None
+        return self.modelled(unit) if found is None else found
+
+    def piece(self, word: str) -> bytes:
+        """Ids of a blank and what follows up to the next blank; letters alone are one unit."""
+        return self.modelled(" " + word) if word.isalpha() else b"".join(map(self.units.__getitem__, self.split(" " + word)))
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, none for null."""
-        for cache in (self.pieces, self.units):
-            if len(cache) > self.most:
-                for w in list(islice(cache, self.most // 2, None)):
-                    del cache[w]
-        known, unit = self.pieces, self.unit
-        cut = [t.split(" ") if t and self.in_pieces and not any(s in t for s in self.special) else None for t in texts]
-        for w in set(chain.from_iterable(words[1:] for words in cut if words)).difference(known):
-            # letters alone are one unit
-            known[w] = self.modelled(" " + w) if w.isalpha() else b"".join(map(unit, self.split(" " + w)))
+        self.pieces.trim()
+        self.units.trim()
+        piece, unit = self.pieces.__getitem__, self.units.__getitem__
         out = []
-        for text, words in zip(texts, cut, strict=True):
+        for text in texts:
             if not text:
                 ids = b""
-            elif words is None or "" in words:  # special tokens; runs of blanks
+            elif not self.in_pieces or "  " in text or text[-1] == " " or any(s in text for s in self.special):  # runs of blanks; special tokens
                 ids = self.encode(text)
             else:
-                ids = b"".join([*map(unit, self.split(words[0])), *map(known.__getitem__, words[1:])])
+                first, *words = text.split(" ")
+                ids = b"".join([*map(unit, self.split(first)), *map(piece, words)])
             out.append(np.frombuffer(ids, dtype=np.uint32))
         return out
 
