@@ -71,3 +71,35 @@ def by_longest_key(rows: DataFrame, column: str, policy: DataFrame, key: str, va
     best = fits.groupBy(column).agg(F.max_by(F.struct(*values), F.struct((F.col(column) == F.col(key)).cast("int"), F.length(key), F.col(key))).alias("_p"))
     best = best.select(F.col(column).alias("_class"), *[F.col(f"_p.{v}").alias(v) for v in values])
     return rows.join(best, rows[column].eqNullSafe(F.col("_class")), "left").drop("_class")
+
+
+def interpolated(points: DataFrame, control: DataFrame, by: list[str], on: str, value: str, out: str) -> DataFrame:
+    """``points`` with ``out``, the control points' ``value`` at ``on`` on straight lines between them; outside, the first and the last line go on.
+
+    A single control point gives its value everywhere, no control point null. Two as-of joins, no pairs.
+    """
+    w = Window.partitionBy(*by).orderBy(on)
+    lines = control.select(*by, on, F.struct(F.col(on).alias("x0"), F.col(value).alias("y0"), F.lead(on).over(w).alias("x1"), F.lead(value).over(w).alias("y1"), F.lag(on).over(w).alias("xp"), F.lag(value).over(w).alias("yp")).alias("_line"))
+    back = asof(points, lines, by, on, ["_line"]).drop(f"{on}_matched").withColumnRenamed("_line", "_back")
+    both = asof(back, lines, by, on, ["_line"], forward=True).drop(f"{on}_matched")
+    a = F.coalesce("_back", "_line")
+    x = F.col(on)
+    ahead = a["y0"] + (a["y1"] - a["y0"]) * (x - a["x0"]) / (a["x1"] - a["x0"])
+    beyond = a["yp"] + (a["y0"] - a["yp"]) * (x - a["xp"]) / (a["x0"] - a["xp"])
+    return both.withColumn(out, F.coalesce(F.when(a["x1"].isNotNull(), ahead), F.when(a["xp"].isNotNull(), beyond), a["y0"])).select(*points.columns, out)
+
+
+def bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, value: str, out: str) -> DataFrame:
+    """``points`` (unique by all their columns) with ``out``: the grid's ``value`` (at whole i, j) between the four corners around x, y.
+
+    Corners that are missing or null drop out and the others' weights are scaled up; without any, the result is null.
+    """
+    i, j = F.floor(F.col(x)).cast("long"), F.floor(F.col(y)).cast("long")
+    fx, fy = F.col(x) - i, F.col(y) - j
+    corner = lambda di, dj, w: F.struct((i + di).alias("i"), (j + dj).alias("j"), w.alias("w"))
+    corners = F.explode(F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy)))
+    spread = points.withColumn("_c", corners).withColumn("_i", F.col("_c.i")).withColumn("_j", F.col("_c.j"))
+    g = grid.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col(value).alias("_v"))
+    met = spread.join(g, ["_i", "_j"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_c.w")).otherwise(0.0))
+    sums = met.groupBy(*points.columns).agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("_s"), F.sum("_w").alias("_n"))
+    return sums.withColumn(out, F.when(F.col("_n") > 1e-9, F.col("_s") / F.col("_n"))).select(*points.columns, out)

@@ -75,3 +75,31 @@ def gated(rows: DataFrame, by: list[str], fields: list[str], order: str, distanc
 
     fixes = fixes.withColumn("_o", F.aggregate("_f", start, step)["out"])
     return fixes.select(*by, F.explode(F.arrays_zip("_f", "_o")).alias("_z")).select(*by, F.col(f"_z._f.{order}").alias(order), F.col("_z._o").alias("accepted"))
+
+
+def filled_along(rows: DataFrame, by: list[str], order: str, at: str, value: str, out: str) -> DataFrame:
+    """Known values, and straight lines over ``at`` between them; before the first known value null, after the last one that value."""
+    w = Window.partitionBy(*by).orderBy(order)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("x"), F.col(value).alias("v")))
+    a, b = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("_a", a).withColumn("_b", b)
+    a, b = F.col("_a"), F.col("_b")
+    line = F.when(b.isNull() | (b["x"] == a["x"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(at) - a["x"]) / (b["x"] - a["x"]))
+    return rows.withColumn(out, F.coalesce(F.col(value), line)).drop("_a", "_b")
+
+
+def numbered(rows: DataFrame, order: str | list[Column], amount: Column | None = None) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 in the order of all rows, and ``before``, the sum of ``amount`` (1) over all earlier rows.
+
+    The order must be total. Rows are dealt by ranges and sorted there; each range's total, one row a range, is all that meets in one place, so no
+    task sees the whole table.
+    """
+    order = [F.col(order)] if isinstance(order, str) else list(order)
+    dealt = rows.withColumn("_amount", F.lit(1) if amount is None else amount).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("_s", F.sum("_amount").over(inside))
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_amount").alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"))
+    out = dealt.join(F.broadcast(totals), "_part")  # one row a range
+    return out.withColumn("place", F.col("_r0") + F.col("_n")).withColumn("before", F.col("_s0") + F.col("_s") - F.col("_amount")).drop("_part", "_amount", "_n", "_s", "_r0", "_s0")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from fathomline.plans import drift, retrieval, survey, telemetry, triage  # noqa: E402, F401  they register themselves
+from fathomline.plans import drift, georef, retrieval, survey, telemetry, triage  # noqa: E402, F401  they register themselves
