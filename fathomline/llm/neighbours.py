@@ -1,19 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and word beginnings that mark label 1 in the labelled sample; their document frequencies are counted over all documents.
-The index keeps, for each term and block of examples, the largest weight. A search visits blocks by falling upper bound and stops when
-no block left can hold a nearer example, so its result is exact.
+Terms are all words of the labelled sample and their beginnings; their document frequencies are counted over all documents. How strongly a term marks
+label 1 in the sample is a factor on its weight. Examples lie in blocks; the index keeps, for each term and block, the largest weight and the examples
+that hold the term. A search scores the blocks of the highest upper bounds first, then those whose bound reaches the k-th cosine found; the others
+cannot hold a nearer example, so the result is exact.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,94 +23,142 @@ from fathomline.llm.labelled import labelled_sample, remainder
 
 #: ASCII capitals to small letters, ASCII punctuation to blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+#: Bytes of the beginnings of words that are terms.
+BEGINNINGS = (5, 7)
+#: Parts in which document frequencies are added up.
+PARTS = 16
+#: Texts that are searched together.
+TOGETHER = 64
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def forms(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its first 4 to 8 bytes (marked by a star), which stand for its inflected forms."""
-    return [word, *(word[:n] + b"*" for n in range(4, 9) if len(word) > n)]
+def forms(word: bytes) -> tuple[int, ...]:
+    """64-bit hashes of a word's terms: itself, and its beginnings (marked by a star), which stand for its inflected forms."""
+    return tuple(map(xxhash.xxh3_64_intdigest, [word, *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]))
 
 
-class TermNumbers(dict):
-    """word -> numbers of its terms in the vocabulary, mostly none; holds at most ``most`` words, then starts anew."""
+class Terms(dict):
+    """word -> numbers of its terms in the vocabulary (sorted hashes), or the hashes without one; holds at most about ``most`` words, then starts anew."""
 
-    def __init__(self, vocabulary: dict[bytes, int], most: int = 300_000) -> None:
+    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 150_000) -> None:
         super().__init__()
-        doubles = [t[:-1] for t in vocabulary if t.endswith(b"+")]
-        self.vocabulary = {**vocabulary, **{t: len(vocabulary) + i for i, t in enumerate(sorted(t for t in doubles if t not in vocabulary))}}
-        self.doubled = {self.vocabulary[t]: vocabulary[t + b"+"] for t in doubles}
-        self.parts = {i for t, i in self.vocabulary.items() if t not in vocabulary}  # counted for their doubled term only
-        self.most = most
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        self.vocabulary, self.most = vocabulary, most
+
+    def learn(self, words: set[bytes]) -> None:
+        """Looks up the terms of all new words together."""
+        for batch in np.array_split(np.array(list(words), dtype=object), -(-len(words) // 20_000)):
+            found = [forms(w) for w in batch]
+            if self.vocabulary is not None and len(self.vocabulary):
+                h = np.fromiter(chain.from_iterable(found), dtype=np.uint64)
+                at = np.searchsorted(self.vocabulary, h)
+                number = iter(np.where(self.vocabulary.take(at, mode="clip") == h, at, -1).tolist())
+                found = [tuple([i for i in islice(number, len(f)) if i >= 0]) for f in found]
+            elif self.vocabulary is not None:
+                found = [()] * len(found)
+            self.update(zip(batch.tolist(), found, strict=True))
+
+    def of(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each text, rising, and how often each occurs."""
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[t] for t in forms(word) if t in self.vocabulary)
-        return found
+        split = [words_of(text) for text in texts]
+        if new := {w for words in split for w in words if w not in self}:
+            self.learn(new)
+        kind = np.uint64 if self.vocabulary is None else np.int64
+        for words in split:
+            yield np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), dtype=kind), return_counts=True)
 
-    def of(self, text: bytes | None) -> Counter:
-        """How often each term of the vocabulary occurs in a text. A term that occurs twice or more is also its doubled term."""
-        counts = Counter(chain.from_iterable(filter(None, map(self.__getitem__, words_of(text)))))
-        for t in [t for t, n in counts.items() if n > 1 and t in self.doubled]:
-            counts[self.doubled[t]] = 1
-        for t in [t for t in counts if t in self.parts]:
-            del counts[t]
-        return counts
+
+def ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... (n of them) for each pair, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(low - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-@dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples over ``n_terms`` terms, cut into blocks of ``block`` examples."""
-
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    n_terms: int
-    block: int = 32
-    tops: np.ndarray = field(init=False)
-    order: np.ndarray = field(init=False)
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)
-
-    def __post_init__(self) -> None:
-        n = len(self.vectors)
-        heaviest = [ids[np.argmax(w)] if len(ids) else self.n_terms for ids, w in self.vectors]
+    """Unit vectors of examples over ``n_terms`` terms, cut into blocks of ``block`` examples.
+
+    Terms that more than a ``frequent`` share of the examples hold are a dense matrix, whose part of the cosines is one product for many searches; the
+    others have lists. A block's bound is its largest part from the matrix and, for each other term, the largest weight in the block.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 32, frequent: float = 0.04) -> None:
+        n = self.n = len(vectors)
+        heaviest = [ids[np.argmax(w)] if len(ids) else n_terms for ids, w in vectors]
         self.order = np.lexsort((np.arange(n), heaviest))  # like examples share a block, which keeps the bounds low elsewhere
-        n_blocks = max(1, -(-n // self.block))
-        self.tops = np.zeros((self.n_terms, n_blocks))
-        per_term: list[list[tuple[int, float]]] = [[] for _ in range(self.n_terms)]
-        for place, i in enumerate(self.order):
-            for t, w in zip(*self.vectors[i], strict=True):
-                per_term[t].append((place, w))
-                self.tops[t, place // self.block] = max(self.tops[t, place // self.block], w)
-        self.postings = []
-        for found in per_term:
-            places, weights = np.array([p for p, _ in found], dtype=np.int64), np.array([w for _, w in found])
-            self.postings.append((places, weights, np.searchsorted(places, np.arange(n_blocks + 1) * self.block)))
-
-    def search(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the ``k`` nearest examples with a cosine above 0, ties to the smaller number."""
-        bounds = (w[:, None] * self.tops[ids]).sum(0)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, q in zip(ids, w, strict=True):
-                places, weights, cuts = self.postings[t]
-                part = slice(cuts[b], cuts[b + 1])
-                score[places[part] - b * self.block] += q * weights[part]
-            found = np.flatnonzero(score > 0)
-            best = sorted(best + [(-float(score[j]), int(self.order[b * self.block + j])) for j in found])[:k]
-        return np.array([i for _, i in best], dtype=np.int64), np.array([-s for s, _ in best])
+        self.block, self.n_blocks = block, max(1, -(-n // block))
+        sizes = np.array([len(vectors[i][0]) for i in self.order], dtype=np.int64)
+        term = np.concatenate([vectors[i][0] for i in self.order]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in self.order]) if n else np.zeros(0)
+        place = np.repeat(np.arange(n), sizes)
+        dense = np.bincount(term, minlength=n_terms) > max(8, frequent * n)
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.matrix = np.zeros((int(dense.sum()), self.n_blocks * block), np.float32)
+        mine = dense[term]
+        self.matrix[self.row[term[mine]], place[mine]] = weight[mine]
+        term, place, weight = term[~mine], place[~mine], weight[~mine]
+        by = np.argsort(term, kind="stable")
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by].astype(np.float32)
+        # an entry is a term in a block: its largest weight, and where its examples begin in the lists
+        key = term * self.n_blocks + self.place // block
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.start = np.append(first, len(key)).astype(np.int64)
+        self.of_block = (key[first] % self.n_blocks).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the numbers and cosines of its ``k`` nearest examples with a cosine above 0, ties to the smaller number, and how many blocks' lists were read."""
+        q = np.zeros((len(queries), len(self.matrix)), np.float32)
+        rest = []
+        for i, (ids, w) in enumerate(queries):
+            row = self.row[ids]
+            q[i, row[row >= 0]] = w[row >= 0]
+            rest.append((ids[row < 0], w[row < 0]))
+        for score, (ids, w) in zip(q @ self.matrix, rest, strict=True):
+            yield self.completed(score.astype(np.float64), ids, w, k)
+
+    def completed(self, score: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        low = self.entries[ids]
+        n = self.entries[ids + 1] - low
+        e, q = ranges(low, n), np.repeat(w, n)
+        block = self.of_block[e]
+        bounds = score.reshape(-1, self.block).max(axis=1) + np.bincount(block, q * self.top[e], minlength=self.n_blocks)
+        first = min(self.n_blocks, max(-(-2 * k // self.block), self.n_blocks // 12))
+        todo = np.argpartition(-bounds, first - 1)
+        scored = 0
+        done = np.zeros(self.n_blocks, dtype=bool)
+        for part in (todo[:first], todo[first:]):
+            if scored:
+                whole = score.reshape(-1, self.block)[done].ravel()
+                part = part[bounds[part] >= np.partition(whole, -k)[-k] - 1e-6]
+            scored += len(part)
+            chosen = np.zeros(self.n_blocks, dtype=bool)
+            chosen[part] = True
+            done |= chosen
+            mine = chosen[block]
+            own = e[mine]
+            size = self.start[own + 1] - self.start[own]
+            at = ranges(self.start[own], size)
+            score += np.bincount(self.place[at], self.weight[at] * np.repeat(q[mine], size), minlength=len(score))
+        score = np.where(np.repeat(done, self.block), score, 0.0)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        number = self.order[found]
+        best = np.lexsort((number, -score[found]))[:k]
+        return number[best], score[found][best], scored
 
 
 @dataclass
 class Voter:
     """The index with its terms, weights, labels and calibration."""
 
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    factor: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
     ids: np.ndarray
@@ -117,17 +166,17 @@ class Voter:
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + np.log(counts[i]) for i in ids]) * self.idf[ids] if len(ids) else np.zeros(0)
+    def vector(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.factor[ids]
         return ids, w / np.linalg.norm(w) if len(w) else w
 
-    def vote(self, ids: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Sum of the neighbours' cosines, those of label 0 below zero, over ``k``; and the neighbours."""
-        near, cosine = self.index.search(ids, w, self.k + (without >= 0))
-        keep = near != without
-        near, cosine = near[keep][: self.k], cosine[keep][: self.k]
-        return float((cosine * (2 * self.labels[near] - 1)).sum() / self.k), near, cosine
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each query the sum of the neighbours' cosines, those of label 0 below zero, over ``k``; and the neighbours. ``without``: an example for each that is no neighbour."""
+        for i, (near, cosine, _) in enumerate(self.index.search(queries, self.k + (without is not None))):
+            if without is not None:
+                keep = near != without[i]
+                near, cosine = near[keep][: self.k], cosine[keep][: self.k]
+            yield float((cosine * (2 * self.labels[near] - 1)).sum() / self.k), near, cosine
 
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * margin + self.shift))))
@@ -148,62 +197,65 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Number of documents, over all, that hold each term."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by max_terms
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Number of documents, over all, that hold each term. A task sends its counts as a few packed rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
+    edges = [len(vocabulary) * p // PARTS for p in range(PARTS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        numbers = TermNumbers(sent.value)
+        terms, total = Terms(sent.value), np.zeros(len(sent.value), dtype=np.int64)
         for batch in blocks(batches):
-            for text in raw(batch):
-                total.update(numbers.of(text).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # max_terms rows at most
-    df = np.zeros(len(vocabulary))
-    for r in counted:
-        df[r["term"]] = r["n"]
+            own = [ids for ids, _ in terms.of(raw(batch))]
+            total += np.bincount(np.concatenate(own), minlength=len(total)) if own else 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["part", "counts"])
+
+    def added(pdf):
+        pdf = pdf.groupby("part", as_index=False).agg({"counts": lambda c: sum(np.frombuffer(x, np.int64) for x in c).tobytes()})
+        return pdf
+
+    counted = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(added, "part int, counts binary")
+    df = np.zeros(len(vocabulary), dtype=np.int64)
+    for r in counted.collect():  # PARTS rows, a number a term together
+        df[edges[r["part"]] : edges[r["part"] + 1]] = np.frombuffer(r["counts"], np.int64)
     return df
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_terms: int = 4096, min_z: float = 4.0, min_lift: float = 6.0, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1) -> Voter | float:
-    """A voter over at most ``per_class`` examples of each label, or 0.0 / 1.0 if only one label occurs."""
-    sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 4000, 1: 2500})
+def strength(a: np.ndarray, b: np.ndarray, n1: int, n0: int, min_lift: float = 6.0) -> np.ndarray:
+    """Factor of each term: 1, and for terms ``min_lift`` times as frequent under label 1 up to about 10 + z more, as far as z, their distance from chance, is sure."""
+    share = (a + b) / (n1 + n0)
+    z = np.maximum(0.0, (a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0)))
+    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    return 1 + np.where(lift > min_lift, (10 + z) * z**3 / (z**3 + 64), 0.0)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1, calibrated: int = 1500) -> Voter | float:
+    """A voter over at most ``per_class`` examples of each label, or 0.0 / 1.0 if only one label occurs. ``calibrated`` examples, each without itself, fit the scores' curve."""
+    sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 1500, 1: 1200})
     if set(counts) != {0, 1}:
         return float(next(iter(counts), 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([b" ".join(sorted(words_of(x))) for x in raw(batch)])], names=["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([b" ".join(sorted(words_of(x))) for x in raw(batch)], pa.binary())], names=["doc_id", "label", "words"])
 
     rows = sample.mapInArrow(run, "doc_id long, label int, words binary").groupBy("words", "label").agg(F.min("doc_id").alias("doc_id")).collect()  # bounded by the sample
     rows = sorted(((r["doc_id"], r["label"], bytes(r["words"])) for r in rows))
     y = np.array([r[1] for r in rows])
-    held = [Counter(), Counter()]
-    for r in rows:
-        seen = Counter(t for w in r[2].split() for t in forms(w))
-        held[r[1]].update({*seen, *(t + b"+" for t, n in seen.items() if n > 1)})
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    strength = {}
-    for t, a in held[1].items() | {(t, 0) for t in held[0] if t not in held[1]}:
-        b = held[0][t]
-        share = (a + b) / (n1 + n0)
-        z = (a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-        r1, r0 = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-        if a >= 3 and z >= min_z and r1 / r0 >= min_lift:
-            strength[t] = z
-    chosen = sorted(sorted(strength, key=lambda t: (-strength[t], t))[:max_terms])
-    vocabulary = {t: i for i, t in enumerate(chosen)}
-    total = docs.count()
-    idf = np.log((total + 1) / (frequencies(docs, vocabulary) + 1)) + 1
-    voter = Voter(vocabulary, idf, BlockMaxIndex([], max(1, len(chosen))), y, np.array([r[0] for r in rows]), k)
-    numbers = TermNumbers(vocabulary)
-    vectors = [voter.vector(numbers.of(r[2])) for r in rows]
-    voter.index = BlockMaxIndex(vectors, max(1, len(chosen)))
-    margin = np.array([voter.vote(*v, without=i)[0] for i, v in enumerate(vectors)])
+    held = list(Terms().of([r[2] for r in rows]))
+    vocabulary = np.unique(np.concatenate([h for h, _ in held])) if held else np.zeros(0, np.uint64)
+    held = [(np.searchsorted(vocabulary, h), n) for h, n in held]
+    marked = [np.bincount(np.concatenate([h for (h, _), own in zip(held, y, strict=True) if own == v] or [np.zeros(0, np.int64)]), minlength=len(vocabulary)) for v in (0, 1)]
+    idf = np.log((docs.count() + 1) / (frequencies(docs, vocabulary) + 1)) + 1
+    voter = Voter(vocabulary, idf * strength(marked[1], marked[0], n1, n0), BlockMaxIndex([], 1), y, np.array([r[0] for r in rows]), k)
+    vectors = [voter.vector(*v) for v in held]
+    voter.index = BlockMaxIndex(vectors, len(vocabulary))
+    every = [np.flatnonzero(y == v)[:: max(1, -(-int((y == v).sum()) * 2 // calibrated))] for v in (0, 1)]
+    tried = np.concatenate(every)
+    margin = np.array([m for part in np.array_split(tried, -(-len(tried) // TOGETHER)) for m, _, _ in voter.votes([vectors[i] for i in part], part.tolist())])
     share = counts[1] / (counts[0] + counts[1])
-    voter.slope, voter.shift = platt(margin, y, np.where(y == 1, share / n1, (1 - share) / n0) * len(y))
+    weight = np.where(y[tried] == 1, share / max(1, len(every[1])), (1 - share) / max(1, len(every[0]))) * len(tried)
+    voter.slope, voter.shift = platt(margin, y[tried], weight)
     return voter
 
 
@@ -213,23 +265,22 @@ def scored(docs: DataFrame, voter: Voter | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
-        numbers = None if isinstance(v, float) else TermNumbers(v.vocabulary)
-        memo: dict[tuple, tuple] = {}  # texts with the same few terms are searched once
+        terms = None if isinstance(v, float) else Terms(v.vocabulary)
+        memo: dict[bytes, tuple] = {}  # equal texts are searched once
         shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in blocks(batches):
-            scores, margins, evidence = [], [], []
-            for text in raw(batch):
-                counts = {} if isinstance(v, float) else numbers.of(text)
-                key = tuple(sorted(counts.items()))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[key] = v.vote(*v.vector(counts)) if key else (0.0, [], [])
-                margin, near, cosine = memo[key]
-                scores.append(v if isinstance(v, float) else v.score(margin))
-                margins.append(margin)
-                evidence.append([{"doc_id": int(v.ids[i]), "label": int(v.labels[i]), "cosine": float(c)} for i, c in zip(near, cosine, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores), pa.array(margins), pa.array(evidence, shape)], names=["doc_id", "score", "margin", "evidence"])
+            texts = raw(batch)
+            keys = [xxhash.xxh3_128_digest(text or b"") for text in texts]
+            if len(memo) > 20_000:
+                memo.clear()
+            new = list({key: text for key, text in zip(keys, texts, strict=True) if key not in memo}.items())
+            for start in range(0, len(new), TOGETHER):
+                part = new[start : start + TOGETHER]
+                votes = ((0.0, [], []) for _ in part) if terms is None else v.votes([v.vector(*x) for x in terms.of([text for _, text in part])])
+                for (key, _), (margin, near, cosine) in zip(part, votes, strict=True):
+                    memo[key] = v if terms is None else v.score(margin), margin, [{"doc_id": int(v.ids[i]), "label": int(v.labels[i]), "cosine": float(c)} for i, c in zip(near, cosine, strict=True)]
+            scores, margins, evidence = zip(*map(memo.__getitem__, keys), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(evidence, shape)], names=["doc_id", "score", "margin", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, margin double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
 
@@ -237,9 +288,9 @@ def scored(docs: DataFrame, voter: Voter | float) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence: one row per document row.
 
-    A text without any of the terms (null and empty ones too) has no neighbours and gets the calibrated score of that. A null doc_id is in
+    A text without any of the sample's terms (null and empty ones too) has no neighbours and gets the calibrated score of that. A null doc_id is in
     no fold (held_out false). Repeated rows score alike; equal examples of one label count once. Labels of one class only, or none,
-    give every document that class's score (0 without labels).
+    give every document that class's score (0 without labels). Other columns are ignored, whatever their names; an empty table has no rows.
     """
     held = F.coalesce(remainder(F.col("doc_id"), options.get("modulus", 3)) == options.get("held_out", 1), F.lit(False))
     rows = scored(docs, fitted(docs, labels, **options))

@@ -324,22 +324,47 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(ids)
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [0.04, 0.4, 2.0])
+def test_block_max_search_is_exact(frequent):
     rng = np.random.default_rng(11)
     vectors = []
     for _ in range(300):
         ids = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
         w = rng.uniform(0.1, 1, len(ids))
         vectors.append((ids, w / np.linalg.norm(w) if len(w) else w))
-    index = neighbours.BlockMaxIndex(vectors, 40, block=16)
+    index = neighbours.BlockMaxIndex(vectors, 40, block=16, frequent=frequent)
     dense = np.zeros((300, 40))
     for i, (ids, w) in enumerate(vectors):
         dense[i, ids] = w
-    for q in range(0, 300, 7):
-        near, cosine = index.search(*vectors[q], 5)
+    for q, (near, cosine, scored) in enumerate(index.search(vectors, 5)):
         s = dense @ dense[q]
         want = [i for i in np.lexsort((np.arange(300), -s))[:5] if s[i] > 0]
-        assert np.allclose(cosine, s[want]) and np.allclose(s[near], s[want])
+        assert np.allclose(cosine, s[want], atol=1e-6) and np.allclose(s[near], s[want], atol=1e-6) and scored <= index.n_blocks
+
+
+def test_toxicity_neighbours_equal_brute_force(spark):
+    """The evidence is what cosines over all terms of all examples give, and a copy of an example finds it at 1."""
+    rng = np.random.default_rng(22)
+    texts = [prose(rng, int(n), 300) + " vile" * (i % 3 == 0) for i, n in enumerate(rng.integers(5, 60, 160))]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, [*texts, texts[0]])
+    voter = neighbours.fitted(docs, labels)
+    terms = neighbours.Terms(voter.vocabulary)
+    dense = np.zeros((len(voter.ids), len(voter.vocabulary)))
+    at = {int(d): i for i, d in enumerate(voter.ids)}
+    for d, i in at.items():
+        ids, w = voter.vector(*next(iter(terms.of([texts[d].encode()]))))
+        dense[i, ids] = w
+    got = {r["doc_id"]: r for r in neighbours.toxicity(docs, labels).collect()}
+    for d in range(0, 160, 7):
+        ids, w = voter.vector(*next(iter(terms.of([texts[d].encode()]))))
+        s = dense[:, ids] @ w
+        want = np.lexsort((np.arange(len(s)), -s))[:12]
+        evidence = got[d]["evidence"]
+        assert np.allclose([e["cosine"] for e in evidence], s[want], atol=1e-5)
+        assert np.allclose([s[at[e["doc_id"]]] for e in evidence], s[want], atol=1e-5)
+    assert all(got[d]["evidence"][0]["cosine"] == pytest.approx(1.0, abs=1e-5) for d in at)
+    assert got[160]["score"] == got[0]["score"]
 
 
 def test_toxicity_on_held_out_documents(spark):
