@@ -14,16 +14,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fathomline.llm.common import fresh
 
 #: The value after a secret word (with up to 24 more name characters) and = or : (with up to 16 blanks on either side): 6 or more characters up to a blank or quote, less a closing sign.
 ASSIGNED = (
     r"(?<=[=:\s\"'`])(?<=(?i:pass(?:word|wd|phrase)|pwd|token|secret|credential|(?:api|access|private|auth)[_-]?key)[A-Za-z0-9_-]{0,24}[\"'`]?\s{0,16}[=:]\s{0,16}[\"'`]?)"
     r"(?!(?i:bearer|basic)\s)(?:[^\s\"'`]{5,}[^\s\"'`,;.)\]}]|[^\s\"'`]{6,})"
 )
+#: The password of a URL's user, and the block of a private key.
+URL_PASSWORD = r"(?<=://[^\s/:@]{1,80}:)[^\s/@]{3,}(?=@)"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----"
 #: Besides, runs of 16 or more key characters with a letter and a digit, and key ids of a known form without a digit.
-CANDIDATE = ASSIGNED + r"|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}|A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9_+/-]))"
-#: Characters on either side in which neighbouring words are sought.
-REACH = 160
+CANDIDATE = KEY_BLOCK + "|" + URL_PASSWORD + "|" + ASSIGNED + r"|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}|A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9_+/-]))"
 
 #: Words whose share of a candidate speaks against a secret.
 DICTIONARY = (
@@ -37,7 +41,7 @@ DICTIONARY = (
     "source", "south", "src", "stage", "start", "state", "status", "step", "string", "style", "system", "table", "tag", "task", "temp", "test", "text", "time", "title", "type",
     "update", "upload", "user", "util", "value", "version", "video", "view", "web", "west", "width", "window", "with", "word", "work", "write", "year", "your", "zone",
 )
-PREFIXES = r"^(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk_live|rk_live|sk-|pk_live|xox[abprs]-|SG|npm_|pypi-|dop_v1_|shpat_|hf_|ya29|eyJ)"
+PREFIXES = r"^(-----BEGIN|AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk_live|rk_live|sk-|pk_live|xox[abprs]-|SG|npm_|pypi-|dop_v1_|shpat_|hf_|ya29|eyJ)"
 SECRET_WORDS = r"(?i)(key|token|secret|pass|pwd|auth|credential|bearer|private|signature)"
 HASH_WORDS = r"(?i)(sha|md5|hash|commit|digest|checksum|etag|uuid|guid|revision|rev|build|version|blob|tree|object|trace|request.?id|id\b)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|fake|placeholder|changeme|your[-_]|xxxx|0000|1234567|abcdef|<|\{\{|\$\{)"
@@ -73,6 +77,7 @@ def features() -> dict[str, Column]:
         "f_secret_word": flag(near.rlike(SECRET_WORDS)),
         "f_hash_word": flag(near.rlike(HASH_WORDS)),
         "f_assigned": flag(F.col("glue").rlike("[=:]\\S?$") | F.col("word_before").rlike("[=:]$")),
+        "f_url": flag(F.col("glue").rlike("://[^/@]*:$") & F.col("tail").startswith("@")),
         "f_quoted": flag(F.col("glue").rlike("[\"'`]$")),
         "f_placeholder": flag(value.rlike(PLACEHOLDER) | F.col("word_before").rlike(PLACEHOLDER) | F.col("word_after").rlike(PLACEHOLDER)),
         "f_path_like": flag(value.rlike("/[A-Za-z]+/|^/|/$") | F.col("glue").rlike(r"[./]$") | F.col("tail").rlike(r"^[.][A-Za-z]{1,5}\b")),
@@ -81,30 +86,33 @@ def features() -> dict[str, Column]:
 
 
 def described(found: DataFrame) -> DataFrame:
-    """Adds the neighbouring words, from the columns before and after, and all features."""
-    near, far = F.right(F.col("before"), F.lit(REACH)), F.left(F.col("after"), F.lit(REACH))
+    """Adds the neighbouring words, from the columns before and after, and all features. What is before is read backwards, so a long text costs no search."""
+    back = F.reverse("before")
     found = found.withColumns({
-        "glue": F.regexp_extract(near, r"(\S*)$", 1),
-        "word_before": F.regexp_extract(near, r"(\S+)\s+\S*$", 1),
-        "tail": F.regexp_extract(far, r"^(\S*)", 1),
-        "word_after": F.regexp_extract(far, r"^\S*\s+(\S+)", 1),
+        "glue": F.reverse(F.regexp_extract(back, r"^(\S*+)", 1)),
+        "word_before": F.reverse(F.regexp_extract(back, r"^\S*+\s++(\S++)", 1)),
+        "tail": F.regexp_extract("after", r"^(\S*+)", 1),
+        "word_after": F.regexp_extract("after", r"^\S*+\s++(\S++)", 1),
     })
     return found.withColumns(features())
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, row_key, path, ordinal, start, value, before, after: every candidate of every text, with code point offsets."""
+    """doc_id, row_key, path, ordinal, start, value, before, after: every candidate of every text, with code point offsets.
+
+    ``before`` and ``after`` are the text from the second last and up to the second next candidate, so a name that is itself a candidate is not lost.
+    """
     pieces, values = F.split("text", CANDIDATE), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     rows = docs.filter(F.col("text").rlike(CANDIDATE))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.col(path).cast("string").alias("path"), pieces.alias("pieces"), values.alias("values"))
-    ends = F.aggregate(
-        F.arrays_zip("values", "pieces"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.when(x["values"].isNull(), acc).otherwise(F.struct((acc["at"] + F.length(x["pieces"]) + F.length(x["values"])).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(x["pieces"])).alias("starts"))),
-    )
-    rows = rows.withColumn("starts", ends["starts"])
-    rows = rows.select("doc_id", "row_key", "path", "pieces", "starts", F.posexplode("values").alias("ordinal", "value"))
-    return rows.select("doc_id", "row_key", "path", "ordinal", F.col("starts")[F.col("ordinal")].alias("start"), "value", F.col("pieces")[F.col("ordinal")].alias("before"), F.col("pieces")[F.col("ordinal") + 1].alias("after"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("row_key"), F.col(path).cast("string").alias("path"), pieces.alias("pieces"), values.alias("values")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "row_key", "path", "row", "pieces", "values", F.posexplode("values").alias("ordinal", "value"))
+    at = lambda of, k: F.coalesce(F.get(of, F.col("ordinal") + k), F.lit(""))
+    rows = rows.withColumns({
+        "own": at("pieces", 0), "before": F.concat(at("values", -2), at("pieces", -1), at("values", -1), at("pieces", 0)), "after": F.concat(at("pieces", 1), at("values", 1), at("pieces", 2)),
+    }).drop("pieces", "values")
+    # offsets are running sums over a text's candidates, which are few beside the texts
+    upto = F.sum(F.length("own") + F.length("value")).over(Window.partitionBy("row").orderBy("ordinal"))
+    return rows.select("doc_id", "row_key", "path", "ordinal", (upto - F.length("value")).cast("int").alias("start"), "value", "before", "after")
 
 
 def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 17) -> DataFrame:
@@ -150,6 +158,11 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 17) -> Dat
         (1, chars(digits, 9, 82), cat(plain, assign(83)), after(84)),
         (0, pick(tuple(w for w in DICTIONARY if len(w) > 5) + ("required", "optional", "string", "nobody", "without", "nothing", "forgotten", "missing", "invalid", "expired"), 85), cat(plain, assign(86)), after(87)),
         (0, cat(F.lower(words(88)), pick((".get", ".read", "_", ".", "."), 89), words(90), pick(("(", "()", "", "[0]"), 91)), cat(plain, assign(92)), after(93)),
+        (1, cat(pick(("xoxb-", "xoxp-", "xoxa-"), 100), chars(digits, 11, 101), lit("-"), chars(digits, 12, 102), lit("-"), chars(b62, 24, 103)), plain, after(104)),
+        (1, cat(pick(("SG.", "shpat_", "dop_v1_", "github_pat_", "AIza", "ya29.", "pypi-"), 105), chars(b62, 38, 106)), plain, after(107)),
+        (1, cat(words(108), chars(b62, 5, 109), pick(("!", "x", "$", ""), 110)), cat(plain, pick(("postgres://bob:", "mysql://app_user:", "redis://:", "https://deploy:", "amqp://svc:"), 111)), pick(("@db.local:5432/main", "@host/", "@10.0.0.7"), 112)),
+        (1, cat(lit("-----BEGIN RSA PRIVATE KEY-----"), chars(b64, 64, 113), lit("-----END RSA PRIVATE KEY-----")), plain, after(114)),
+        (0, pick(("$PASSWORD", "password", "<pass>", "${DB_PASS}", "xxxx", "secret", "changeme"), 115), cat(plain, pick(("postgres://user:", "https://name:", "mysql://root:"), 116)), pick(("@localhost/db", "@example.com/"), 117)),
         (0, pick(("process.env.TOKEN", "os.environ[", "${PASSWORD}", "<password>", "{{token}}", "your-password", "xxxxxxxx", "changeme", "********", "undefined", "placeholder"), 94), cat(plain, assign(95)), after(96)),
     ]
     t = F.pmod(F.col("id"), F.lit(len(templates)))
@@ -168,8 +181,8 @@ def forest(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 5)
 def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """doc_id, row_key, path, ordinal, start, value, length, kind, probability, is_secret: every candidate of every row.
 
-    Null and texts without candidates have no rows; a null path counts as an empty one, a null doc_id stays null, and repeated rows give repeated findings. Texts are
-    searched whole; only the words that make features lie within REACH characters. ``model`` is a forest over labelled findings.
+    Null and texts without candidates have no rows; a null path counts as an empty one, a null doc_id stays null, repeated rows give repeated findings, and an
+    empty table has none. Texts are searched whole. Other columns are ignored, whatever their names. ``model`` is a forest over labelled findings.
     """
     model = model or forest(labelled_findings(docs.sparkSession))
     found = described(candidates(docs, path).fillna({"path": ""}))
@@ -179,13 +192,20 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, threshold: float =
 
 
 def redacted(docs: DataFrame, model: PipelineModel | None = None, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with the secrets in their texts replaced by ``mark`` (and n_chars, if there, counted anew); every row stays."""
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    secrets = scan(docs, model, **options).filter("is_secret").groupBy(F.col("doc_id").alias("of"), F.col("row_key").alias("key"))
-    secrets = secrets.agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("secrets"))
-    rows = docs.filter(has).join(secrets, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")), "left")
-    text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    """``docs`` with the secrets in their texts replaced by ``mark`` (and n_chars, if there, counted anew); every row stays, whatever its other columns.
+
+    Only the places that were found go: the same string elsewhere stays if the forest takes it for harmless there. Null texts stay null; an empty table stays empty.
+    """
+    of, key, spans = fresh(docs, "found_in", "found_key", "found_spans")
+    has = F.coalesce(docs["text"].rlike(CANDIDATE), F.lit(False))
+    found = scan(docs, model, **options).filter("is_secret").groupBy(F.col("doc_id").alias(of), F.col("row_key").alias(key))
+    found = found.agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias(spans))
+    rows = docs.filter(has).join(found, docs["doc_id"].eqNullSafe(found[of]) & (F.xxhash64(docs["text"]) == found[key]), "left")
+    # kept is what lies between the places found: from the end of one to the start of the next
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["start"] + x["length"]))
+    starts = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length("text")))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), mark))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return docs.filter(~has).unionByName(rows.select(*docs.columns))
