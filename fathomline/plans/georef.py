@@ -79,11 +79,12 @@ def x10(spark, d):
     return rows.select("id", rounded(between_corners("lat", u, v), 7).alias("lat"), rounded(between_corners("lon", u, v), 7).alias("lon"), F.coalesce("basis", F.lit("no reference")).alias("basis"))
 
 
-@query("x41_footprints", f"WITH {REF_SQL} SELECT strip, least(lat_tl, lat_tr, lat_bl, lat_br) AS south, greatest(lat_tl, lat_tr, lat_bl, lat_br) AS north, least(lon_tl, lon_tr, lon_bl, lon_br) AS west, greatest(lon_tl, lon_tr, lon_bl, lon_br) AS east FROM ref")
+@query("x41_footprints", f"WITH {REF_SQL} SELECT strip, CAST(lat_bl AS DOUBLE) AS south, CAST(lat_tr AS DOUBLE) AS north, CAST(lon_tl AS DOUBLE) AS west, CAST(lon_br AS DOUBLE) AS east FROM ref")
 def x41(spark, d):
     at = {"tl": (0, 0), "tr": (1, 0), "bl": (0, 1), "br": (1, 1)}
     lat, lon = ([between_corners(n, F.lit(float(u)), F.lit(float(v))) for u, v in at.values()] for n in ("lat", "lon"))
-    return references(spark, d).select("strip", F.least(*lat).alias("south"), F.greatest(*lat).alias("north"), F.least(*lon).alias("west"), F.greatest(*lon).alias("east"))
+    sides = {"south": F.least(*lat), "north": F.greatest(*lat), "west": F.least(*lon), "east": F.greatest(*lon)}
+    return references(spark, d).select("strip", *[rounded(c, 7).alias(n) for n, c in sides.items()])
 
 
 @query("f10_along_track", f"""WITH {DET_SQL}, {FIX_SQL}, row AS (SELECT device AS strip, lat, lon, id % 360 AS heading, row_number() OVER (PARTITION BY device ORDER BY t_s, id) - 1 AS r, count(*) OVER (PARTITION BY device) AS n FROM fix),
@@ -140,7 +141,7 @@ def f21(spark, d):
 SIDE_SQL = f"{DET_SQL}, side AS (SELECT DISTINCT strip, 0.05 + strip % 7 * 0.01 AS m FROM det WHERE strip % 3 = 0), man AS (SELECT strip, min_by(0.1 + id % 5 * 0.01, id) AS m FROM det WHERE strip % 2 = 0 GROUP BY strip)"
 
 
-@query("x11_strip_resolution", f"WITH {SIDE_SQL} SELECT strip, round(coalesce(side.m, man.m), 4) AS m_per_px, CASE WHEN side.m IS NOT NULL THEN 'sidecar' WHEN man.m IS NOT NULL THEN 'manifest' ELSE 'unknown' END AS basis FROM (SELECT DISTINCT strip FROM det) LEFT JOIN side USING (strip) LEFT JOIN man USING (strip)")
+@query("x11_strip_resolution", f"WITH {SIDE_SQL} SELECT strip, CAST(round(coalesce(side.m, man.m), 4) AS DOUBLE) AS m_per_px, CASE WHEN side.m IS NOT NULL THEN 'sidecar' WHEN man.m IS NOT NULL THEN 'manifest' ELSE 'unknown' END AS basis FROM (SELECT DISTINCT strip FROM det) LEFT JOIN side USING (strip) LEFT JOIN man USING (strip)")
 def x11(spark, d):
     det = detections(spark, d)
     side = det.filter("strip % 3 = 0").select("strip", (0.05 + F.col("strip") % 7 * 0.01).alias("s")).distinct()
