@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fathomline.functions.score import rounded, tier_rank
+from fathomline.operators import windows
 
 
 def scored(detections: DataFrame, policy: DataFrame, floors: dict[str, float], tiers: tuple[str, ...], weight: float, floor: float) -> DataFrame:
@@ -53,8 +53,8 @@ def hotspots(rows: DataFrame, cell: int, spread: float = 0.5) -> DataFrame:
         "density": rounded(F.col("detection_count") * 1e6 / (cell * cell), 4),
         "width_px": F.col("_x1") - F.col("_x0"), "height_px": F.col("_y1") - F.col("_y0"),
     })
-    order = [F.desc("risk_score"), F.desc("max_severity"), F.desc("detection_count"), *keys]
-    cells = cells.drop("_x0", "_x1", "_y0", "_y1").withColumn("priority_rank", F.row_number().over(Window.orderBy(*order)))
+    order = [F.desc("risk_score"), F.desc("max_severity"), F.desc("detection_count"), *map(F.col, keys)]
+    cells = windows.numbered(cells.drop("_x0", "_x1", "_y0", "_y1"), order).drop("before").withColumnRenamed("place", "priority_rank")
     return cells.withColumn("hotspot_id", F.format_string("H%03d", "priority_rank"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,18 +22,17 @@ def clusters(rows: DataFrame, by: list[str], within: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        xy, ids = pdf[["x", "y"]].to_numpy(float), pdf["id"].tolist()
-        reps: list[int] = []
+        reps: dict[tuple[int, int], list[tuple[float, float, int, object]]] = {}  # by cells as wide as the reach: the nearest lies in one of nine
         out = []
-        for i in range(len(pdf)):
-            if reps:
-                d = np.hypot(*(xy[reps] - xy[i]).T)
-                j = int(np.argmin(d))
-                if d[j] <= within:
-                    out.append(ids[reps[j]])
-                    continue
-            reps.append(i)
-            out.append(ids[i])
+        for n, (x, y, own) in enumerate(zip(pdf["x"].astype(float).tolist(), pdf["y"].astype(float).tolist(), pdf["id"].tolist(), strict=True)):
+            i, j = math.floor(x / within), math.floor(y / within)
+            near = [(math.hypot(a - x, b - y), k, rep) for di in (-1, 0, 1) for dj in (-1, 0, 1) for a, b, k, rep in reps.get((i + di, j + dj), ())]
+            best = min(near, key=lambda z: z[:2], default=(math.inf, 0, None))
+            if best[0] <= within:
+                out.append(best[2])
+            else:
+                reps.setdefault((i, j), []).append((x, y, n, own))
+                out.append(own)
         return pdf.assign(rep=out)
 
     return rows.groupBy(*by).applyInPandas(run, widened(rows.schema, "rep", rows.schema["id"].dataType))

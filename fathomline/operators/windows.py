@@ -92,10 +92,10 @@ def numbered(rows: DataFrame, order: str | list[Column], amount: Column | None =
     """``rows`` with ``place``, their number from 1 in the order of all rows, and ``before``, the sum of ``amount`` (1) over all earlier rows.
 
     The order must be total. Rows are dealt by ranges and sorted there; each range's total, one row a range, is all that meets in one place, so no
-    task sees the whole table.
+    task sees the whole table. The dealt rows are persisted, as both uses of them must see the same ranges; Spark may drop and rebuild them.
     """
     order = [F.col(order)] if isinstance(order, str) else list(order)
-    dealt = rows.withColumn("_amount", F.lit(1) if amount is None else amount).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.withColumn("_amount", F.lit(1) if amount is None else amount).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("_n", F.row_number().over(inside)).withColumn("_s", F.sum("_amount").over(inside))
     totals = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_amount").alias("_sum"))

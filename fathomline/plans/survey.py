@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import geo, text
 from fathomline.functions.score import rounded, tier_rank
-from fathomline.operators import hazards, joins, sequential
+from fathomline.operators import hazards, joins, sequential, windows
 from fathomline.plans.registry import query
 from fathomline.plans.views import CELL, DEFAULT_FLOOR, DEFAULT_WEIGHT, DET_SQL, FLOORS, POLICY_SQL, SCORED_SQL, TIERS, detections, policy, table
 
@@ -233,9 +233,9 @@ def a32(spark, d):
     return rows.groupBy("strip", "class").agg(F.count("*").alias("members"), F.countDistinct(F.floor(F.col("x") / 512)).alias("tiles"), rounded(F.max(far), 4).alias("spread_px"))
 
 
-@query("o08_hazards_by_tier", f"WITH {SCORED_SQL} SELECT id, tier_rank FROM tiered WHERE strip < 5 ORDER BY tier_rank, id LIMIT 100")
+@query("o08_hazards_by_tier", f"WITH {SCORED_SQL} SELECT id, tier_rank, row_number() OVER (ORDER BY tier_rank, id) AS place FROM tiered")
 def o08(spark, d):
-    return tiered(spark, d).filter("strip < 5").orderBy("tier_rank", "id").limit(100).select("id", "tier_rank")
+    return windows.numbered(tiered(spark, d).select("id", "tier_rank"), [F.col("tier_rank"), F.col("id")]).select("id", "tier_rank", "place")
 
 
 @query("o09_spatial_order", f"WITH {DET_SQL} SELECT id, row_number() OVER (PARTITION BY strip ORDER BY y, x, id) AS place FROM det")

@@ -89,20 +89,20 @@ def j10(spark, d):
     return pairs.select("id", F.col("r_id").alias("near_id"), rounded(F.col("distance_m"), 2).alias("distance_m"))
 
 
-@query("j07_nearest_nav_row", f"WITH {NAV_SQL}, n AS (SELECT strip, count(*) AS n FROM nav GROUP BY strip), q AS (SELECT event_id, user_id AS strip, value AS y FROM events WHERE event_id % 13 = 0) SELECT q.event_id, nav.r, nav.depth FROM q JOIN n USING (strip) JOIN nav ON nav.strip = q.strip AND nav.r = greatest(0, least(n.n - 1, CAST(floor(q.y) AS BIGINT)))")
+@query("j07_nearest_nav_row", f"WITH {NAV_SQL}, n AS (SELECT strip, count(*) AS n FROM nav GROUP BY strip), q AS (SELECT event_id, user_id AS strip, value AS y FROM events) SELECT q.event_id, nav.r, nav.depth FROM q JOIN n USING (strip) JOIN nav ON nav.strip = q.strip AND nav.r = greatest(0, least(n.n - 1, CAST(floor(q.y) AS BIGINT)))")
 def j07(spark, d):
     nav = nav_rows(spark, d)
     n = nav.groupBy("strip").agg(F.count("*").alias("n"))
-    q = table(spark, d, "events").filter("event_id % 13 = 0").select("event_id", F.col("user_id").alias("strip"), F.col("value").alias("y")).join(n, "strip")
+    q = table(spark, d, "events").select("event_id", F.col("user_id").alias("strip"), F.col("value").alias("y")).join(n, "strip")
     q = q.withColumn("r", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor("y"))).cast("long"))
     return q.join(nav, ["strip", "r"]).select("event_id", "r", "depth")
 
 
-@query("j08_row_bracket", f"""WITH {NAV_SQL}, q AS (SELECT event_id, user_id AS strip, (event_id % 37) + 0.25 AS y FROM events WHERE event_id % 17 = 0)
+@query("j08_row_bracket", f"""WITH {NAV_SQL}, q AS (SELECT event_id, user_id AS strip, (event_id % 37) + 0.25 AS y FROM events)
   SELECT event_id, {R4.format('a.depth + (b.depth - a.depth) * (y - floor(y))')} AS depth, {R4.format("((degrees(atan2(sin(radians(a.heading)) * 0.75 + sin(radians(b.heading)) * 0.25, cos(radians(a.heading)) * 0.75 + cos(radians(b.heading)) * 0.25)) + 360) % 360)")} AS heading FROM q JOIN nav a ON a.strip = q.strip AND a.r = floor(y) JOIN nav b ON b.strip = q.strip AND b.r = floor(y) + 1 WHERE abs(a.heading - b.heading) <> 180""")
 def j08(spark, d):
     nav = nav_rows(spark, d).select("strip", "r", "depth", "heading")
-    q = table(spark, d, "events").filter("event_id % 17 = 0").select("event_id", F.col("user_id").alias("strip"), (F.pmod(F.col("event_id"), F.lit(37)) + 0.25).alias("y"))
+    q = table(spark, d, "events").select("event_id", F.col("user_id").alias("strip"), (F.pmod(F.col("event_id"), F.lit(37)) + 0.25).alias("y"))
     a = nav.select("strip", F.col("r").alias("ra"), F.col("depth").alias("da"), F.col("heading").alias("ha"))
     b = nav.select("strip", (F.col("r") - 1).alias("ra"), F.col("depth").alias("db"), F.col("heading").alias("hb"))
     rows = q.withColumn("ra", F.floor("y").cast("long")).join(a, ["strip", "ra"]).join(b, ["strip", "ra"]).filter("abs(ha - hb) <> 180")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import geo, score
 from fathomline.functions.score import rounded
-from fathomline.operators import joins, sequential, triage
+from fathomline.operators import joins, sequential, triage, windows
 from fathomline.plans.registry import query
 from fathomline.plans.views import DET_SQL, FIX_SQL, SCORED_SQL, detections, fixes, table
 from fathomline.plans.survey import tiered
@@ -110,7 +110,7 @@ def x32(spark, d):
 @query("w03_latest_rank", f"WITH {TGT_SQL}, l AS (SELECT *, survey = max(survey) OVER (PARTITION BY site) AS latest FROM tgt) SELECT id, CASE WHEN latest THEN row_number() OVER (PARTITION BY latest ORDER BY conf DESC, id) END AS rank FROM l")
 def w03(spark, d):
     rows = targets(spark, d).withColumn("latest", F.col("survey") == F.max("survey").over(Window.partitionBy("site")))
-    ranked = rows.filter("latest").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("conf"), "id")).cast("long"))
+    ranked = windows.numbered(rows.filter("latest").select("id", "conf"), [F.desc("conf"), F.col("id")]).withColumn("rank", F.col("place").cast("long"))
     return ranked.select("id", "rank").unionByName(rows.filter("NOT latest").select("id", F.lit(None).cast("long").alias("rank")))
 
 
