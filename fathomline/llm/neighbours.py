@@ -41,9 +41,9 @@ def forms(word: bytes) -> tuple[int, ...]:
 
 
 class Terms(dict):
-    """word -> numbers of its terms in the vocabulary (sorted hashes), or the hashes without one; holds at most about ``most`` words, then starts anew."""
+    """word -> numbers of its terms in the vocabulary (sorted hashes), or the hashes without one; holds about ``most`` words (270 bytes a word), then gives up the newer half."""
 
-    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 150_000) -> None:
+    def __init__(self, vocabulary: np.ndarray | None = None, most: int = 300_000) -> None:
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 
@@ -60,17 +60,27 @@ class Terms(dict):
                 found = [()] * len(found)
             self.update(zip(batch.tolist(), found, strict=True))
 
-    def of(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The terms of each text, rising, and how often each occurs."""
+    def split(self, texts: list[bytes | None]) -> list[list[bytes]]:
+        """The words of each text, whose terms are then known."""
         if len(self) >= self.most:
-            self.clear()
-        split = [words_of(text) for text in texts]
-        if new := {w for words in split for w in words if w not in self}:
+            for word in list(islice(self, self.most // 2, None)):
+                del self[word]
+        out = [words_of(text) for text in texts]
+        if new := set().union(*out).difference(self):
             self.learn(new)
+        return out
+
+    def of(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each text, rising, and how often each occurs."""
         kind = np.uint64 if self.vocabulary is None else np.int64
-        for words in split:
+        for words in self.split(texts):
             yield np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), dtype=kind), return_counts=True)
 
+    def sets(self, texts: list[bytes | None]) -> Iterator[list[int]]:
+        """The terms of each text, each once."""
+        for words in self.split(texts):
+            yield list(set(chain.from_iterable(map(self.__getitem__, set(words)))))
+
 
 def ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     """low, low + 1, ... (n of them) for each pair, one after the other."""
@@ -205,8 +215,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, total = Terms(sent.value), np.zeros(len(sent.value), dtype=np.int64)
         for batch in blocks(batches):
-            own = [ids for ids, _ in terms.of(raw(batch))]
-            total += np.bincount(np.concatenate(own), minlength=len(total)) if own else 0
+            total += np.bincount(np.fromiter(chain.from_iterable(terms.sets(raw(batch))), dtype=np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["part", "counts"])
 
     def added(pdf):
@@ -230,7 +239,7 @@ def strength(a: np.ndarray, b: np.ndarray, n1: int, n0: int, min_lift: float = 6
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, k: int = 12, label: str = "toxic", modulus: int = 3, held_out: int = 1, calibrated: int = 1500) -> Voter | float:
     """A voter over at most ``per_class`` examples of each label, or 0.0 / 1.0 if only one label occurs. ``calibrated`` examples, each without itself, fit the scores' curve."""
-    sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 1500, 1: 1200})
+    sample, counts = labelled_sample(docs, labels, label, modulus, held_out, per_class or {0: 1500, 1: 900})
     if set(counts) != {0, 1}:
         return float(next(iter(counts), 0))
 
