@@ -114,3 +114,11 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     dx, dy = bx - ax, by - ay
     along = F.when(dx * dx + dy * dy > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)))).otherwise(0.0)
     return F.hypot(px - ax - along * dx, py - ay - along * dy)
+
+
+def equidistant(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """East and north of a point in the azimuthal equidistant projection around the first point, on the sphere (within 0.6 % of the ellipsoid)."""
+    a, b, d = F.radians(lat0), F.radians(lat), F.radians(lon - lon0)
+    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(d)
+    k = F.when(cosine > 1 - 1e-14, F.lit(1.0)).otherwise(F.acos(cosine) / F.sin(F.acos(cosine)))
+    return EARTH_RADIUS * k * F.cos(b) * F.sin(d), EARTH_RADIUS * k * (F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))
