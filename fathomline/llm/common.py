@@ -100,8 +100,23 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-#: One cache for each Python worker, as workers are reused by later tasks.
-HASHES = WordHashes()
+#: The caches of a Python worker, which later tasks reuse.
+CACHES: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    CACHES.append(cache)
+    return cache
+
+
+def only(*used: dict) -> None:
+    """Empties the other operators' caches, so that a worker that several stages use holds one stage's only."""
+    for cache in CACHES:
+        if cache and not any(cache is u for u in used):
+            cache.clear()
+
+
+HASHES = kept(WordHashes())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fathomline.llm.common import blocks, raw
+from fathomline.llm.common import blocks, fresh, kept, only, raw
 from fathomline.llm.labelled import labelled_sample, remainder
 
 WORD_SPACE = 1 << 15
@@ -55,12 +56,12 @@ def structure(text: bytes, words: list[bytes], counts: Counter) -> list[float]:
 
 
 EDGE_TABLE = np.array(list(EDGES.values()))
-SLOTS = {}
+SLOTS: dict[bytes, int] = kept({})
 
 
 def slot(word: bytes) -> int:
     """Place of a word among the hashed features."""
-    if len(SLOTS) > 300_000:
+    if len(SLOTS) > 200_000:
         SLOTS.clear()
     found = SLOTS.get(word)
     if found is None:
@@ -132,6 +133,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str
         return float(next(iter(counts), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(SLOTS)
         for batch in blocks(batches):
             found = [features(text) for text in raw(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([i.tobytes() for i, _ in found]), pa.array([x.tobytes() for _, x in found])], names=["doc_id", "label", "ids", "x"])
@@ -140,11 +142,14 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str
     return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=float), counts[1] / (counts[0] + counts[1]))
 
 
-def scored(docs: DataFrame, machine: Machine | float) -> DataFrame:
-    """All columns of ``docs``, and fm_score; no shuffle."""
+def scored(docs: DataFrame, machine: Machine | float, name: str = "fm_score") -> DataFrame:
+    """All columns of ``docs``, and the score as a last column ``name``, which must not be among them; no shuffle. An empty table stays empty."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # SPACE * (rank + 1) floats at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(SLOTS)
         m = sent.value
         for batch in blocks(batches):
             if isinstance(m, float):
@@ -154,16 +159,21 @@ def scored(docs: DataFrame, machine: Machine | float) -> DataFrame:
                 lens = np.array([len(i) for i, _ in found])
                 margins = m.margins(np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found]), np.cumsum(lens) - lens)
                 score = 1 / (1 + np.exp(-np.clip(margins.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "fm_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
-    schema = docs.drop("fm_score").schema.add("fm_score", "double")
-    return docs.drop("fm_score").mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, machine: Machine | float, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the machine scores at ``threshold`` or more, with their columns, whatever these are named."""
+    (name,) = fresh(docs, "fm_score")
+    return scored(docs, machine, name).filter(F.col(name) >= threshold).drop(name)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document row.
 
-    Null and empty texts are scored by their (zero) statistics; a null doc_id is in no fold (held_out null counts as false). Repeated rows
+    Null and empty texts are scored by their (zero) statistics; other columns are ignored, an empty table has no rows; a null doc_id is in no fold (held_out null counts as false). Repeated rows
     score alike. Labels of one class only, or none, give all documents that class's score (1 without labels).
     """
     rows = scored(docs.select("doc_id", "text"), fitted(docs, labels, **options))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import HASHES, MIX_1, blocks, discard, fresh, mixed, raw, staged, windows
+from fathomline.llm.common import HASHES, MIX_1, blocks, discard, fresh, mixed, only, raw, staged, windows
 from fathomline.llm.components import components
 from fathomline.llm.dealing import dealt, parts_of
 
@@ -33,6 +33,7 @@ BIN, AT_ONCE, TASK_BYTES = 1 << 20, 1 << 18, 32 << 20
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the windows of ``words`` words, A-Z lower-cased; of the whole sequence if it is shorter."""
+    only(HASHES)
     h = HASHES.of((text or b"").lower().split())
     if 0 < len(h) < words:
         value = np.array([len(h)], dtype=np.uint64)

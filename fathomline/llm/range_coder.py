@@ -139,12 +139,16 @@ def encode(ids: np.ndarray) -> bytes:
         part = span.take(miss) >> U(20)
         low[miss] += part * m.bound.take(missed)
         span[miss] = part * m.span.take(missed).view(U)
-        while len(who := settled(low, span)):
-            top, at = low.take(who), filled.take(who)
+        who = settled(low, span)
+        while len(who):
+            top, at, narrow = low.take(who), filled.take(who), span.take(who) << WORD
             out[who, at] = top >> WORD
             filled[who] = at + 1
-            low[who] = top << WORD
-            span[who] = span.take(who) << WORD
+            top <<= WORD
+            low[who] = top
+            again = settled(top, narrow)
+            span[who] = narrow
+            who = who.take(again)
         m.learn(x, right_two, right_one, key, missed)
     for k in (32, 0):
         out[np.arange(lanes), filled] = (low >> U(k)) & (TOP - U(1))
@@ -183,12 +187,15 @@ def decode(code: bytes) -> np.ndarray:
             x[miss] = missed
             low[miss] = base + part * m.bound.take(missed)
             span[miss] = part * m.span.take(missed).view(U)
-            while len(who := settled(low, span)):
-                where = at.take(who)
+            who = settled(low, span)
+            while len(who):
+                where, top, narrow = at.take(who), low.take(who) << WORD, span.take(who) << WORD
                 value[who] = (value.take(who) << WORD) | flat.take(where, mode="clip")
                 at[who] = where + 1
-                low[who] = low.take(who) << WORD
-                span[who] = span.take(who) << WORD
+                low[who] = top
+                again = settled(top, narrow)
+                span[who] = narrow
+                who = who.take(again)
             m.learn(x, ~no_two, m.id_one == x, key, missed)
             rows[t] = x
         ids = rows.T.ravel()[:n]

@@ -14,6 +14,8 @@ from itertools import islice
 
 import numpy as np
 
+from fathomline.llm.common import kept, only
+
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -46,9 +48,9 @@ class Cache(dict):
 
 
 class Encoder:
-    """text -> ids as 32-bit numbers. The caches hold ``most`` pieces and a fifth as many units (about 200 bytes an entry)."""
+    """text -> ids as 32-bit numbers. The caches hold ``most`` pieces and a sixth as many units (about 200 bytes an entry)."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -62,9 +64,12 @@ class Encoder:
         self.special = tuple(t["content"] for t in plan["added_tokens"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in plan["model"]["merges"]] if self.in_pieces else []
         # the model without its own cache, as ours is asked first
-        self.bpe = BPE(vocab=plan["model"]["vocab"], merges=merges, cache_capacity=0).tokenize if self.in_pieces else None
+        self.bpe = None
+        if self.in_pieces:
+            self.tokenizer.model = BPE(vocab=plan["model"]["vocab"], merges=merges, cache_capacity=0)
+            self.bpe = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.pieces, self.units = Cache(self.piece, most), Cache(self.unit, most // 5)
+        self.pieces, self.units = kept(Cache(self.piece, most)), kept(Cache(self.unit, most // 6))
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
@@ -108,4 +113,5 @@ def encoder(path: str) -> Encoder:
     """One for each vocabulary and Python worker."""
     if path not in ENCODERS:
         ENCODERS[path] = Encoder(path)
+    only(ENCODERS[path].pieces, ENCODERS[path].units)
     return ENCODERS[path]

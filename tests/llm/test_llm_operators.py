@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -11,10 +12,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fathomline.llm import cube, dealing, factorisation, jaccard, neighbours, packing, probing, range_coder, repetition, secrets, substrings, token_files, tokens
-from fathomline.llm.common import staged
+from fathomline.llm.common import shared_folder, staged
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra array<string>, part string, block int, label int, count long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra array<string>, part string, block int, label int, count long, of string, key string, secrets string, fm_score double"
 WORDS = "river stone water light under north field cloud paper table green winter summer early late house train music garden letter".split()
 
 
@@ -25,7 +27,7 @@ def prose(rng, n, vocabulary=4000):
 def frame(spark, texts, ids=None, source=lambda i: f"src{i % 3}"):
     """Documents with further columns whose names operators use themselves."""
     ids = range(len(texts)) if ids is None else ids
-    rows = [(i, t, "en", None if k % 11 == 10 else source(k), len(t or ""), None, "x", 1, 1, 5) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows = [(i, t, "en", None if k % 11 == 10 else source(k), len(t or ""), None, "x", 1, 1, 5, "o", "k", "s", 0.5) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -36,7 +38,7 @@ def odd(spark):
     long = prose(rng, 20_000)
     texts = [None, "", "   \n\t ", "one", "one two three", long, long, prose(rng, 80), "tab\tand\nline " * 30, "ünï çødé 漢字 " * 20, prose(rng, 60), prose(rng, 60)]
     docs = frame(spark, [*texts, texts[7], None, texts[10]], [*range(len(texts)), 7, None, None])
-    return docs.unionByName(spark.createDataFrame([(99, None, None, None, None, None, None, None, None, None)], SCHEMA))
+    return docs.unionByName(spark.createDataFrame([(99, *[None] * 13)], SCHEMA))
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +51,21 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(12)] + [(3, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
 
 
+def staged_with(stage, docs, labels):
+    """A stage of the pipeline with these labels; all but the last keep the columns."""
+    folder = shared_folder(docs.sparkSession) + f"/labels-{uuid.uuid4().hex}"
+    labels.write.parquet(f"{folder}/labels.parquet")
+    out = stage(docs.sparkSession, docs, folder)
+    assert stage is corpus_pipeline.packs or out.columns == docs.columns
+    return out
+
+
+def through_files(docs):
+    path = shared_folder(docs.sparkSession) + f"/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(docs, path)
+    return token_files.read_tokens(docs.sparkSession, path)
+
+
 OPERATORS = {
     "substrings": lambda d, lab: substrings.removed(d),
     "toxicity": lambda d, lab: neighbours.toxicity(d, lab),
@@ -62,7 +79,9 @@ OPERATORS = {
     "mixed": lambda d, lab: cube.mixed_documents(d),
     "first of each group": lambda d, lab: jaccard.representatives(d),
 }
-ONE_A_ROW = ("substrings", "toxicity", "repetition", "mixture", "quality", "jaccard", "redaction")
+OPERATORS |= {f"stage {name}": lambda d, lab, stage=stage: staged_with(stage, d, lab) for name, stage in corpus_pipeline.STAGES}
+OPERATORS["token files"] = lambda d, lab: through_files(d)
+ONE_A_ROW = ("token files", "stage secret scans", "substrings", "toxicity", "repetition", "mixture", "quality", "jaccard", "redaction")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
