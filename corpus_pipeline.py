@@ -12,28 +12,41 @@ from fathomline.llm.common import discard, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine scores below a half go; it learns from the labels beside the documents."""
-    machine = factorisation.fitted(docs, table(spark, sf_dir, "labels"))
-    return factorisation.scored(docs, machine).filter("fm_score >= 0.5").drop("fm_score")
+    """Documents that the factorisation machine scores below a half go; it learns from the labels beside the documents.
+
+    Null and empty texts are scored like others, rows without an id too; repeated rows share their fate. Other columns pass through, whatever their names. An
+    empty table stays empty. Without labels all stay.
+    """
+    return factorisation.accepted(docs, factorisation.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similarity 0.8 on 5-word shingles join, the one with the smallest id stays."""
+    """Of documents that links of similarity 0.8 on 5-word shingles join, the one with the smallest id stays.
+
+    Rows without an id and texts without words (null and empty ones) stay; of rows that repeat id and text one stays. Other columns pass through. An
+    empty table stays empty.
+    """
     return jaccard.representatives(docs, words=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blotted out; every document stays."""
+    """Secrets are blotted out where they were found; every row stays, repeated ones, null and empty texts and null ids and sources too, and so do other columns."""
     return secrets.redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated so that the sources meet their target weights."""
+    """Documents are left out or repeated so that the sources meet their target weights.
+
+    A null source is one of its own, texts without words have size 0, repeated rows are documents of their own. Other columns pass through. An empty table stays empty.
+    """
     return cube.mixed_documents(docs)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens, each window with the sources' shares."""
+    """Pieces of the documents in sequences of 1024 tokens, each window with the sources' shares.
+
+    A null text is its end id alone, a null source a queue of its own, repeated rows are documents of their own, other columns are ignored, an empty table has no pieces.
+    """
     return packing.packed(docs)
 
 
