@@ -57,5 +57,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_substring_dedup, op3_toxicity, op4_quality_rules, op5_secret_scan, op6_packing, op7_source_mixing, op8_token_files, op9_quality_classifier, op10_jaccard_join)}
 
-#: None of these operators can be said in SQL as a whole; tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL that counts all pairs and windows in one process: for small tables, as an oracle. The other operators cannot be said in SQL as a whole; tests hold
+#: them against brute force, round trips or held-out labels.
+WORD = "[^\\x20\\x09-\\x0D]+"
+JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+  link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)), both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach AS (SELECT a AS node, a AS r FROM both_ UNION SELECT reach.node, both_.b FROM reach JOIN both_ ON both_.a = reach.r)
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(r) AS m FROM reach GROUP BY 1) USING (doc_id)"""
+SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+  win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+  gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, range(0, 20) r(k)), word AS (SELECT doc_id, j, w[j] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w)),
+  kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY 1), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": SUBSTRING_SQL, "op10_jaccard_join": JACCARD_SQL}
