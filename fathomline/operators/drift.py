@@ -67,7 +67,7 @@ def impacts(rows: DataFrame, areas: DataFrame) -> DataFrame:
 
 def stranding(rows: DataFrame, cell: float) -> DataFrame:
     """target, cell_lat, cell_lon, n of stranded particles at the end."""
-    last = rows.groupBy("target", "particle").agg(F.max_by(F.struct("lat", "lon", "state"), "hours").alias("e")).filter("e.state = 'stranded'")
+    last = rows.groupBy("target", "particle").agg(F.max(F.struct("hours", "lat", "lon", "state")).alias("e")).filter("e.state = 'stranded'")
     return last.groupBy("target", F.floor(F.col("e.lat") / cell).alias("cell_lat"), F.floor(F.col("e.lon") / cell).alias("cell_lon")).agg(F.count("*").alias("n"))
 
 

@@ -15,33 +15,44 @@ from fathomline.plans.views import FIX_SQL, fixes, table
 R4 = "CAST(round(CAST({} AS DECIMAL(18,8)), 4) AS DOUBLE)"
 
 
-def ensembles(spark, d):
-    start = table(spark, d, "supplier").select(
-        F.col("s_suppkey").alias("target"), (10 + F.pmod(F.col("s_suppkey") * 53, F.lit(1000)) / 1000.0).alias("lat"), (79 + F.pmod(F.col("s_suppkey") * 59, F.lit(1000)) / 1000.0).alias("lon"),
-        F.lit(0.2).alias("u"), (F.pmod(F.col("s_suppkey"), F.lit(7)) / 20.0).alias("v"),
+#: Tracks of particles, as a forecast's table holds them: of each target (a supplier) its particles' (orders') places hour by hour.
+TRACK_SQL = """tr AS (SELECT l_suppkey AS target, l_orderkey AS particle, l_linenumber - 1 AS hours, 10 + (l_orderkey * 53 + l_linenumber * 11) % 1000 / 1000.0 AS lat, 79 + (l_orderkey * 59 + l_linenumber * 7) % 1000 / 1000.0 AS lon, CASE WHEN l_returnflag = 'R' THEN 'stranded' ELSE 'active' END AS state FROM lineitem)"""
+AREAS = (("reef", 10.2, 79.2, 10.5, 79.5), ("port", 10.6, 79.6, 10.9, 79.95))
+
+
+def tracks(spark, d):
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("target"), order.alias("particle"), (line - 1).alias("hours"), (10 + F.pmod(order * 53 + line * 11, F.lit(1000)) / 1000.0).alias("lat"),
+        (79 + F.pmod(order * 59 + line * 7, F.lit(1000)) / 1000.0).alias("lon"), F.when(F.col("l_returnflag") == "R", "stranded").otherwise("active").alias("state"),
     )
-    return drift.particles(start, 24.0, 1.0, n=100, every=6, lon_shore=79.9)
 
 
-@query("d08_a28_displacement")
+R2 = "CAST(round(CAST({} AS DECIMAL(18,8)), 2) AS DOUBLE)"
+
+
+@query("d08_a28_displacement", f"""WITH {TRACK_SQL}, s AS (SELECT target, avg(lat) AS lat0, avg(lon) AS lon0 FROM tr WHERE hours = 0 GROUP BY 1), e AS (SELECT target, hours, {hav_sql('lat0', 'lon0', 'lat', 'lon')} AS d FROM tr JOIN s USING (target))
+  SELECT target, hours, {R2.format('quantile_cont(d, 0.5)')} AS median_m, {R2.format('quantile_cont(d, 0.9)')} AS p90_m, {R2.format('max(d)')} AS max_m FROM e GROUP BY 1, 2""")
 def d08(spark, d):
-    return drift.displacement(ensembles(spark, d))
+    return drift.displacement(tracks(spark, d)).select("target", "hours", *[rounded(F.col(c), 2).alias(c) for c in ("median_m", "p90_m", "max_m")])
 
 
-@query("a26_impacts")
+@query("a26_impacts", f"""WITH {TRACK_SQL}, a(area, south, west, north, east) AS (VALUES {', '.join(map(str, AREAS))}), f AS (SELECT target, area, particle, min(hours) AS h FROM tr JOIN a ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY 1, 2, 3), n AS (SELECT target, count(DISTINCT particle) AS n FROM tr GROUP BY 1)
+  SELECT target, area, {R4.format('count(*) * 1.0 / any_value(n.n)')} AS probability, min(h) AS first_h, quantile_cont(h, 0.5) AS median_h FROM f JOIN n USING (target) GROUP BY 1, 2""")
 def a26(spark, d):
-    areas = spark.createDataFrame([("reef", 10.2, 79.2, 10.5, 79.5), ("port", 10.6, 79.6, 10.9, 79.95)], "area string, south double, west double, north double, east double")
-    return drift.impacts(ensembles(spark, d), areas)
+    areas = spark.createDataFrame(AREAS, "area string, south double, west double, north double, east double")
+    return drift.impacts(tracks(spark, d), areas)
 
 
-@query("a27_stranding_grid")
+@query("a27_stranding_grid", f"WITH {TRACK_SQL}, e AS (SELECT target, particle, max(row(hours, lat, lon, state)) AS e FROM tr GROUP BY 1, 2) SELECT target, CAST(floor(e[2] / 0.25) AS BIGINT) AS cell_lat, CAST(floor(e[3] / 0.25) AS BIGINT) AS cell_lon, count(*) AS n FROM e WHERE e[4] = 'stranded' GROUP BY 1, 2, 3")
 def a27(spark, d):
-    return drift.stranding(ensembles(spark, d), 0.02)
+    return drift.stranding(tracks(spark, d), 0.25)
 
 
-@query("d10_likely_region")
+@query("d10_likely_region", f"""WITH {TRACK_SQL}, c AS (SELECT target, hours, CAST(floor(lat / 0.25) AS BIGINT) AS cell_lat, CAST(floor(lon / 0.25) AS BIGINT) AS cell_lon, count(*) AS n FROM tr GROUP BY 1, 2, 3, 4), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY target, hours ORDER BY n DESC, cell_lat, cell_lon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY target, hours) AS total FROM c)
+  SELECT target, hours, cell_lat, cell_lon, n FROM w WHERE before < 0.9 * total""")
 def d10(spark, d):
-    return drift.region(ensembles(spark, d), 0.9, 0.01)
+    return drift.region(tracks(spark, d), 0.9, 0.25)
 
 
 @query("a15_track_skill", f"""WITH {FIX_SQL}, s AS (SELECT device, t_s, id, {hav_sql('lat', 'lon', 'lat + value / 1e5', 'lon + value / 2e5')} AS d, coalesce({hav_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS l FROM fix WINDOW w AS (PARTITION BY device ORDER BY t_s, id)),
