@@ -73,3 +73,15 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     f = found.select("query_id", "vec_id", F.col("rank").alias("found_rank"))
     per = exact.join(f, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.avg(F.col("found_rank").isNotNull().cast("double")).alias("r"), F.max(((F.col("rank") == 1) & (F.col("found_rank") == 1)).cast("double")).alias("t"))
     return per.agg(F.count("*").alias("queries"), rounded(F.avg("r"), 4).alias("recall"), rounded(F.avg(F.coalesce("t", F.lit(0.0))), 4).alias("top1"))
+
+
+def save(found: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Stores an index; weights lie by term, so that a search reads the terms it asks for."""
+    weights, idf = found
+    weights.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
+    idf.write.mode("overwrite").parquet(f"{path}/idf")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """An index that :func:`save` stored."""
+    return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/idf")

@@ -76,7 +76,7 @@ def drifters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def job_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """job_id, seq, ts, type, stage, message of JSON lines; a last line that is not complete yet is left for later."""
+    """job_id, seq, ts, type, stage, message of JSON lines. Lines that are not whole are left out; a stream reads each file once, so its writers must add whole files."""
     shape = "job_id string, seq long, ts timestamp, type string, stage string, message string"
     reader = spark.readStream if streaming else spark.read
     lines = reader.schema("value string").text(path)
@@ -92,11 +92,15 @@ def strip_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("p
 #: Fixed values of the XTF format: packet magic, size of file and packet headers, type of a sonar packet, offsets in a ping header.
 XTF_MAGIC, XTF_FILE_HEADER, XTF_PACKET_HEADER, XTF_SONAR, XTF_PING_HEADER, XTF_CHANNEL_HEADER = 0xFACE, 1024, 14, 0, 256, 64
 XTF_TIME, XTF_LAT, XTF_LON, XTF_SAMPLES = 14, 160, 168, 42
+#: The flag of the coordinates' units in the file header, and its value for projected metres.
+XTF_UNITS, XTF_METRES = 164, 0
 
 
 def xtf_pings(path: str, data: bytes) -> Iterator[tuple]:
-    """Pings of an XTF file's bytes. Zero places are missing ones; a broken packet ends nothing, the next magic number is sought."""
+    """Pings of an XTF file's bytes. Zero places are missing ones, and so are projected metres outside the range of degrees; a broken packet ends nothing, the
+    next magic number is sought."""
     at, ping = XTF_FILE_HEADER, 0
+    metres = len(data) > XTF_UNITS + 1 and struct.unpack_from("<H", data, XTF_UNITS)[0] == XTF_METRES
     while at + XTF_PACKET_HEADER <= len(data):
         magic, kind, _, channels = struct.unpack_from("<HBBH", data, at)
         size = struct.unpack_from("<I", data, at + 10)[0]
@@ -119,7 +123,7 @@ def xtf_pings(path: str, data: bytes) -> Iterator[tuple]:
                 body = data[place + XTF_CHANNEL_HEADER : min(place + XTF_CHANNEL_HEADER + 2 * n, at + size)]
                 samples += np.frombuffer(body[: len(body) // 2 * 2], "<u2").astype(np.float32).tolist()
                 place += XTF_CHANNEL_HEADER + 2 * n
-            located = (lat, lon) != (0.0, 0.0)
+            located = (lat, lon) != (0.0, 0.0) and not (metres and (abs(lat) > 90 or abs(lon) > 180))
             yield path, ping, t, lat if located else None, lon if located else None, samples
             ping += 1
         at += size
@@ -149,3 +153,37 @@ def write_report(rows: DataFrame, path: str, most: int = 0) -> None:
     """CSV by falling severity then id, all rows or the first ``most``; nulls are empty cells."""
     rows = rows.orderBy(F.desc("severity"), "id")
     (rows.limit(most) if most else rows).write.mode("overwrite").csv(path, header=True, nullValue="")
+
+
+def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
+    """id, question, answers of JSON lines; lines without a question are left out."""
+    return spark.read.schema("id string, question string, answers array<string>").json(path).filter(F.col("question").isNotNull())
+
+
+def hazards(spark: SparkSession, path: str) -> DataFrame:
+    """id, class, confidence, x1, y1, x2, y2 of an array of records from another detector; a confidence above 1 is a percentage."""
+    rows = spark.read.schema("id string, label string, score double, box array<double>").json(path, multiLine=True)
+    score = F.when(F.col("score") > 1, F.col("score") / 100).otherwise(F.col("score"))
+    return rows.select("id", F.coalesce("label", F.lit("unknown")).alias("class"), score.alias("confidence"), *[F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, embedding of a catalog (an array of records); raises if only some of them have an embedding, or if lengths differ."""
+    rows = spark.read.schema("id string, name string, embedding array<double>").json(path, multiLine=True)
+    n, embedded, lengths = rows.agg(F.count("*"), F.count("embedding"), F.countDistinct(F.size("embedding"))).first()
+    if embedded not in (0, n) or (embedded and lengths > 1):
+        raise ValueError(f"{embedded} of {n} entries have embeddings, of {lengths} lengths")
+    return rows
+
+
+def write_documents(rows: DataFrame, path: str, key: str) -> None:
+    """One JSON document a key: the key and its rows, in the order of their columns. Spark's commit puts all files in place at once."""
+    columns = [c for c in rows.columns if c != key]
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    grouped.select(F.to_json(F.struct(key, "rows")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """The manifest as CSV (nulls are empty cells) and as JSON lines, below ``path``."""
+    rows.write.mode("overwrite").csv(f"{path}/csv", header=True, nullValue="")
+    rows.write.mode("overwrite").json(f"{path}/json")

@@ -105,6 +105,33 @@ def rate_limited(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return events.groupBy("device").transformWithStateInPandas(RateLimiter(rate, burst), "device long, id long, allowed boolean", "Append", "None")
 
 
+def limited(events: DataFrame, rate: float, burst: float) -> DataFrame:
+    """The batch twin of :func:`rate_limited`."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, at, out = burst, None, []
+        pdf = pdf.sort_values(["t_s", "id"])
+        for t in pdf["t_s"].astype(int):
+            tokens = min(burst, tokens + (0 if at is None else t - at) * rate)
+            at = t
+            out.append(tokens >= 1)
+            tokens -= out[-1]
+        return pd.DataFrame({"device": key[0], "id": pdf["id"].to_numpy(), "allowed": out})
+
+    return events.groupBy("device").applyInPandas(run, "device long, id long, allowed boolean")
+
+
+def changes(events: DataFrame, after: int, most: int) -> DataFrame:
+    """The next ``most`` events after an id, oldest first; what a reader that comes back with its last id gets."""
+    return events.filter(F.col("id") > after).orderBy("id").limit(most)
+
+
+def job_stages(log: DataFrame) -> DataFrame:
+    """job_id, stage, message, ended of the last event of each job (job_id, seq, type, stage, message); works on streams in complete or update mode too."""
+    last = log.groupBy("job_id").agg(F.max(F.struct("seq", "type", "stage", "message")).alias("e"))
+    return last.select("job_id", "e.stage", "e.message", F.col("e.type").isin("done", "failed", "cancelled").alias("ended"))
+
+
 def activity(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
     """Counts by event and window of event time; state is bounded by the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes"), "event").agg(F.count("*").alias("n"))
