@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +105,32 @@ def bilinear(points: DataFrame, grid: DataFrame, x: str, y: str, value: str, out
     met = spread.join(g, ["_i", "_j"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_c.w")).otherwise(0.0))
     sums = met.groupBy(*points.columns).agg(F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("_s"), F.sum("_w").alias("_n"))
     return sums.withColumn(out, F.when(F.col("_n") > 1e-9, F.col("_s") / F.col("_n"))).select(*points.columns, out)
+
+
+def nearest(points: DataFrame, samples: DataFrame, by: str, x: str, y: str, point: str, sample: str) -> DataFrame:
+    """point, sample: for each point the nearest sample of its key ``by`` in the plane, ties to the smaller sample; a point is no sample of its own number.
+
+    Each key's plane is cut into cells about as wide as its samples lie apart. A point looks into its cell and the eight around it: a sample no farther
+    than a cell's width is the nearest. Points without one look again in cells four times as wide, until one block holds the whole key, so a point meets the
+    samples around it and not all of its key. The number of rounds follows from the largest key, which is counted first.
+    """
+    extent = F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9))
+    scale = samples.groupBy(by).agg((extent / F.sqrt(F.count("*"))).alias("_width"), F.count("*").alias("_n"))
+    most = scale.agg(F.max("_n")).first()[0] or 1
+    rounds = 2 + max(0, math.ceil(math.log(math.sqrt(most), 4)))
+    s = samples.select(F.col(by).alias("_by"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(sample).alias("_sample")).join(scale.withColumnRenamed(by, "_by"), "_by")
+    rest = points.select(F.col(by).alias("_by"), F.col(x).alias("_px"), F.col(y).alias("_py"), F.col(point).alias("_point")).join(scale.withColumnRenamed(by, "_by"), "_by")
+    out = None
+    for k in range(rounds):
+        width = F.col("_width") * 4.0**k
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        cells = rest.withColumn("_o", around).withColumn("_i", F.floor(F.col("_px") / width) + F.col("_o.i")).withColumn("_j", F.floor(F.col("_py") / width) + F.col("_o.j"))
+        held = s.select("_by", F.floor(F.col("_x") / width).alias("_i"), F.floor(F.col("_y") / width).alias("_j"), "_x", "_y", "_sample")
+        d2 = (F.col("_y") - F.col("_py")) * (F.col("_y") - F.col("_py")) + (F.col("_x") - F.col("_px")) * (F.col("_x") - F.col("_px"))
+        met = cells.join(held, ["_by", "_i", "_j"]).filter("_sample <> _point").groupBy("_point", "_width").agg(F.min(F.struct(d2.alias("d2"), F.col("_sample").alias("sample"))).alias("_best"))
+        sure = met if k == rounds - 1 else met.filter(F.sqrt(F.col("_best.d2")) <= width)
+        # two uses: the result, and what is left for the next round
+        found = sure.select(F.col("_point").alias(point), F.col("_best.sample").alias(sample)).persist()
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select(F.col(point).alias("_point")), "_point", "left_anti")
+    return out

@@ -111,12 +111,14 @@ def j08(spark, d):
     return rows.select("event_id", rounded(F.col("da") + (F.col("db") - F.col("da")) * (F.col("y") - F.floor("y")), 4).alias("depth"), rounded(turn, 4).alias("heading"))
 
 
-@query("x20_nearest_sample", f"WITH {FIX_SQL}, q AS (SELECT id AS qid, device, lat AS qlat, lon AS qlon FROM fix WHERE id % 29 = 0) SELECT qid, min(row((value > 100), (lat - qlat) * (lat - qlat) + (lon - qlon) * (lon - qlon), id))[3] AS sample_id FROM q JOIN fix USING (device) WHERE fix.id <> qid GROUP BY qid")
+@query("x20_nearest_sample", f"WITH {FIX_SQL} SELECT q.id AS qid, min(row((fix.value > 100), (fix.lat - q.lat) * (fix.lat - q.lat) + (fix.lon - q.lon) * (fix.lon - q.lon), fix.id))[3] AS sample_id FROM fix q JOIN fix USING (device) WHERE fix.id <> q.id GROUP BY q.id")
 def x20(spark, d):
-    f = fixes(spark, d)
-    q = f.filter("id % 29 = 0").select(F.col("id").alias("qid"), "device", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
-    d2 = (F.col("lat") - F.col("qlat")) * (F.col("lat") - F.col("qlat")) + (F.col("lon") - F.col("qlon")) * (F.col("lon") - F.col("qlon"))
-    return q.join(f, "device").filter("id <> qid").groupBy("qid").agg(F.min(F.struct((F.col("value") > 100).alias("far"), d2.alias("d2"), "id"))["id"].alias("sample_id"))
+    """The nearest other fix of the device, of those with a value up to 100 if there is one."""
+    f = fixes(spark, d).select("device", "lat", "lon", "id", "value")
+    q = f.withColumnRenamed("id", "qid")
+    near = joins.nearest(q, f.filter("value <= 100"), "device", "lon", "lat", "qid", "id")
+    far = joins.nearest(q.join(near, "qid", "left_anti"), f.filter("value > 100"), "device", "lon", "lat", "qid", "id")
+    return near.unionByName(far).select("qid", F.col("id").alias("sample_id"))
 
 
 @query("a10_device_totals", f"WITH {FIX_SQL} SELECT device, count(*) AS n, min(t_s) AS first_t, max(t_s) AS last_t, bool_or(event = 'error') AS simulated FROM fix GROUP BY device")
