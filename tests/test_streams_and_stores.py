@@ -99,3 +99,13 @@ def test_documents_and_manifest(spark, tmp_path):
     assert docs == {"s": [{"id": 1}, {"id": 2, "name": "x"}], "t": [{"id": 3, "name": "z"}]}
     files.write_manifest(rows, str(tmp_path / "m"))
     assert spark.read.csv(str(tmp_path / "m" / "csv"), header=True).count() == spark.read.json(str(tmp_path / "m" / "json")).count() == 3
+
+
+def test_tools_bring_arguments_to_their_types(spark):
+    from fathomline.plans import toolbox
+
+    sf = "/root/testdata/sf0.001"
+    assert toolbox.run_tool(spark, sf, "find_detections", {"kind": "error", "limit": "3", "x": 1}).count() == 3
+    for name, arguments, text in (("find", {}, "no tool"), ("near", {"lat": 1}, "needs lon"), ("near", {"lat": "north", "lon": 1}, "no float")):
+        with pytest.raises(ValueError, match=text):
+            toolbox.run_tool(spark, sf, name, arguments)
