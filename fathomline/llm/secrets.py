@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.common import fresh
 
-#: The value after a secret word (with up to 24 more name characters) and = or : (with up to 16 blanks on either side): 6 or more characters up to a blank or quote, less a closing sign.
+#: The value after a secret word (with up to 24 more name characters) and = or : (with up to 16 blanks on either side): 6 or more characters up to a blank or quote, less a closing sign. Short looks behind come first, as they fail at once after most words.
 ASSIGNED = (
-    r"(?<=[=:\s\"'`])(?<=(?i:pass(?:word|wd|phrase)|pwd|token|secret|credential|(?:api|access|private|auth)[_-]?key)[A-Za-z0-9_-]{0,24}[\"'`]?\s{0,16}[=:]\s{0,16}[\"'`]?)"
+    r"(?<=[=:\s\"'`])(?<=[=:]\s{0,16}[\"'`]?)(?<=(?i:pass(?:word|wd|phrase)|pwd|token|secret|credential|(?:api|access|private|auth)[_-]?key)[A-Za-z0-9_-]{0,24}[\"'`]?\s{0,16}[=:]\s{0,16}[\"'`]?)"
     r"(?!(?i:bearer|basic)\s)(?:[^\s\"'`]{5,}[^\s\"'`,;.)\]}]|[^\s\"'`]{6,})"
 )
 #: The password of a URL's user (a long look behind is tried only after a colon), and the block of a private key.
