@@ -3,7 +3,8 @@
 A table hashes a unit vector x to the cells floor((a.x + b) / w) of several Gaussian directions a. A query visits, in each table, its own bucket and
 those it gets by moving to neighbouring cells, in the order of their estimated chance to hold a near vector: the expected squared
 distances to the nearest cell borders (their order statistics) rank the sets of moves once for all queries. How many buckets to visit follows from the distance of
-true neighbours, measured for a bounded sample of queries against all vectors. Buckets are compared as blocks of queries and vectors.
+true neighbours, measured for a bounded sample of queries against all vectors. Only pairs that share a bucket are scored: one by one where they are few
+in a pair of blocks, by a masked product where they are many.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomline.llm.common import MIX_1, mixed
+from fathomline.llm.common import MIX_1, mixed, staged
 
 #: Vectors in a block of one part of one table, at most; queries in one; best candidates that a task holds before it passes them on.
-BLOCK, ASKED, HELD = 4096, 1024, 1_000_000
+BLOCK, ASKED, HELD = 4096, 128, 1_000_000
+#: Pairs of a query and a vector are scored one by one below this share of a pair of blocks, and by one product masked to them above it.
+PRODUCT = 0.2
 
 
 @dataclass(frozen=True)
 class Tables:
-    tables: int = 6
-    directions: int = 6
+    tables: int = 8
+    directions: int = 8
     width: float = 1.4
     #: Share of true neighbours that the visits are planned to find.
-    target: float = 0.97
+    target: float = 0.94
+    #: Buckets that a query may visit in a table.
+    most: int = 8192
     sample: int = 64
     seed: int = 3
 
@@ -84,19 +89,34 @@ def visits(places: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:
     return out
 
 
-def planned(tables: Tables, distance: float, trials: int = 4000) -> int:
-    """Number of visits a table with which ``target`` of the vectors at ``distance`` are found by one table or another."""
+def planned(tables: Tables, distance: float, trials: int = 800) -> int:
+    """Number of visits a table with which ``target`` of the vectors at ``distance`` are found by one table or another; ``most`` at most."""
     rng = np.random.default_rng(tables.seed + 1)
     k = tables.directions
-    sets = move_sets(k, 3**k)
+    sets = move_sets(k, min(3**k, tables.most))
     f = rng.uniform(size=(trials, k))
     goal = bucket(np.floor(f + rng.normal(size=(trials, k)) * distance / tables.width))
-    hits = bucket(visits(f, sets)) == goal[:, None]
-    found = np.cumsum(hits.mean(0))
+    found = np.zeros(len(sets))
+    for start in range(0, trials, 40):
+        part = slice(start, start + 40)
+        found += (bucket(visits(f[part], sets)) == goal[part, None]).sum(0)
+    found = np.cumsum(found / trials)
     enough = np.flatnonzero(1 - (1 - np.minimum(found, 1)) ** tables.tables >= tables.target)
     return int(enough[0]) + 1 if len(enough) else len(sets)
 
 
+def candidate_share(x: np.ndarray, q: np.ndarray, tables: Tables, visited: int) -> np.ndarray:
+    """For each query, the share of the vectors that lie in a bucket it visits in some table; what hashing saves."""
+    sets = move_sets(tables.directions, visited)
+    at, asked = tables.cells(unit(x)), tables.cells(unit(q))
+    seen = np.zeros((len(q), len(x)), dtype=bool)
+    for t in range(tables.tables):
+        key, visit = bucket(np.floor(at[:, t])), bucket(visits(asked[:, t], sets))
+        for i in range(len(q)):
+            seen[i] |= np.isin(key, visit[i])
+    return seen.mean(axis=1)
+
+
 def usable(column: Column) -> Column:
     """Arrays without null, NaN or infinite parts that are not all zero."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -142,6 +162,8 @@ def neighbour_distance(vectors: DataFrame, queries: DataFrame, k: int, sample: i
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest vectors found for each query by cosine, nearest first, ties to the smaller vec_id.
 
+    A query that finds fewer than ``k`` in its buckets is compared with all vectors.
+
     Columns vec_id and embedding. Null, empty or zero vectors, null or non-finite parts, and null ids take no part; of vectors of another
     length than the most frequent one too. Rows that share a vec_id are one candidate, by its best score; a query's own id is no candidate. Other columns are ignored.
     """
@@ -157,17 +179,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
     sets = move_sets(tables.directions, planned(tables, neighbour_distance(rows, queries, k, tables.sample, tables.seed)))
     parts = max(1, -(-n_rows // (4 * BLOCK)))
 
-    def dealt(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
-        """One row for each table and part: the keys, ids and vectors of a block."""
+    def dealt(batches: Iterator[pa.RecordBatch], probing: bool, hashed: bool = True) -> Iterator[pa.RecordBatch]:
+        """One row for each table and part: the keys, ids and vectors of a block. Without hashing a vector lies in one part and a query goes to all."""
         size = ASKED if probing else BLOCK
         for whole in batches:
             for start in range(0, whole.num_rows, size):
                 batch = whole.slice(start, size)
                 x, ids = matrix(batch), batch.column("vec_id").to_numpy()
-                places = tables.cells(unit(x))
+                places = tables.cells(unit(x)) if hashed else None
                 out = []
-                for t in range(tables.tables):
-                    if probing:
+                for t in range(tables.tables if hashed else 1):
+                    if not hashed:
+                        row = np.repeat(np.arange(len(x)), parts) if probing else np.arange(len(x))
+                        key = np.tile(np.arange(parts), len(x)).astype(np.uint64) if probing else ids.astype(np.uint64) % np.uint64(parts)
+                    elif probing:
                         keys = bucket(visits(places[:, t], sets))
                         row, key = np.repeat(np.arange(len(x)), keys.shape[1]), keys.ravel()
                     else:
@@ -175,6 +200,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
                     part = (key % np.uint64(parts)).astype(np.int64)
                     for p in np.unique(part):
                         mine = np.flatnonzero(part == p)
+                        if probing:  # in the order of the keys, in which vectors look them up
+                            mine = mine[np.argsort(key[mine], kind="stable")]
                         used, local = np.unique(row[mine], return_inverse=True)
                         out.append((t, int(p), key[mine].tobytes(), local.astype(np.int32).tobytes(), ids[used].tobytes(), x[used].tobytes()))
                 if out:
@@ -207,31 +234,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
                 r = batch.slice(at, 1).to_pylist()[0]
                 q, x = (np.frombuffer(r[v]).reshape(-1, dims["d"]) for v in ("q_vectors", "vectors"))
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                key = np.frombuffer(r["keys"], np.uint64)
-                order = np.argsort(key, kind="stable")
-                member, key = np.frombuffer(r["rows"], np.int32)[order], key[order]
+                key, member = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["rows"], np.int32)
                 q_key, q_row = np.frombuffer(r["q_keys"], np.uint64), np.frombuffer(r["q_rows"], np.int32)
-                low, high = np.searchsorted(key, q_key, "left"), np.searchsorted(key, q_key, "right")
+                low, high = np.searchsorted(q_key, key, "left"), np.searchsorted(q_key, key, "right")
                 seen = np.zeros((len(q), len(x)), dtype=bool)
-                hit = np.flatnonzero(high > low)
-                n = (high - low)[hit]
+                n = high - low
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                seen[np.repeat(q_row[hit], n), member[np.repeat(low[hit], n) + within]] = True
+                seen[q_row[np.repeat(low, n) + within], np.repeat(member, n)] = True
                 seen &= q_ids[:, None] != ids[None, :]
-                score = np.where(seen, cosines(q, x), -np.inf)
-                edge = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
-                row, column = np.nonzero(seen & (score >= edge[:, None]))  # with all ties at the edge, so that the smaller ids can be told
-                held = best_of(*(np.concatenate([a, b]) for a, b in zip(held, (q_ids[row], ids[column], score[row, column]), strict=True)))
+                row, column = np.nonzero(seen)
+                if len(row) > PRODUCT * seen.size:
+                    rough = np.where(seen, cosines(q, x), -np.inf)
+                    edge = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+                    row, column = np.nonzero(seen & (rough >= edge[:, None] - 1e-9))  # the places of a product differ in their last bits
+                q, x = unit(q), unit(x)
+                # sums in one order, so that equal vectors score alike wherever they lie
+                score = np.concatenate([(q[row[i : i + 65536]] * x[column[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+                held = best_of(*(np.concatenate([a, b]) for a, b in zip(held, (q_ids[row], ids[column], score), strict=True)))
                 if len(held[0]) > HELD:
                     yield passed()
                     held = empty
         yield passed()
 
     shape = "table int, part int, keys binary, rows binary, ids binary, vectors binary"
-    asked = queries.repartition(max(1, -(-n_queries // ASKED)), "vec_id").mapInArrow(lambda it: dealt(it, True), shape)
-    asked = asked.select("table", "part", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "ids", "vectors")))
-    held = rows.mapInArrow(lambda it: dealt(it, False), shape)
-    found = held.join(asked, ["table", "part"]).mapInArrow(compared, schema)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def searched(queries: DataFrame, hashed: bool) -> DataFrame:
+        asked = queries.repartition(max(1, -(-n_queries // ASKED)), "vec_id").mapInArrow(lambda it: dealt(it, True, hashed), shape)
+        asked = asked.select("table", "part", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "ids", "vectors")))
+        held = rows.mapInArrow(lambda it: dealt(it, False, hashed), shape)
+        found = held.join(asked, ["table", "part"]).mapInArrow(compared, schema)
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = staged(searched(queries, True), "nearest-found")
+    # queries whose buckets held too few vectors are compared with all
+    whole = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = staged(queries.join(whole, "vec_id", "left_anti").select("vec_id", "embedding"), "nearest-short")
+    if short.isEmpty():
+        return found
+    return found.join(whole, found["query_id"] == whole["vec_id"], "left_semi").unionByName(searched(short, False))

@@ -192,6 +192,34 @@ def test_recall(spark, clustered):
     assert r.score == pytest.approx(x[r.query_id] @ x[r.vec_id] / np.linalg.norm(x[r.query_id]) / np.linalg.norm(x[r.vec_id]), abs=1e-12)
 
 
+def test_candidates_are_few_where_vectors_cluster():
+    """In clusters a query meets a small share of all vectors; where directions are even in space hashing prunes less, as near and far differ little."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(40, 64))
+    clustered = centres[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 64))
+    tables = probing.Tables()
+    q = clustered[::50]
+    c = probing.cosines(q, clustered)
+    c[np.arange(len(q)), np.arange(0, 4000, 50)] = -1
+    distance = float(np.percentile(np.sqrt(2 - 2 * np.sort(c, axis=1)[:, -5]), 90))
+    visited = probing.planned(tables, distance)
+    share = probing.candidate_share(clustered, q, tables, visited)
+    print(f"clustered: {visited} visits a table, candidate share {share.mean():.3f}")
+    assert visited < 100 and share.mean() < 0.1
+
+
+def test_ties_go_to_smaller_ids_and_equal_vectors_score_alike(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(40, 16))
+    rows = [(i, x[i % 40].tolist(), "t", i) for i in range(400)] + [(7, x[7].tolist(), "t", 0)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, `table` string, part long")
+    got = probing.nearest(docs, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    for q in range(0, 400, 50):
+        mine = [r for r in got if r["query_id"] == q]
+        assert [r["vec_id"] for r in mine] == [i for i in range(q % 40, 400, 40) if i != q][:5]
+        assert len({r["score"] for r in mine}) == 1 and mine[0]["score"] == pytest.approx(1.0, abs=1e-12)
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (150, [1.0, None]), (200, [float("nan"), 1.0]), (250, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [-1.0, 0.0]), (4, [1.0]), (5, [1e300, 1e299])]
     got = probing.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()
