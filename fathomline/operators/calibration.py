@@ -17,7 +17,7 @@ METHODS = ("temperature", "platt")
 EVERY = -1
 
 
-def fits(rows: DataFrame, by: list[str], score: str, label: str, fold: str | None = None, folds: int = 5, rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
+def fits(rows: DataFrame, by: list[str], score: str, label: str, fold: str | None = None, folds: int = 5, rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
     """by, method, held_out (the fold left out, -1: none), a, b, loss (mean over the rows fitted), n: the best curves by Newton's method with damping.
 
     A step that makes the loss larger is taken back and shortened. Groups of one label only have no best slope; theirs stops at the bound. ``fold`` names the rows' fold (0 to ``folds`` - 1); without it only
@@ -50,7 +50,7 @@ def stepped(met: DataFrame, by: list[str]) -> DataFrame:
     """The fits after one look at their trial points; ``step`` is how far the next ones are, or 0 where the last step gained next to nothing."""
     better = F.col("m").isNotNull() & (F.col("l") <= F.col("loss"))
     take = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
-    settled = F.abs(F.col("loss") - F.col("l")) < 1e-10 * F.col("m")
+    settled = F.abs(F.col("loss") - F.col("l")) < 1e-8 * F.col("m")
     rows = met.filter("m IS NOT NULL").select(
         settled.alias("settled"),
         *by, "method", "held_out", take("ta", "a").alias("a"), take("tb", "b").alias("b"), take("l", "loss").alias("loss"), take("na", "ga").alias("ga"), take("nb", "gb").alias("gb"), take("naa", "haa").alias("haa"),

@@ -50,12 +50,12 @@ def rank_quality(best: DataFrame, column: str) -> DataFrame:
 
 
 def nearest_exact(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the nearest by cosine among all vectors, by comparing every query with every vector."""
+    """query_id, vec_id, score, rank: the nearest by cosine among all vectors, every block of queries multiplied with every block of vectors."""
+    from fathomline.operators import projection
+
     u = vectors.select("vec_id", vector.unit(vector.doubles(F.col("embedding"))).alias("e"))
-    q = u.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    pairs = u.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", rounded(vector.dot(F.col("q"), F.col("e")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    q = u.filter(is_query).select(F.col("vec_id").alias("query_id"), "e")
+    return projection.nearest(q, u, "query_id", "vec_id", "e", k, others=True)
 
 
 def nearest_hashed(vectors: DataFrame, is_query: Column, k: int, tables: int = 12, width: float = 1.6, within: float = 1.5) -> DataFrame:

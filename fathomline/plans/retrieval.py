@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import text, vector
 from fathomline.functions.score import rounded
-from fathomline.operators import search, windows
+from fathomline.operators import projection, search, windows
 from fathomline.plans.registry import query
 from fathomline.plans.views import table
 
@@ -267,3 +267,22 @@ def s13(spark, d):
 @query("f45_sentences", "SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 0)) AS n FROM documents")
 def f45(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+#: Twelve hex digits of a digest say the place, the next four the sign.
+SIGN_SQL = "md5('0:' || r || ':' || term) AS h FROM weight, range(4) t(r)"
+
+
+@query("d19_projected", f"""WITH {TERM_SQL}, s AS (SELECT doc_id, w, {SIGN_SQL}), p AS (SELECT doc_id, CAST('0x' || h[1:12] AS BIGINT) % 64 AS dim, CAST(sum(CAST(CASE WHEN CAST('0x' || h[13:16] AS BIGINT) % 2 = 0 THEN w ELSE -w END AS DECIMAL(18,12))) AS DOUBLE) AS v FROM s GROUP BY 1, 2)
+  SELECT doc_id, dim, {R6.format('v / sqrt(sum(v * v) OVER (PARTITION BY doc_id))')} AS v FROM p WHERE v <> 0""")
+def d19(spark, d):
+    found = projection.projected(index(spark, d)[0], "doc_id", 64, 4)
+    return found.select("doc_id", "dim", rounded(F.col("v"), 6).alias("v"))
+
+
+@query("d20_catalogue_matches", f"""WITH {VEC_SQL}, p AS (SELECT u.vec_id, c.vec_id AS entry, {R6.format('list_inner_product(u.e, c.e)')} AS score FROM u JOIN u c ON c.vec_id % 50 = 0)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, entry) AS rank FROM p) WHERE rank <= 3 AND score > 0""")
+def d20(spark, d):
+    v = table(spark, d, "embeddings").withColumn("text", F.lit(""))
+    catalogue = v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "entry")
+    return projection.catalogue_matches(v, catalogue, "vec_id", "entry", "text")
