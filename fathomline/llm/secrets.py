@@ -23,9 +23,9 @@ ASSIGNED = (
     r"(?<=[=:\s\"'`])(?<=[=:]\s{0,16}[\"'`]?)(?<=(?i:pass(?:word|wd|phrase)|pwd|token|secret|credential|(?:api|access|private|auth)[_-]?key)[A-Za-z0-9_-]{0,24}[\"'`]?\s{0,16}[=:]\s{0,16}[\"'`]?)"
     r"(?!(?i:bearer|basic)\s)(?:[^\s\"'`]{5,}[^\s\"'`,;.)\]}]|[^\s\"'`]{6,})"
 )
-#: The password of a URL's user (a long look behind is tried only after a colon), and the block of a private key.
+#: The password of a URL's user (a long look behind is tried only after a colon), and the block of a private key, which is sought up to the next row of dashes only.
 URL_PASSWORD = r"(?<=:)(?<=://[^\s/:@]{1,80}:)[^\s/@]{3,}(?=@)"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,]*+(?:-(?!----)[A-Za-z0-9+/=\s:,]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
 #: Besides, runs of 16 or more key characters with a letter and a digit, and key ids of a known form without a digit.
 CANDIDATE = KEY_BLOCK + "|" + URL_PASSWORD + "|" + ASSIGNED + r"|(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}|A[KS]IA[A-Z2-7]{16}(?![A-Za-z0-9_+/-]))"
 
