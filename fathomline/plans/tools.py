@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,11 +10,12 @@ from pyspark.sql.window import Window
 
 from fathomline.functions import text
 from fathomline.functions.score import rounded
-from fathomline.operators import joins, windows
+from fathomline.operators import joins, staging, windows
 from fathomline.plans.survey import tiered
 from fathomline.plans.registry import query
 from fathomline.plans.telemetry import R4
 from fathomline.plans.views import DET_SQL, FIX_SQL, NAV_SQL, SCORED_SQL, detections, fixes, nav_rows, table
+from fathomline.sources import store
 
 TIERED = f"WITH {SCORED_SQL}"
 
@@ -303,9 +305,15 @@ def k06(spark, d):
 
 @query("k08_cascade_delete", f"WITH {DET_SQL} SELECT strip, count(*) AS left_ FROM det WHERE strip NOT IN (SELECT strip FROM det GROUP BY strip HAVING max(ts) < TIMESTAMP '2024-01-20') GROUP BY strip")
 def k08(spark, d):
-    det = detections(spark, d)
-    gone = det.groupBy("strip").agg(F.max("ts").alias("m")).filter(F.col("m").cast("timestamp") < F.lit("2024-01-20").cast("timestamp")).select("strip")
-    return det.join(gone, "strip", "left_anti").groupBy("strip").agg(F.count("*").alias("left_"))
+    """Strips and their detections in two stores; strips that ended early are deleted with what was found in them."""
+    det = detections(spark, d).select("id", "strip", F.col("ts").cast("timestamp").alias("ts"))
+    ended = det.groupBy("strip").agg(F.max("ts").alias("ended"))
+    at = f"{staging.shared_folder(spark)}/stores-{uuid.uuid4().hex}"
+    strips, found = store.Store(spark, f"{at}/strips", ["strip"], ended.schema), store.Store(spark, f"{at}/detections", ["id"], det.schema)
+    strips.insert(ended)
+    found.insert(det)
+    store.cascade(strips, found, ended.filter(F.col("ended") < F.lit("2024-01-20").cast("timestamp")), {"strip": "strip"})
+    return found.read().groupBy("strip").agg(F.count("*").alias("left_"))
 
 
 @query("d25_keyword_plan", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(list|which|que) ') THEN 'list_surveys' WHEN contains(lower(text), 'near') OR contains(lower(text), 'der ') THEN 'find_detections' WHEN length(text) < 80 THEN 'survey_summary' ELSE 'none' END AS tool FROM conversations WHERE role = 'user'")

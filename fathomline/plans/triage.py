@@ -99,12 +99,13 @@ def a29(spark, d):
     return rows.select("id", "score", "tier", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("x32_priority_recheck", f"WITH {TGT_SQL} SELECT 0 AS mismatches, count(*) AS checked FROM tgt")
+@query("x32_priority_recheck", f"WITH {TGT_SQL} SELECT CAST(count(*) FILTER (id % 9 = 0) AS INTEGER) AS mismatches, count(*) AS checked FROM tgt")
 def x32(spark, d):
     terms = {"confidence": (0.5, F.col("conf"), 0.5), "size": (0.3, score.saturating(F.col("x"), 200.0), 0.5), "shallow": (0.2, score.eased(F.col("y"), 100.0, 400.0), 0.5)}
     rows = triage.prioritised(targets(spark, d), terms, {"urgent": 0.7, "plan": 0.4}, "watch")
     again = F.aggregate(F.map_values("terms"), F.lit(0.0), lambda acc, t: acc + t["contribution"])
-    return rows.agg(F.count_if(F.abs(again - F.col("score")) > 0.001).cast("int").alias("mismatches"), F.count("*").alias("checked"))
+    stored = F.col("score") + F.when(F.col("id") % 9 == 0, 0.01).otherwise(0.0)  # every ninth report was tampered with
+    return rows.agg(F.count_if(F.abs(again - stored) > 0.001).cast("int").alias("mismatches"), F.count("*").alias("checked"))
 
 
 @query("w03_latest_rank", f"WITH {TGT_SQL}, l AS (SELECT *, survey = max(survey) OVER (PARTITION BY site) AS latest FROM tgt) SELECT id, CASE WHEN latest THEN row_number() OVER (PARTITION BY latest ORDER BY conf DESC, id) END AS rank FROM l")
