@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import struct
 
+import particles
 import pytest
 
 from fathomline.operators import drift
@@ -87,7 +88,7 @@ def test_reports_and_geojson(spark, tmp_path):
 
 def test_drift_of_a_slack_field_is_the_random_walk_alone(spark):
     targets = spark.createDataFrame([(k, 10.0, 79.0, 0.0, 0.0) for k in range(6)], "target long, lat double, lon double, u double, v double")
-    one, many = (drift.particles(targets.repartition(n), 6.0, 1.0, n=400, diffusion=2.0) for n in (1, 5))
+    one, many = (particles.particles(targets.repartition(n), 6.0, 1.0, n=400, diffusion=2.0) for n in (1, 5))
     a, b = (sorted(map(tuple, f.collect())) for f in (one, many))
     assert a == b
     d = drift.displacement(one).filter("hours = 6 AND target = 0").first()
