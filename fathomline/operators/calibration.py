@@ -26,7 +26,7 @@ def fits(rows: DataFrame, by: list[str], score: str, label: str, fold: str | Non
     data = rows.filter(F.col(score).isNotNull()).select(*by, logit(F.col(score)).alias("z"), F.col(label).cast("double").alias("y"), (F.lit(None) if fold is None else F.col(fold)).cast("int").alias("fold")).filter("y IS NOT NULL")
     data = written(data, "calibration-rows")
     held = [EVERY, *range(folds if fold is not None else 0)]
-    one = {"a": 1.0, "b": 0.0, "ta": 1.0, "tb": 0.0, "loss": float("inf"), "damp": 1e-3, "ga": 0.0, "gb": 0.0, "haa": 0.0, "hab": 0.0, "hbb": 0.0, "n": 0.0, "step": float("inf")}
+    one = {"a": 1.0, "b": 0.0, "ta": 1.0, "tb": 0.0, "loss": float("inf"), "damp": 1.0, "ga": 0.0, "gb": 0.0, "haa": 0.0, "hab": 0.0, "hbb": 0.0, "n": 0.0, "step": float("inf")}
     sets = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(h).alias("held_out")) for m in METHODS for h in held))
     now = written(data.select(*by).distinct().select(*by, F.inline(sets)).select("*", *(F.lit(v).alias(k) for k, v in one.items())), "calibration-fits")
     for _ in range(rounds):
@@ -50,14 +50,15 @@ def stepped(met: DataFrame, by: list[str]) -> DataFrame:
     """The fits after one look at their trial points; ``step`` is how far the next ones are, or 0 where the last step gained next to nothing."""
     better = F.col("m").isNotNull() & (F.col("l") <= F.col("loss"))
     take = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
-    settled = F.abs(F.col("loss") - F.col("l")) < 1e-8 * F.col("m")
+    settled = F.abs(F.col("loss") - F.col("l")) < 1e-9 * F.col("m")
     rows = met.filter("m IS NOT NULL").select(
         settled.alias("settled"),
         *by, "method", "held_out", take("ta", "a").alias("a"), take("tb", "b").alias("b"), take("l", "loss").alias("loss"), take("na", "ga").alias("ga"), take("nb", "gb").alias("gb"), take("naa", "haa").alias("haa"),
         take("nab", "hab").alias("hab"), take("nbb", "hbb").alias("hbb"), take("m", "n").alias("n"), F.greatest(F.lit(1e-12), F.col("damp") * F.when(better, 0.1).otherwise(10.0)).alias("damp"),
     )
-    more = 1 + F.col("damp")
-    haa, hbb, hab = F.col("haa") * more + 1e-9, F.col("hbb") * more + 1e-9, F.col("hab")
+    # the rows' number counts beside the curvature, so that a flat place does not throw the next step to the bounds
+    more = lambda c: F.col(c) + F.col("damp") * (F.col(c) + 0.1 * F.col("n")) + 1e-9
+    haa, hbb, hab = more("haa"), more("hbb"), F.col("hab")
     det = F.greatest(haa * hbb - hab * hab, F.lit(1e-18))
     platt = F.col("method") == "platt"
     da = F.when(platt, (F.col("ga") * hbb - F.col("gb") * hab) / det).otherwise(F.col("ga") / haa)
