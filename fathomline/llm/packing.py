@@ -1,17 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over one queue a source.
 
-A window is a fixed number of sequences. In every window each source gets its quantum, its share of the window's tokens; the fraction of a token that
-it is owed is its deficit and is carried on. Served so, token k of a source with rate p falls due at the time (k + 1/2) / p, whatever the other queues do, so
-the tokens that a source has sent by the end of any window follow in closed form from the queues' lengths and rates: the deficits pass through
-all windows and partitions without a task that sees more than its own documents. Documents are cut where a window ends, so each window
-holds its target proportions to a few tokens; when a queue is empty the others share its quantum.
+A window is a fixed number of sequences. In every window each source is owed its quantum, its share of the window's tokens. A source whose quantum is large
+sends it to the token and carries the rest of a token on; one whose quantum is small saves its deficit over windows until it can send a grain, a quarter of
+a sequence, so its documents are not cut into crumbs. Served so, grain k of a source falls due at a time that depends on its own rate only, whatever the
+other queues do, and the tokens that a source has sent by the end of any window follow from the queues' lengths and rates: deficits pass through
+all windows and partitions without a task that sees more than its own documents. Documents are cut where a window ends, so each window holds its target
+proportions to a few tokens, or to about a grain for sources that save up; when a queue is empty the others share its quantum.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ from pyspark.sql.window import Window
 from fathomline.llm.common import blocks, staged
 from fathomline.llm.tokens import encoder, tokenizer_path
 
+#: Numbers in a matrix of windows by queues.
+MATRIX = 1 << 20
+#: Multiples of it, without their whole parts, are spread evenly.
+GOLDEN = (5**0.5 - 1) / 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
 
 
@@ -68,15 +73,33 @@ def running(rows: DataFrame, by: list[str], order: str, value: str, out: str, fa
 
 @dataclass(frozen=True)
 class Rounds:
-    """Queues of ``tokens``, served at ``rates``, in windows of ``size`` tokens; each window holds its sources one after the other."""
+    """Queues of ``tokens``, served at ``rates`` (their sum is 1), in windows of ``size`` tokens; each window holds its sources one after the other.
+
+    A source whose quantum is below ``least`` saves its deficit until it can send a grain of that many tokens (its last grain takes the rest);
+    the others send what they are owed to the token. Sources begin at different parts of a grain, so small ones do not all fall due together.
+    """
 
     tokens: np.ndarray
     rates: np.ndarray
     size: int
+    least: int = 1
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, compare=False, repr=False)
+
+    def __post_init__(self) -> None:
+        grain = np.where(self.rates * self.size >= self.least, 1, self.least)
+        grains = np.maximum(1, self.tokens // grain)
+        phase = np.where(grain == 1, 0.5, (np.arange(1, len(grain) + 1) * GOLDEN) % 1.0)
+        for name, value in (("grain", grain), ("grains", grains), ("phase", phase), ("speed", np.where(grain == 1, self.rates, self.rates * grains / self.tokens))):
+            object.__setattr__(self, name, value)
 
     def due(self, time: np.ndarray) -> np.ndarray:
         """Tokens of each queue (second axis) that are due by each time."""
-        return np.minimum(self.tokens, np.floor(time[:, None] * self.rates + 0.5).astype(np.int64))
+        sent = np.floor(time[:, None] * self.speed + (1.0 - self.phase)).astype(np.int64)
+        return np.where(sent >= self.grains, self.tokens, sent * self.grain)
+
+    def few(self, items: np.ndarray) -> list[np.ndarray]:
+        """``items`` in parts, of each of which a matrix by queues is small."""
+        return np.array_split(items, max(1, -(-len(items) * len(self.tokens) // MATRIX)))
 
     def sent(self, window: np.ndarray) -> np.ndarray:
         """Tokens of each queue sent before each window. Of those due at the same moment the first queues' go first."""
@@ -92,22 +115,49 @@ class Rounds:
         tied = self.due(high) - before
         return before + np.clip((total - before.sum(1))[:, None] - (np.cumsum(tied, axis=1) - tied), 0, tied)
 
-    def window_of(self, queue: int, token: int) -> int:
-        """A window next to the one in which a token of a queue is sent."""
-        return int(self.due(np.array([(token + 0.5) / self.rates[queue]])).sum()) // self.size
+    def edges(self, queue: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that a queue, and that all queues before it, have sent before each window. Windows that other rows of a task asked for are at hand."""
+        out = np.empty((2, len(windows)), dtype=np.int64)
+        for part in self.few(np.arange(len(windows))):
+            missing = [w for w in windows[part].tolist() if w not in self.known]
+            if len(missing) + len(self.known) > 4 * MATRIX // len(self.tokens):
+                self.known.clear()
+                missing = windows[part].tolist()
+            if missing:
+                found = self.sent(np.array(missing))
+                self.known.update(zip(missing, zip(found, np.cumsum(found, axis=1) - found, strict=True), strict=True))
+            for at, w in zip(part.tolist(), windows[part].tolist(), strict=True):
+                own, ahead = self.known[w]
+                out[:, at] = own[queue], ahead[queue]
+        return out[0], out[1]
+
+    def windows(self, queue: int, before: int, n: int) -> np.ndarray:
+        """Windows that may hold tokens ``before`` to ``before + n`` of a queue, rising; all that do are among them."""
+        last = int(self.grains[queue]) - 1
+        first, end = (min(t // int(self.grain[queue]), last) for t in (before, before + n - 1))
+        if self.grain[queue] == 1:
+            low, high = (int(self.due(np.array([(k + 0.5) / self.rates[queue]])).sum()) // self.size for k in (first, end))
+            return np.arange(max(0, low - 2), high + 3)
+        found = []
+        for grains in self.few(np.arange(first, end + 1)):
+            time = (grains + self.phase[queue]) / self.speed[queue]
+            low, high = (self.due(time * (1 + d)).sum(1) // self.size for d in (-1e-12, 1e-12))
+            found += [np.arange(max(0, a - 1), b + 2) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        return np.unique(np.concatenate(found))
 
     def pieces(self, queue: int, before: int, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """Document (by its place in ``lengths``), start in it, length, place in the stream, and window of each piece of consecutive documents, of which
         the first begins at token ``before`` of its queue; no piece crosses a window or a multiple of ``length``."""
         n = int(lengths.sum())
-        windows = np.arange(max(0, self.window_of(queue, before) - 2), self.window_of(queue, before + n - 1) + 4)
-        sent = np.concatenate([self.sent(part) for part in np.array_split(windows, -(-len(windows) // 1024))])
-        own, ends = sent[:, queue], before + np.cumsum(lengths)
+        windows = self.windows(queue, before, n)
+        windows = np.unique(np.concatenate([windows, windows + 1]))
+        own, earlier = self.edges(queue, windows)
+        ends = before + np.cumsum(lengths)
         inside = own[(own > before) & (own < before + n)]
         start = np.unique(np.concatenate([ends - lengths, inside]))
         size = np.diff(np.append(start, before + n))
         w = np.searchsorted(own, start, side="right") - 1
-        ahead = (sent[w + 1, :queue] - sent[w, :queue]).sum(1)
+        ahead = earlier[w + 1] - earlier[w]
         place = windows[w] * self.size + ahead + start - own[w]
         times = (place + size - 1) // length - place // length + 1
         which = np.repeat(np.arange(len(start)), times)
@@ -122,7 +172,7 @@ class Rounds:
 def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportions: dict[str | None, float] | None = None, end: int = 0, path: str | None = None, most_sources: int = 100_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, window: one row for each piece of a document in a sequence.
 
-    A window is ``windows_of`` sequences of ``length`` tokens; sources share it by ``proportions``, by default by their tokens, so that all queues end
+    A window is ``windows_of`` sequences of ``length`` tokens; sources of which a window would hold less than a quarter of a sequence send that much at a time. They share a window by ``proportions``, by default by their tokens, so that all queues end
     together; sources not named wait until the others are used up. Only the last sequence can be shorter. A null text is packed as an empty one (its end id
     alone), a null source is a source of its own, a null doc_id stays null, and repeated rows are documents of their own. Other columns are
     ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused.
@@ -138,7 +188,7 @@ def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportion
     if proportions is not None:
         whole = sum(proportions.values())
         rates = np.array([max(proportions.get(s, 0.0) / whole, 1e-9) for s in queues])
-    rounds = Rounds(amounts, rates / max(rates.sum(), 1e-300), length * windows_of)
+    rounds = Rounds(amounts, rates / max(rates.sum(), 1e-300), length * windows_of, max(1, length // 4))
     queue = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
     # a row of three numbers for each source of each block: small enough to be broadcast by its file size, or joined by a shuffle
     starts = staged(running(tokens.select("uid", queue.alias("queue"), "n"), ["queue"], "uid", "n", "before").select("uid", "before"), "pack-starts")

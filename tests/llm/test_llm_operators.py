@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 import uuid
 import zlib
 
@@ -326,6 +327,50 @@ def test_rounds_hold_each_token_once():
         assert (seen == 1).all()
 
 
+def test_small_sources_save_their_deficit():
+    rng = np.random.default_rng(23)
+    for _ in range(20):
+        n = np.concatenate([rng.integers(1, 900, int(rng.integers(1, 40))), rng.integers(20_000, 60_000, 2)])
+        rates = n / n.sum()
+        rounds = packing.Rounds(n, rates, 2048, 64)
+        whole = np.arange(-(-int(n.sum()) // 2048) + 1)
+        sent = rounds.sent(whole)
+        assert (np.diff(sent, axis=0) >= 0).all() and (sent[-1] == n).all()
+        small = rounds.grain > 1
+        assert small.any() and (abs(np.diff(sent, axis=0)[:-1] - 2048 * rates)[:, small] <= 2 * 64 + 64).all()
+        seen = np.zeros(n.sum(), dtype=int)
+        for q in range(len(n)):
+            at = 0
+            while at < n[q]:
+                lengths = np.array([min(int(rng.integers(1, 700)), int(n[q]) - at)])
+                _, _, size, place, window = rounds.pieces(q, at, lengths, 256)
+                assert size.sum() == lengths.sum() and (place // 2048 == window).all()
+                for a, k in zip(place, size, strict=True):
+                    seen[a : a + k] += 1
+                at += int(lengths.sum())
+        assert (seen == 1).all()
+
+
+def test_document_of_a_tiny_source_is_not_shredded():
+    n = np.array([300, 100_000_000])
+    rounds = packing.Rounds(n, n / n.sum(), 65_536, 256)
+    doc, start, size, _, _ = rounds.pieces(0, 0, np.array([300]), 1024)
+    assert len(size) <= 3 and size.sum() == 300
+
+
+def test_twenty_thousand_sources_take_seconds():
+    rng = np.random.default_rng(24)
+    n = rng.integers(1, 400, 20_000)
+    n[0] = 2_000_000
+    rounds = packing.Rounds(n, n / n.sum(), 65_536, 256)
+    began, pieces = time.perf_counter(), 0
+    for q in range(1, 2000):
+        _, _, size, _, _ = rounds.pieces(q, 0, n[q : q + 1], 1024)
+        pieces += len(size)
+        assert size.sum() == n[q]
+    assert time.perf_counter() - began < 20 and pieces < 2 * 2000
+
+
 def test_ids_in_pieces_equal_ids_of_the_whole():
     e = tokens.encoder(tokens.tokenizer_path())
     odd = ["", " ", "  a  b", "x \n y", " lead", "trail ", "don't 'll x's", "é  ü z", "a <|endoftext|> b", "\r\n \r\n x", "a b c", "漢字 かな 123abc", "tab\t x"]
