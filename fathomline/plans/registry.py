@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from fathomline.plans import areas, choices, coverage, drift, fitting, georef, passages, retrieval, strips, survey, telemetry, toolbox, tools, triage  # noqa: E402, F401  they register themselves
+from fathomline.plans import areas, choices, coverage, cues, drift, fitting, georef, passages, retrieval, strips, survey, telemetry, toolbox, tools, triage  # noqa: E402, F401  they register themselves
