@@ -89,18 +89,29 @@ def visits(places: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:
     return out
 
 
+def needed_moves(places: np.ndarray, goal: np.ndarray) -> list[tuple[int, ...] | None]:
+    """For each row of ``places`` the one set of moves (see :func:`move_sets`) that leads to the cell of ``goal``; None where a cell is further than one off."""
+    f, k = places - np.floor(places), places.shape[1]
+    off = (np.floor(goal) - np.floor(places)).astype(int)
+    rank = np.argsort(np.argsort(np.concatenate([f, 1 - f], axis=1), axis=1, kind="stable"), axis=1)
+    moved = np.concatenate([off == -1, off == 1], axis=1)
+    near = (np.abs(off) <= 1).all(axis=1)
+    return [tuple(sorted(r[m].tolist())) if ok else None for r, m, ok in zip(rank, moved, near, strict=True)]
+
+
 def planned(tables: Tables, distance: float, trials: int = 800) -> int:
-    """Number of visits a table with which ``target`` of the vectors at ``distance`` are found by one table or another; ``most`` at most."""
+    """Number of visits a table with which ``target`` of the vectors at ``distance`` are found by one table or another; ``most`` at most.
+
+    A neighbour's cell fixes the moves that lead to it, so a trial is one look at the place of that set in the order of visits.
+    """
     rng = np.random.default_rng(tables.seed + 1)
     k = tables.directions
     sets = move_sets(k, min(3**k, tables.most))
     f = rng.uniform(size=(trials, k))
-    goal = bucket(np.floor(f + rng.normal(size=(trials, k)) * distance / tables.width))
-    found = np.zeros(len(sets))
-    for start in range(0, trials, 40):
-        part = slice(start, start + 40)
-        found += (bucket(visits(f[part], sets)) == goal[part, None]).sum(0)
-    found = np.cumsum(found / trials)
+    goal = f + rng.normal(size=(trials, k)) * distance / tables.width
+    turn = {moves: i for i, moves in enumerate(sets)}
+    turns = [turn[m] for m in needed_moves(f, goal) if m in turn]
+    found = np.cumsum(np.bincount(turns, minlength=len(sets)) / trials)
     enough = np.flatnonzero(1 - (1 - np.minimum(found, 1)) ** tables.tables >= tables.target)
     return int(enough[0]) + 1 if len(enough) else len(sets)
 

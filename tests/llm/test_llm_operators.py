@@ -327,6 +327,23 @@ def test_rounds_hold_each_token_once():
         assert (seen == 1).all()
 
 
+def test_moves_that_a_neighbour_needs_lead_to_its_bucket():
+    rng = np.random.default_rng(25)
+    sets = probing.move_sets(4, 3**4)
+    assert len(set(sets)) == len(sets) == 3**4
+    places, goal = rng.uniform(-3, 3, (300, 4)), rng.normal(size=(300, 4))
+    goal = places + goal * 0.7
+    found = probing.bucket(probing.visits(places, sets)) == probing.bucket(np.floor(goal))[:, None]
+    for row, moves in zip(found, probing.needed_moves(places, goal), strict=True):
+        assert [sets[i] for i in np.flatnonzero(row)] == ([] if moves is None else [moves])
+
+
+def test_plan_takes_no_time():
+    began = time.perf_counter()
+    assert 1 <= probing.planned(probing.Tables(), 0.2) < probing.planned(probing.Tables(), 0.9)
+    assert time.perf_counter() - began < 2
+
+
 def test_small_sources_save_their_deficit():
     rng = np.random.default_rng(23)
     for _ in range(20):
