@@ -133,7 +133,8 @@ def altitudes(pings: DataFrame, by: list[str], place: str, header: str = "altitu
     t, m = F.col("_track"), F.col("_near")
     fits = h.isNotNull() & (h > least_m) & (F.coalesce(far, F.lit(float("inf"))) > h)
     taken = F.when(F.abs(t - m) > outlier_m, m).otherwise(t)
-    rejected = fits & (F.abs(taken - h) > tolerance * F.greatest(h, F.lit(1e-6)))
+    share = F.round(tolerance * F.greatest(h, F.lit(1e-6)), 9)  # 0.35 * 14 is 4.9, not a bit less: headers are decimals, and a track just at the limit stays
+    rejected = fits & (F.abs(taken - h) > share)
     agrees = fits & (m.isNull() | (F.abs(h - m) <= tolerance * F.greatest(m, F.lit(1e-6))))
     rows = rows.filter("own").withColumn("altitude", F.when(t.isNotNull(), F.when(rejected, h).otherwise(taken)).when(agrees, h).otherwise(m))
     source = F.when(t.isNotNull(), F.when(rejected, "header, track rejected").otherwise("bottom track")).when(agrees, "header").when(m.isNotNull(), "bottom track, interpolated").otherwise("none")
