@@ -2,10 +2,43 @@
 
 from __future__ import annotations
 
-from fathomline.operators import strips
+import re
+
+import numpy as np
+import pandas as pd
+
+from fathomline.operators import strips, triage
 
 
 def test_track_just_at_the_header_tolerance_stays(spark):
     rows = spark.createDataFrame([("a", 0, 14.0, 9.1, 9.1, [0.0] * 36, [0.0] * 36, 0.0, 0.0, 0.5, 0.5)], "strip string, place long, altitude_m double, port_track_m double, starboard_track_m double, port_samples array<double>, starboard_samples array<double>, port_r0_m double, starboard_r0_m double, port_dr_m double, starboard_dr_m double")
     got = strips.altitudes(rows, ["strip"], "place").select("altitude", "altitude_source").first()
     assert tuple(got) == (9.1, "bottom track")  # 14 - 9.1 is 0.35 * 14
+
+
+def surveyed(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"id": range(400), "survey": rng.integers(1, 4, 400), "site": rng.integers(0, 2, 400), "class": rng.choice(["a", "b"], 400), "x": rng.integers(0, 12, 400) * 30, "y": rng.integers(0, 3, 400) * 30})
+    return pdf, spark.createDataFrame(pdf)
+
+
+def joined(frame):
+    """Names of the joins of a plan."""
+    return set(re.findall(r"\w+Join\b", frame._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_pairs_of_surveys_send_no_side_to_the_driver(spark):
+    _, t = surveyed(spark)
+    for frame in (triage.change_pairs(t, 60.0), triage.nearest_later(t, 60.0), triage.seen_before(t, 60.0)):
+        assert joined(frame) == {"SortMergeJoin"}
+
+
+def test_targets_found_again_equal_all_pairs(spark):
+    pdf, t = surveyed(spark)
+    both = pdf.merge(pdf.assign(survey=pdf["survey"] + 1), on=["survey", "site", "class"], suffixes=("", "_p"))
+    both["d"] = np.hypot(both["x"] - both["x_p"], both["y"] - both["y_p"]).round(4)
+    both = both[both["d"] <= 60]
+    assert sorted(map(tuple, triage.change_pairs(t, 60.0).select("prior_id", "id").collect())) == sorted(zip(both["id_p"], both["id"], strict=True))
+    best = both.sort_values(["d", "id"]).groupby("id_p").first()
+    assert {r["prior_id"]: r["later"] for r in triage.nearest_later(t, 60.0).collect()} == best["id"].to_dict()
+    assert {r["id"] for r in triage.seen_before(t, 60.0).filter("seen").collect()} == set(both["id"]) != set(pdf["id"])
