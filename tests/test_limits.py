@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from fathomline.operators import strips, triage
+from fathomline.operators import joins, strips, triage
 
 
 def test_track_just_at_the_header_tolerance_stays(spark):
@@ -42,3 +42,12 @@ def test_targets_found_again_equal_all_pairs(spark):
     best = both.sort_values(["d", "id"]).groupby("id_p").first()
     assert {r["prior_id"]: r["later"] for r in triage.nearest_later(t, 60.0).collect()} == best["id"].to_dict()
     assert {r["id"] for r in triage.seen_before(t, 60.0).filter("seen").collect()} == set(both["id"]) != set(pdf["id"])
+
+
+def test_near_compares_places_and_gives_every_row(spark):
+    rng = np.random.default_rng(5)
+    a, b = (pd.DataFrame({"id": range(80), "lat": rng.integers(0, 4, 80) / 10, "lon": rng.integers(0, 4, 80) / 10}) for _ in range(2))
+    near = joins.near(spark.createDataFrame(a), spark.createDataFrame(b), 12000.0)
+    want = [(i, j) for i, y, x in a.itertuples(index=False) for j, v, u in b.itertuples(index=False) if abs(y - v) + abs(x - u) < 0.15]
+    assert sorted(map(tuple, near.select("id", "r_id").collect())) == sorted(want)
+    assert "SortMergeJoin" in joined(near)  # places on cells, however few they seem
