@@ -273,7 +273,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
         asked = queries.repartition(max(1, -(-n_queries // ASKED)), "vec_id").mapInArrow(lambda it: dealt(it, True, hashed), shape)
         asked = asked.select("table", "part", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "ids", "vectors")))
         held = rows.mapInArrow(lambda it: dealt(it, False, hashed), shape)
-        found = held.join(asked, ["table", "part"]).mapInArrow(compared, schema)
+        # rows that Arrow tasks make have the estimate of what they read: neither side is broadcast
+        found = held.hint("merge").join(asked, ["table", "part"]).mapInArrow(compared, schema)
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -281,7 +282,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
     found = staged(searched(queries, True), "nearest-found")
     # queries whose buckets held too few vectors are compared with all
     whole = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = staged(queries.join(whole, "vec_id", "left_anti").select("vec_id", "embedding"), "nearest-short")
+    short = staged(queries.hint("merge").join(whole, "vec_id", "left_anti").select("vec_id", "embedding"), "nearest-short")
     if short.isEmpty():
         return found
-    return found.join(whole, found["query_id"] == whole["vec_id"], "left_semi").unionByName(searched(short, False))
+    return found.hint("merge").join(whole, found["query_id"] == whole["vec_id"], "left_semi").unionByName(searched(short, False))

@@ -7,6 +7,9 @@ import re
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from fathomline.llm import probing
 from fathomline.operators import joins, strips, triage
 
 
@@ -51,3 +54,21 @@ def test_near_compares_places_and_gives_every_row(spark):
     want = [(i, j) for i, y, x in a.itertuples(index=False) for j, v, u in b.itertuples(index=False) if abs(y - v) + abs(x - u) < 0.15]
     assert sorted(map(tuple, near.select("id", "r_id").collect())) == sorted(want)
     assert "SortMergeJoin" in joined(near)  # places on cells, however few they seem
+
+
+def test_blocks_of_queries_are_not_sent_to_the_driver(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    seen, joins_of = [], probing.staged
+
+    def noted(frame, name):
+        seen.append(joined(frame))
+        return joins_of(frame, name)
+
+    probing.staged = noted
+    try:
+        got = probing.nearest(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") % 50 == 0)
+    finally:
+        probing.staged = joins_of
+    assert seen and not any("BroadcastHashJoin" in s for s in seen)
+    assert got.count() == 30
