@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from fathomline.llm import probing
-from fathomline.operators import joins, strips, triage
+from fathomline.operators import joins, search, strips, triage, windows
 
 
 def test_track_just_at_the_header_tolerance_stays(spark):
@@ -72,3 +72,19 @@ def test_blocks_of_queries_are_not_sent_to_the_driver(spark, tmp_path):
         probing.staged = joins_of
     assert seen and not any("BroadcastHashJoin" in s for s in seen)
     assert got.count() == 30
+
+
+def test_hits_shuffle_no_pairs_and_leading_rows_hold_the_first(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOOKED", 40)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 12))) for i in range(120)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(5)], "item_id long, text string")
+    found = search.hits(asked, "item_id", "text", search.index(docs, "doc_id", "text"), "doc_id").withColumn("source", F.pmod("doc_id", F.lit(3)))
+    assert not re.search(r"hashpartitioning\(item_id#\d+L, doc_id", found._jdf.queryExecution().executedPlan().toString())
+    rows = found.toPandas().sort_values(["item_id", "score", "doc_id"], ascending=[True, False, True])
+    want = rows[rows["score"] > 0].groupby("item_id").head(8)
+    assert sorted(map(tuple, search.top(found, "item_id", "doc_id", 8).select("item_id", "doc_id").collect())) == sorted(zip(want["item_id"], want["doc_id"], strict=True))
+    order = [F.desc("score"), F.col("doc_id")]
+    capped = lambda f: sorted(map(tuple, windows.capped_top(f, ["item_id"], "source", order, 2, 8).select("item_id", "doc_id", "rank").collect()))
+    assert capped(search.leading(found, "item_id", "doc_id", 8, "source", 2)) == capped(found)
