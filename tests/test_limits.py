@@ -88,3 +88,19 @@ def test_hits_shuffle_no_pairs_and_leading_rows_hold_the_first(spark, monkeypatc
     order = [F.desc("score"), F.col("doc_id")]
     capped = lambda f: sorted(map(tuple, windows.capped_top(f, ["item_id"], "source", order, 2, 8).select("item_id", "doc_id", "rank").collect()))
     assert capped(search.leading(found, "item_id", "doc_id", 8, "source", 2)) == capped(found)
+
+
+def test_dense_search_makes_no_row_of_a_pair_and_sends_nothing_to_the_driver(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    x[200:] = x[7]  # many equal vectors
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(300), "embedding": x.tolist()}))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 300, 50):
+        score = np.round(u @ u[i], 6)
+        want[i] = sorted((j for j in range(300) if j != i), key=lambda j: (-score[j], j))[:10]
+    for found in (search.nearest_exact(v, F.col("vec_id") % 50 == 0, 10), search.nearest_hashed(v, F.col("vec_id") % 50 == 0, 10)):
+        assert joined(found) == set()
+        rows = found.orderBy("query_id", "rank").toPandas()
+        assert {i: g["vec_id"].tolist() for i, g in rows.groupby("query_id")} == want
