@@ -3,39 +3,111 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def widened(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])
 
 
-def clusters(rows: DataFrame, by: list[str], within: float) -> DataFrame:
-    """``rows`` (id, x, y, score) with rep, the id of their representative: the nearest one within reach, else themselves.
+def changes(rows: pa.RecordBatch | pa.Table, by: list[str]) -> np.ndarray:
+    """Places where another group begins, the first row left out."""
+    new = np.zeros(max(0, rows.num_rows - 1), dtype=bool)
+    for c in by:
+        a, b = rows.column(c).slice(1), rows.column(c).slice(0, max(0, rows.num_rows - 1))
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new |= other.to_numpy(zero_copy_only=False) if isinstance(other, pa.Array) else other.to_numpy()
+    return np.flatnonzero(new) + 1
 
-    Rows come by falling score, then id; only representatives attract, so chains do not grow.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        reps: dict[tuple[int, int], list[tuple[float, float, int, object]]] = {}  # by cells as wide as the reach: the nearest lies in one of nine
-        out = []
-        for n, (x, y, own) in enumerate(zip(pdf["x"].astype(float).tolist(), pdf["y"].astype(float).tolist(), pdf["id"].tolist(), strict=True)):
-            i, j = math.floor(x / within), math.floor(y / within)
-            near = [(math.hypot(a - x, b - y), k, rep) for di in (-1, 0, 1) for dj in (-1, 0, 1) for a, b, k, rep in reps.get((i + di, j + dj), ())]
-            best = min(near, key=lambda z: z[:2], default=(math.inf, 0, None))
-            if best[0] <= within:
-                out.append(best[2])
+def pointed(rows: DataFrame, by: list[str], name: str, columns: list[str], point: Callable[..., np.ndarray]) -> DataFrame:
+    """``rows`` with ``name``, the id of the row of their group at the place that ``point`` gives for each.
+
+    A group's rows come by falling score, then id, sorted by Spark; ``point`` gets arrays of ``columns``. Groups stream through a task one after the other, so a task holds one of them, and small ones cost little.
+    """
+    score = F.col("score")
+    if isinstance(rows.schema["score"].dataType, T.FloatType | T.DoubleType):
+        score = F.when(~F.isnan(score), score)
+    sorted_rows = rows.repartition(*by).sortWithinPartitions(*by, score.desc_nulls_last(), F.col("id").asc_nulls_last())
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        values = [pc.fill_null(table.column(c).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) if c == "model" else table.column(c).cast(pa.float64()).to_numpy() for c in columns]
+        cuts = changes(table, by)
+        ends = zip([0, *cuts], [*cuts, table.num_rows], strict=True)
+        at = np.concatenate([start + point(*(v[start:end] for v in values)) for start, end in ends])
+        batch = table.to_batches(max_chunksize=table.num_rows)[0]
+        return pa.RecordBatch.from_arrays([*batch.columns, batch.column("id").take(pa.array(at))], schema=batch.schema.append(pa.field(name, batch.schema.field("id").type)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and held[-1].slice(held[-1].num_rows - 1).select(by).to_pylist() != batch.slice(0, 1).select(by).to_pylist():
+                yield done(held)
+                held = []
+            cuts = changes(batch, by)
+            if len(cuts):
+                yield done([*held, batch.slice(0, int(cuts[-1]))])
+                held = [batch.slice(int(cuts[-1]))]
             else:
-                reps.setdefault((i, j), []).append((x, y, n, own))
-                out.append(own)
-        return pdf.assign(rep=out)
+                held.append(batch)
+        if held:
+            yield done(held)
 
-    return rows.groupBy(*by).applyInPandas(run, widened(rows.schema, "rep", rows.schema["id"].dataType))
+    return sorted_rows.mapInArrow(run, widened(rows.schema, name, rows.schema["id"].dataType))
+
+
+def clusters(rows: DataFrame, by: list[str], within: float) -> DataFrame:
+    """``rows`` (id, x, y, score) with rep, the id of their representative: the nearest one within reach, else themselves.
+
+    Rows come by falling score, then id; only representatives attract, so chains do not grow. Only the first row at a place can become one, as what attracted it attracts the later
+    ones too: places are gone through one by one, and rows look up what was nearest to their place when they came.
+    """
+    around = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1)]
+
+    def point(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        first, place = distinct(x, y)
+        places = list(zip(x[first].tolist(), y[first].tolist(), strict=True))
+        cells = [(math.floor(a / within), math.floor(b / within)) for a, b in places]
+        reps: dict[tuple[int, int], list[tuple[float, float, int]]] = {}  # by cells as wide as the reach: the nearest lies in one of nine
+        near = lambda i, j, x, y: [(n, d) for di, dj in around for a, b, n in reps.get((i + di, j + dj), ()) if (d := math.hypot(a - x, b - y)) <= within]
+        for k in np.argsort(first, kind="stable").tolist():
+            if not near(*cells[k], *places[k]):
+                reps.setdefault(cells[k], []).append((*places[k], int(first[k])))
+        # a place's nearest representative changes where a nearer one came: place, row from which it holds
+        held = []
+        for k in range(len(places)):
+            best = math.inf
+            for n, d in sorted(near(*cells[k], *places[k])):
+                if d < best:
+                    best = d
+                    held.append((k, n))
+        at, since = np.array(held, dtype=np.int64).reshape(-1, 2).T
+        found = np.searchsorted(at * (len(x) + 1) + since, place * (len(x) + 1) + np.arange(len(x)), side="right") - 1
+        return since[found]
+
+    return pointed(rows, by, "rep", ["x", "y"], point)
+
+
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row of the columns, and the number of each row's."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number  # lexsort is stable, so the first of equal rows comes first
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,26 +121,32 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def merged_boxes(rows: DataFrame, by: list[str], least: float, across_models: bool = True) -> DataFrame:
     """``rows`` (id, model, x1, y1, x2, y2, score) with kept_by: the id of the first kept box they overlap enough, else their own.
 
-    With ``across_models`` boxes of one model never absorb each other; without it this is plain suppression of overlapping boxes.
+    With ``across_models`` boxes of one model never absorb each other; without it this is plain suppression of overlapping boxes. Equal boxes (of one model, where models count) have
+    one fate, so each is compared once: what absorbs the first absorbs all, and where the first is kept, no box that would absorb a later one can have been kept since. Then the later ones are
+    kept too where models count, and else absorbed by the first.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        boxes, models, ids = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["model"].to_numpy(), pdf["id"].tolist()
-        kept: list[int] = []
-        out = []
-        for i in range(len(pdf)):
-            near = overlap(boxes[i], boxes[kept]) >= least if kept else np.zeros(0, bool)
-            if across_models and kept:
-                near &= models[kept] != models[i]
-            if near.any():
-                out.append(ids[kept[int(np.argmax(near))]])
-            else:
-                kept.append(i)
-                out.append(ids[i])
-        return pdf.assign(kept_by=out)
-
-    return rows.groupBy(*by).applyInPandas(run, widened(rows.schema, "kept_by", rows.schema["id"].dataType))
+    def point(model: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        first, number = distinct(x1, y1, x2, y2, *([model] if across_models else []))
+        boxes, models = np.stack([x1, y1, x2, y2], axis=1)[first], model[first]
+        kept, kept_models, at = np.empty_like(boxes), np.empty_like(models), np.empty(len(first), dtype=np.int64)
+        into, n = np.full(len(first), -1), 0
+        for u in np.argsort(first, kind="stable").tolist():
+            if n:
+                near = overlap(boxes[u], kept[:n]) >= least
+                if across_models:
+                    near &= kept_models[:n] != models[u]
+                k = int(near.argmax())
+                if near[k]:
+                    into[u] = at[k]
+                    continue
+            kept[n], kept_models[n], at[n] = boxes[u], models[u], first[u]
+            n += 1
+            if not across_models and overlap(boxes[u], boxes[u : u + 1])[0] >= least:
+                into[u] = first[u]
+        return np.where(into[number] < 0, np.arange(len(number)), into[number])
+
+    return pointed(rows, by, "kept_by", ["model", "x1", "y1", "x2", "y2"], point)
 
 
 def matched_boxes(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -171,25 +249,29 @@ def routes(rows: DataFrame, by: list[str]) -> DataFrame:
     """Visiting order of targets (id, tier_rank, x, y) as step: tier by tier the nearest next, then each tier's part uncrossed by 2-opt.
 
     The start is the first target of the gravest tier by id; the path is open. Targets of a tier at one place follow each other, and no 2-opt move parts
-    them, so places are ordered instead of targets; distances are worked out as needed, a row at a time.
+    them, so places are ordered instead of targets: a task holds a group's places, and Spark numbers the targets of each. Distances are worked out as needed, a row at a time. Targets without a place have no step.
     """
+    keys = [*by, "tier_rank", "x", "y"]
+    places = rows.dropna(subset=["x", "y"]).groupBy(*keys).agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tier_rank", "id"], kind="stable").reset_index(drop=True)
-        path: list[int] = []
-        end = None
+        pdf = pdf.sort_values(["tier_rank", "_first"], kind="stable").reset_index(drop=True)
+        order, turned, end = [], [], None
         for _, tier in pdf.groupby("tier_rank", sort=True):
-            members = sorted((g.to_numpy() for g in tier.groupby(["x", "y"]).groups.values()), key=lambda m: m[0])
-            xy = tier.loc[[m[0] for m in members], ["x", "y"]].to_numpy(float)
-            tour, turned = uncrossed(xy, nearest_next(xy, end), end)
-            for k, back in zip(tour, turned, strict=True):
-                path += members[k][::-1].tolist() if back else members[k].tolist()
+            xy = tier[["x", "y"]].to_numpy(float)
+            tour, back = uncrossed(xy, nearest_next(xy, end), end)
+            order.append(tier.index.to_numpy()[tour])
+            turned.append(back)
             end = xy[tour[-1]]
-        step = np.empty(len(pdf), dtype=np.int32)
-        step[path] = np.arange(1, len(pdf) + 1)
-        return pdf.assign(step=step)
-
-    return rows.groupBy(*by).applyInPandas(run, widened(rows.schema, "step", T.IntegerType()))
+        pdf = pdf.iloc[np.concatenate(order)]
+        return pdf.assign(_turned=np.concatenate(turned), _before=pdf["_n"].cumsum() - pdf["_n"]).drop(columns="_first")
+
+    shape = T.StructType([*(places.schema[c] for c in (*keys, "_n")), T.StructField("_turned", T.BooleanType()), T.StructField("_before", T.LongType())])
+    toured = places.groupBy(*by).applyInPandas(run, shape)
+    # estimates of what tasks in Python make are those of what they read
+    found = rows.hint("merge").join(toured, keys, "left").withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
+    step = F.col("_before") + F.when(F.col("_turned"), F.col("_n") - F.col("_nth") + 1).otherwise(F.col("_nth"))
+    return found.select(*rows.columns, step.cast("int").alias("step"))
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -75,3 +75,61 @@ def test_drift_covers_every_supplier(spark, name):
     sf = SF.replace("0.001", "0.01")
     got = {r[0] for r in registry.QUERIES[name](spark, sf).select("target").distinct().collect()}
     assert got == {r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()} and len(got) > 19
+
+
+def crowded():
+    rng = np.random.default_rng(23)
+    pdf = pd.DataFrame({"strip": rng.integers(0, 3, 900), "id": rng.permutation(900), "model": rng.integers(0, 3, 900), "score": rng.integers(0, 40, 900) / 40, "x": rng.integers(0, 9, 900) * 10.0, "y": rng.integers(0, 9, 900) * 10.0})
+    return pdf.assign(x1=pdf["x"], y1=pdf["y"], x2=pdf["x"] + 20 * (pdf["id"] % 7 > 0), y2=pdf["y"] + 20.0)
+
+
+def in_order(pdf):
+    for _, g in pdf.groupby("strip"):
+        yield list(g.sort_values(["score", "id"], ascending=[False, True]).itertuples(index=False))
+
+
+def by_streams(frame):
+    """Groups stream through tasks in Spark's order; none is a frame of its own, which took most of the time where groups are small."""
+    return "FlatMapGroupsInPandas" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_equal_the_plain_algorithm(spark):
+    want = {}
+    for rows in in_order(crowded()):
+        reps = []
+        for r in rows:
+            near = min(((np.hypot(a.x - r.x, a.y - r.y), k) for k, a in enumerate(reps)), default=(np.inf, 0))
+            want[r.id] = reps[near[1]].id if near[0] <= 25 else r.id
+            if near[0] > 25:
+                reps.append(r)
+    found = sequential.clusters(spark.createDataFrame(crowded()), ["strip"], 25.0)
+    assert by_streams(found) and dict(found.select("id", "rep").collect()) == want
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_merged_boxes_equal_the_plain_algorithm(spark, across):
+    def iou(a, b):
+        w, h = max(min(a.x2, b.x2) - max(a.x1, b.x1), 0), max(min(a.y2, b.y2) - max(a.y1, b.y1), 0)
+        union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - w * h
+        return w * h / union if union else 0
+
+    want = {}
+    for rows in in_order(crowded()):
+        kept = []
+        for r in rows:
+            into = next((k for k in kept if iou(k, r) >= 0.3 and not (across and k.model == r.model)), None)
+            want[r.id] = into.id if into else r.id
+            if not into:
+                kept.append(r)
+    found = sequential.merged_boxes(spark.createDataFrame(crowded()), ["strip"], 0.3, across)
+    assert by_streams(found) and dict(found.select("id", "kept_by").collect()) == want
+
+
+def test_a_task_of_routes_holds_places_not_targets(spark):
+    pdf = pd.DataFrame({"survey": 1, "id": range(3000), "tier_rank": 0, "x": [i % 3 for i in range(3000)], "y": 0})
+    found = sequential.routes(spark.createDataFrame(pdf), ["survey"])
+    # what goes to Python are sums by place
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("FlatMapGroupsInPandas") :]
+    want = routed_by_the_book(pdf)
+    assert {r["id"]: r["step"] for r in found.collect()} == want
