@@ -3,8 +3,8 @@
 A table hashes a unit vector x to the cells floor((a.x + b) / w) of several Gaussian directions a. A query visits, in each table, its own bucket and
 those it gets by moving to neighbouring cells, in the order of their estimated chance to hold a near vector: the expected squared
 distances to the nearest cell borders (their order statistics) rank the sets of moves once for all queries. How many buckets to visit follows from the distance of
-true neighbours, measured for a bounded sample of queries against all vectors. Only pairs that share a bucket are scored: one by one where they are few
-in a pair of blocks, by a masked product where they are many.
+true neighbours, measured for a bounded sample of queries against all vectors. Only pairs that share a bucket are scored: one by one where they are few,
+by a masked product where they are many. Queries and vectors of one part of a table meet in a task, where vectors stream past the queries, so neither is copied for each block of the other.
 """
 
 from __future__ import annotations
@@ -21,10 +21,16 @@ from pyspark.sql.window import Window
 
 from fathomline.llm.common import MIX_1, mixed, staged
 
-#: Vectors in a block of one part of one table, at most; queries in one; best candidates that a task holds before it passes them on.
-BLOCK, ASKED, HELD = 4096, 128, 1_000_000
-#: Pairs of a query and a vector are scored one by one below this share of a pair of blocks, and by one product masked to them above it.
-PRODUCT = 0.2
+#: Vectors in a block of one part of one table, at most; queries in one; queries of a group, which a task holds at once; best candidates that a task holds before it passes them on.
+BLOCK, ASKED, GROUP, HELD = 4096, 128, 16384, 1_000_000
+#: Pairs of a query and a vector that are looked at together.
+PAIRS = 1 << 22
+#: Pairs of a query and a vector are scored one by one below this share of those looked at, and by one product masked to them above it, which is as cheap as a fiftieth of the pairs one by one.
+PRODUCT = 0.02
+#: Tasks that compare, at most.
+MOST = 512
+#: How far cosines in single precision may be off.
+ROUGH = 1e-5
 
 
 @dataclass(frozen=True)
@@ -191,13 +197,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
     parts = max(1, -(-n_rows // (4 * BLOCK)))
 
     def dealt(batches: Iterator[pa.RecordBatch], probing: bool, hashed: bool = True) -> Iterator[pa.RecordBatch]:
-        """One row for each table and part: the keys, ids and vectors of a block. Without hashing a vector lies in one part and a query goes to all."""
+        """One row for each table and part: the keys, ids and unit vectors of a block. Without hashing a vector lies in one part and a query goes to all."""
         size = ASKED if probing else BLOCK
         for whole in batches:
             for start in range(0, whole.num_rows, size):
                 batch = whole.slice(start, size)
-                x, ids = matrix(batch), batch.column("vec_id").to_numpy()
-                places = tables.cells(unit(x)) if hashed else None
+                x, ids = unit(matrix(batch)), batch.column("vec_id").to_numpy()
+                places = tables.cells(x) if hashed else None
                 out = []
                 for t in range(tables.tables if hashed else 1):
                     if not hashed:
@@ -232,49 +238,106 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: Tables | N
         place = np.arange(len(q_ids)) - np.repeat(start, np.diff(np.append(start, len(q_ids))))
         return q_ids[place < k], ids[place < k], score[place < k]
 
+    class Asked:
+        """The queries of one group in one part of one table, with the nearest candidates found so far."""
+
+        def __init__(self, rows: list[dict], best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+            self.ids = np.concatenate(read("ids", np.int64))
+            self.x = np.concatenate(read("vectors", np.float64)).reshape(-1, dims["d"])
+            sizes = np.cumsum([0, *(len(v) for v in read("ids", np.int64))])
+            key, row = np.concatenate(read("keys", np.uint64)), np.concatenate([v + start for v, start in zip(read("rows", np.int32), sizes, strict=False)])
+            order = np.argsort(key, kind="stable")
+            self.key, self.row = key[order], row[order]
+            self.rough = self.x.astype(np.float32)
+            self.told(best)
+
+        def told(self, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            """What a candidate must reach: the k-th best that is held of each query."""
+            q_ids, _, score = best
+            last = np.flatnonzero(np.append(q_ids[1:] != q_ids[:-1], True)) if len(q_ids) else np.zeros(0, dtype=np.int64)
+            first = np.append(0, last[:-1] + 1)[: len(last)]
+            full = last - first + 1 >= k
+            known, kth = q_ids[last[full]], score[last[full]]
+            at = np.minimum(np.searchsorted(known, self.ids), max(0, len(known) - 1))
+            self.edge = np.where(known[at] == self.ids, kth[at], -np.inf) if len(known) else np.full(len(self.ids), -np.inf)
+
+        def look(self, key: np.ndarray, member: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Query, vector and cosine of the pairs that share a bucket and can be among the nearest."""
+            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+            seen = np.zeros((len(self.x), len(x)), dtype=bool)
+            n = high - low
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            seen[self.row[np.repeat(low, n) + within], np.repeat(member, n)] = True
+            seen &= self.ids[:, None] != ids[None, :]
+            if np.count_nonzero(seen) > PRODUCT * seen.size:
+                rough = np.where(seen, self.rough @ x.astype(np.float32).T, np.float32(-np.inf))
+                edge = self.edge
+                if rough.shape[1] > k and np.isinf(edge).any() and len(np.unique(ids)) == len(ids):
+                    edge = np.maximum(edge, np.partition(rough, -k, axis=1)[:, -k] - ROUGH)
+                seen &= rough >= (edge - ROUGH).astype(np.float32)[:, None]
+            row, column = np.nonzero(seen)
+            # sums in one order, so that equal vectors score alike wherever they lie
+            score = np.concatenate([(self.x[row[i : i + 65536]] * x[column[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+            return self.ids[row], ids[column], score
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest vectors to each query among those that share a bucket, over all pairs of blocks of the task."""
+        """The nearest vectors to each query among those that share a bucket. Rows of one part of a table and one group come together, the queries first."""
 
         def passed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
+        def met() -> None:
+            """Looks at the vectors that wait, some at a time."""
+            nonlocal held, waiting, asking
+            if asking and waiting:
+                group = asking = Asked(asking, held) if isinstance(asking, list) else asking
+                start = np.cumsum([0, *(len(r["ids"]) // 8 for r in waiting)])
+                key, member = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in waiting]), np.concatenate([np.frombuffer(r["rows"], np.int32) + a for r, a in zip(waiting, start, strict=False)])
+                ids, x = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in waiting]), np.concatenate([np.frombuffer(r["vectors"]) for r in waiting]).reshape(-1, dims["d"])
+                order = np.argsort(member, kind="stable")
+                key, member = key[order], member[order]
+                step = max(1, PAIRS // len(group.ids))
+                for low in range(0, len(ids), step):
+                    a, b = np.searchsorted(member, [low, low + step])
+                    found = group.look(key[a:b], member[a:b] - low, ids[low : low + step], x[low : low + step])
+                    if len(found[0]):
+                        held = best_of(*(np.concatenate([p, q]) for p, q in zip(held, found, strict=True)))
+                        group.told(held)
+            waiting = []
+
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        held = empty
+        held, at, asking, waiting, size = empty, None, [], [], 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                q, x = (np.frombuffer(r[v]).reshape(-1, dims["d"]) for v in ("q_vectors", "vectors"))
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                key, member = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["rows"], np.int32)
-                q_key, q_row = np.frombuffer(r["q_keys"], np.uint64), np.frombuffer(r["q_rows"], np.int32)
-                low, high = np.searchsorted(q_key, key, "left"), np.searchsorted(q_key, key, "right")
-                seen = np.zeros((len(q), len(x)), dtype=bool)
-                n = high - low
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                seen[q_row[np.repeat(low, n) + within], np.repeat(member, n)] = True
-                seen &= q_ids[:, None] != ids[None, :]
-                row, column = np.nonzero(seen)
-                if len(row) > PRODUCT * seen.size:
-                    rough = np.where(seen, cosines(q, x), -np.inf)
-                    edge = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
-                    row, column = np.nonzero(seen & (rough >= edge[:, None] - 1e-9))  # the places of a product differ in their last bits
-                q, x = unit(q), unit(x)
-                # sums in one order, so that equal vectors score alike wherever they lie
-                score = np.concatenate([(q[row[i : i + 65536]] * x[column[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
-                held = best_of(*(np.concatenate([a, b]) for a, b in zip(held, (q_ids[row], ids[column], score), strict=True)))
-                if len(held[0]) > HELD:
-                    yield passed()
-                    held = empty
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if at != (cell := (r["table"], r["part"], r["group"])):
+                    met()
+                    at, asking, size = cell, [], 0
+                    if len(held[0]) > HELD:
+                        yield passed()
+                        held = empty
+                if r["side"] == 0:
+                    asking.append(r)
+                elif asking:
+                    waiting.append(r)
+                    size += len(r["ids"]) // 8
+                    if size >= BLOCK:
+                        met()
+                        size = 0
+        met()
         yield passed()
 
     shape = "table int, part int, keys binary, rows binary, ids binary, vectors binary"
 
     def searched(queries: DataFrame, hashed: bool) -> DataFrame:
+        groups = max(1, -(-n_queries // GROUP))
         asked = queries.repartition(max(1, -(-n_queries // ASKED)), "vec_id").mapInArrow(lambda it: dealt(it, True, hashed), shape)
-        asked = asked.select("table", "part", *(F.col(c).alias(f"q_{c}") for c in ("keys", "rows", "ids", "vectors")))
-        held = rows.mapInArrow(lambda it: dealt(it, False, hashed), shape)
-        # rows that Arrow tasks make have the estimate of what they read: neither side is broadcast
-        found = held.hint("merge").join(asked, ["table", "part"]).mapInArrow(compared, schema)
+        asked = asked.select("*", F.lit(0).alias("side"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"))
+        held = rows.mapInArrow(lambda it: dealt(it, False, hashed), shape).select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+        by = ["table", "part", "group"]
+        cells = (tables.tables if hashed else 1) * parts * groups
+        found = asked.unionByName(held).repartition(min(cells, MOST), *by).sortWithinPartitions(*by, "side").mapInArrow(compared, schema)
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
         return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

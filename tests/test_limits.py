@@ -104,3 +104,26 @@ def test_dense_search_makes_no_row_of_a_pair_and_sends_nothing_to_the_driver(spa
         assert joined(found) == set()
         rows = found.orderBy("query_id", "rank").toPandas()
         assert {i: g["vec_id"].tolist() for i, g in rows.groupby("query_id")} == want
+
+
+def test_a_part_of_a_table_meets_its_queries_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 8)).round(1)
+    x[900:1100] = x[0]
+    pdf = pd.DataFrame({"vec_id": [*range(1490), *range(10)], "embedding": x.tolist()})  # ten ids twice
+    v = spark.createDataFrame(pdf).repartition(40)  # many small blocks, each of which was compared with each of the queries'
+    seen, staged = [], probing.staged
+    probing.staged = lambda frame, name: (seen.append(joined(frame)), staged(frame, name))[1]
+    try:
+        got = probing.nearest(v, F.col("vec_id") % 50 == 0).toPandas()
+    finally:
+        probing.staged = staged
+    assert seen[0] == set()  # neither side is copied for each block of the other
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    for q, g in got.groupby("query_id"):
+        score = pd.Series(np.max([u @ u[i] for i in np.flatnonzero(pdf["vec_id"] == q)], axis=0)).groupby(pdf["vec_id"]).max().drop(q)
+        assert g.sort_values("rank")["score"].is_monotonic_decreasing and np.allclose(score[g["vec_id"]].to_numpy(), g["score"])
+        kth = score.nlargest(5).iloc[-1]
+        hits, total = hits + (g["score"] >= kth - 1e-9).sum(), total + 5
+    assert hits >= 0.9 * total
