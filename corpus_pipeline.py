@@ -11,6 +11,10 @@ from fathomline.llm import cube, factorisation, jaccard, packing, secrets
 from fathomline.llm.common import discard, staged, table
 
 
+#: Pieces of text whose ids a worker caches in the packing: fewer than where it runs alone, as the executor also holds what the stages before grew to.
+PIECES = 200_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores below a half go; it learns from the labels beside the documents.
 
@@ -47,7 +51,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text is its end id alone, a null source a queue of its own, repeated rows are documents of their own, other columns are ignored, an empty table has no pieces.
     """
-    return packing.packed(docs)
+    return packing.packed(docs, pieces=PIECES)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources", mixing), ("packing", packs)]

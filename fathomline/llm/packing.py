@@ -30,12 +30,12 @@ GOLDEN = (5**0.5 - 1) / 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
 
 
-def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int, pieces: int) -> DataFrame:
     """uid, source, n, doc_ids, lengths and ids (16-bit numbers where they fit, else 32-bit): a row for each source in each block of documents, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            ids = [np.append(x, np.uint32(end)) for x in encoder(path).many(batch.column("text").to_pylist())]
+            ids = [np.append(x, np.uint32(end)) for x in encoder(path, pieces).many(batch.column("text").to_pylist())]
             doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             members: dict[str | None, list[int]] = {}
             for i, source in enumerate(batch.column("source").cast(pa.string()).to_pylist()):
@@ -169,15 +169,15 @@ class Rounds:
         return doc, at - (ends - lengths)[doc], high - low, low, windows[w][which]
 
 
-def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportions: dict[str | None, float] | None = None, end: int = 0, path: str | None = None, most_sources: int = 100_000) -> DataFrame:
+def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportions: dict[str | None, float] | None = None, end: int = 0, path: str | None = None, most_sources: int = 100_000, pieces: int = 900_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, window: one row for each piece of a document in a sequence.
 
     A window is ``windows_of`` sequences of ``length`` tokens; sources of which a window would hold less than a quarter of a sequence send that much at a time. They share a window by ``proportions``, by default by their tokens, so that all queues end
     together; sources not named wait until the others are used up. Only the last sequence can be shorter. A null text is packed as an empty one (its end id
     alone), a null source is a source of its own, a null doc_id stays null, and repeated rows are documents of their own. Other columns are
-    ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused.
+    ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused. A worker caches the ids of ``pieces`` pieces of text (about 200 bytes each).
     """
-    tokens = tokenized(docs, path or tokenizer_path(), end)
+    tokens = tokenized(docs, path or tokenizer_path(), end, pieces)
     totals = tokens.groupBy("source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources: group them before packing")

@@ -109,9 +109,11 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each vocabulary and Python worker."""
+def encoder(path: str, most: int = 900_000) -> Encoder:
+    """One for each vocabulary and Python worker, whose caches hold ``most`` pieces."""
     if path not in ENCODERS:
         ENCODERS[path] = Encoder(path)
-    only(ENCODERS[path].pieces, ENCODERS[path].units)
-    return ENCODERS[path]
+    found = ENCODERS[path]
+    found.pieces.most, found.units.most = most, most // 6
+    only(found.pieces, found.units)
+    return found

@@ -9,7 +9,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from fathomline.llm import probing
+from fathomline.llm import jaccard, probing, tokens
 from fathomline.operators import joins, search, strips, triage, windows
 
 
@@ -127,3 +127,18 @@ def test_a_part_of_a_table_meets_its_queries_once(spark):
         kth = score.nlargest(5).iloc[-1]
         hits, total = hits + (g["score"] >= kth - 1e-9).sum(), total + 5
     assert hits >= 0.9 * total
+
+
+def test_sets_are_small_only_where_two_subsets_are_fewer_rows(spark):
+    # 40 shared keys are 780 2-subsets, but 39 rows of keys whose lists of two are scanned in a bin
+    found = spark.createDataFrame([(260, 39, 780, 1000.0)] * 3 + [(13, 2, 1, 64.0)] * 5, "n int, ones int, subsets long, scan double")
+    assert jaccard.boundary(found) == 13
+
+
+def test_the_cache_of_a_packing_is_bounded_by_its_parameter(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(60)]
+    found = tokens.encoder(tokens.tokenizer_path(), 2000)
+    plain = [found.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    for w, ids in zip(words, plain, strict=True):
+        assert found.many([w])[0].tolist() == ids
+        assert len(found.pieces) <= 2500 and len(found.units) <= 2000 // 6 + 1000
