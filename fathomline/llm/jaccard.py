@@ -3,7 +3,7 @@
 Equal sets are one class. The shingles of a class are ordered from rare to frequent, by document frequencies counted over all classes. A set of
 n shingles may miss at most d = n - ceil(t n) of a partner's, so partners share one of its first d + 1 shingles, and two of its first d + 2.
 Small sets meet by all 2-subsets of the latter; a large set scans the inverted lists of the former, in which the sets small enough to be
-its partners also stand. The size that parts them is the one with the least cost over all sizes, counted from the corpus.
+its partners also stand. The size that parts them is the one with the least cost over all sizes, counted from the corpus in rows that are shuffled.
 
 Sets that share a key meet in a bin, that of the key's first set, and each set is sent to a bin once. A bin is joined where it is: inverted lists of its
 sets give all overlaps, and a union-find keeps only links that join two components, one fewer than the bin's sets at most. A bin of more
@@ -29,6 +29,8 @@ from fathomline.llm.dealing import dealt, parts_of
 
 #: Shingles of the sets in one bin, at most; of the bins joined at once; bytes of the sets in one task.
 BIN, AT_ONCE, TASK_BYTES = 1 << 20, 1 << 18, 32 << 20
+#: Entries of inverted lists, which a bin scans in memory, that cost as much as one shuffled row.
+SCANNED = 64
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -139,13 +141,14 @@ def prefixes(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> D
 
 
 def boundary(found: DataFrame) -> int:
-    """Size up to which sets are small: where listing 2-subsets below and scanning lists above cost least together, in rows.
+    """Size up to which sets are small: where listing 2-subsets below, and listing keys and scanning their lists above, cost least together, in rows.
 
+    A large set's rows are its keys; the lists are scanned inside bins, so what stands in them is no row. 2-subsets grow with the square of the keys and each is a row.
     Sizes above 4,096 are taken together in steps of a 64th of a power of two, so the rows read here are few whatever the corpus.
     """
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("n"))) - 6, F.lit(0)))
     size = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(F.floor(F.col("n") / step) * step)
-    cost = found.groupBy(size.alias("size")).agg(F.sum("scan").alias("scan"), F.sum("subsets").alias("subsets"), F.max("n").alias("n")).collect()
+    cost = found.groupBy(size.alias("size")).agg(F.sum(F.col("ones") + F.col("scan") / SCANNED).alias("scan"), F.sum("subsets").alias("subsets"), F.max("n").alias("n")).collect()
     best, at, total = 0.0, 0, 0.0
     for r in sorted(cost, key=lambda r: r["n"]):
         total += r["subsets"] - r["scan"]
