@@ -7,16 +7,23 @@ trapezoids. Areas add up over slabs; no task sees the whole of a polygon, let al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from fathomline.operators.sequential import changes, whole_groups
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 #: (edge, interval) pairs that a sweep holds at a time.
 PAIRS = 1 << 21
+#: Boxes are counted in cells where these are at most so many for each pair that a sweep would hold.
+CELLS = 128
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -80,12 +87,18 @@ def crossings(xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray) ->
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def sweep(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """xa, xb, the lower and upper y at both, and the number of the set of layers (a bit for each in sorted order) of the trapezoids that a slab's edges bound."""
-    xa, ya, xb, yb = (pdf[c].to_numpy() for c in ("xa", "ya", "xb", "yb"))
-    polygon = pd.factorize(pd.MultiIndex.from_frame(pdf[["layer", "polygon"]]))[0]
-    names = sorted(pdf["layer"].unique())
-    layer = pd.Categorical(pdf["layer"], categories=names).codes.astype(np.int64)
+def named(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list]:
+    """The number of each value in sorted order, and the values."""
+    found = pc.dictionary_encode(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, null_encoding="encode")
+    names = found.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=lambda k: (names[k] is None, names[k]))
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    return place[found.indices.to_numpy(zero_copy_only=False)], [names[k] for k in order]
+
+
+def sweep(layer: np.ndarray, n_layers: int, polygon: np.ndarray, xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The number of the set of layers (a bit for each), xa, xb, and the lower and upper y at both of the trapezoids that a slab's edges bound."""
     xs = np.unique(np.concatenate([xa, xb, crossings(xa, ya, xb, yb)]))
     slope = (yb - ya) / (xb - xa)
     first, last = np.searchsorted(xs, xa), np.searchsorted(xs, xb)  # an edge is there in the intervals first to last - 1
@@ -108,14 +121,105 @@ def sweep(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         order = np.lexsort((-delta, y, k))
         e, k, y, delta = e[order], k[order], y[order], delta[order]
         covers = np.zeros(len(e), dtype=np.int64)
-        for bit in range(len(names)):
+        for bit in range(n_layers):
             covers |= (np.cumsum(np.where(layer[e] == bit, delta, 0)) > 0).astype(np.int64) << bit
         keep = np.flatnonzero((covers[:-1] > 0) & (k[:-1] == k[1:]) & (y[:-1] < y[1:])) if len(e) > 1 else np.zeros(0, dtype=np.int64)
         lower, upper, x0, x1 = e[keep], e[keep + 1], xs[k[keep]], xs[k[keep] + 1]
         at = lambda edge, x: ya[edge] + slope[edge] * (x - xa[edge])
-        sets = [[n for bit, n in enumerate(names) if c >> bit & 1] for c in range(1 << len(names))] if len(names) <= 10 else None
-        layers = [sets[c] if sets else [n for bit, n in enumerate(names) if c >> bit & 1] for c in covers[keep].tolist()]
-        yield pd.DataFrame({"layers": layers, "xa": x0, "xb": x1, "low_a": at(lower, x0), "low_b": at(lower, x1), "high_a": at(upper, x0), "high_b": at(upper, x1)})
+        yield covers[keep], x0, x1, at(lower, x0), at(lower, x1), at(upper, x0), at(upper, x1)
+
+
+def summed(covers: np.ndarray, area: np.ndarray, into: dict[int, float]) -> None:
+    sets, number = np.unique(covers, return_inverse=True)
+    for c, v in zip(sets.tolist(), np.bincount(number.ravel(), weights=area.ravel(), minlength=len(sets)).tolist(), strict=True):
+        if c:
+            into[c] = into.get(c, 0.0) + v
+
+
+def boxes_of(layer: np.ndarray, polygon: np.ndarray, xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray) -> np.ndarray | None:
+    """layer, x0, x1, y0, y1 of the distinct upright boxes, if a slab's polygons are nothing else."""
+    if len(xa) % 2 or (ya != yb).any():
+        return None
+    order = np.lexsort((ya, polygon))
+    low, high = order[::2], order[1::2]
+    if (polygon[low] != polygon[high]).any() or (polygon[low][1:] == polygon[low][:-1]).any() or (xa[low] != xa[high]).any() or (xb[low] != xb[high]).any():
+        return None
+    return np.unique(np.stack([layer[low], xa[low], xb[low], ya[low], ya[high]]), axis=1)
+
+
+def covered(layer: np.ndarray, n_layers: int, polygon: np.ndarray, *ends: np.ndarray) -> dict[int, float]:
+    """The area of each set of layers (a bit for each) in a slab.
+
+    Boxes that lie densely are counted in the cells between their sides, of which there are no more than places on their grid however many boxes there are; a sweep meets every box in every interval.
+    """
+    out: dict[int, float] = {}
+    boxes = boxes_of(layer, polygon, *ends)
+    if boxes is not None:
+        kind, (x0, x1, y0, y1) = boxes[0].astype(np.int64), boxes[1:]
+        xs, ys = np.unique(np.concatenate([x0, x1])), np.unique(np.concatenate([y0, y1]))
+        i0, i1, j0, j1 = np.searchsorted(xs, x0), np.searchsorted(xs, x1), np.searchsorted(ys, y0), np.searchsorted(ys, y1)
+        if (len(xs) - 1) * len(ys) * n_layers <= CELLS * int((i1 - i0).sum()):
+            step = max(1, PAIRS // len(ys))
+            bits = np.min_scalar_type((1 << n_layers) - 1)
+            count = np.int16 if len(kind) < 1 << 14 else np.int32
+            for lo in range(0, len(xs) - 1, step):
+                hi = min(lo + step, len(xs) - 1)
+                covers = np.zeros((hi - lo, len(ys)), dtype=bits)
+                here = (i0 < hi) & (i1 > lo)
+                for bit in range(n_layers):
+                    b = here & (kind == bit)
+                    a, z = np.maximum(i0[b], lo) - lo, np.minimum(i1[b], hi) - lo
+                    begin = np.zeros((hi - lo + 1, len(ys)), dtype=count)
+                    for at, j, v in ((a, j0[b], 1), (a, j1[b], -1), (z, j0[b], -1), (z, j1[b], 1)):
+                        np.add.at(begin, (at, j), count(v))
+                    np.cumsum(begin, axis=0, dtype=count, out=begin)
+                    np.cumsum(begin, axis=1, dtype=count, out=begin)
+                    covers |= (begin[:-1] > 0).astype(bits) << bits.type(bit)
+                wide, tall = np.diff(xs[lo : hi + 1]), np.append(np.diff(ys), 0.0)
+                if n_layers <= 10:
+                    # a row's cells of one set are added up before they are multiplied with its width
+                    row = np.arange(hi - lo)[:, None] << n_layers
+                    tops = np.bincount((row + covers).ravel(), weights=np.broadcast_to(tall, covers.shape).ravel(), minlength=(hi - lo) << n_layers)
+                    totals = wide @ tops.reshape(hi - lo, 1 << n_layers)
+                    for c in np.flatnonzero(totals[1:] > 0) + 1:
+                        out[int(c)] = out.get(int(c), 0.0) + float(totals[c])
+                else:
+                    area = wide[:, None] * tall[None, :]
+                    summed(covers[area > 0].astype(np.int64), area[area > 0], out)
+            return out
+    for covers, x0, x1, low_a, low_b, high_a, high_b in sweep(layer, n_layers, polygon, *ends):
+        summed(covers, (x1 - x0) * (high_a - low_a + high_b - low_b) / 2, out)
+    return out
+
+
+def slabs(polygons: DataFrame, by: list[str], width: float, run: Callable[..., Iterator[tuple[np.ndarray, ...]]], names: list[str]) -> DataFrame:
+    """by, layers and ``names``: what ``run`` gives for each slab's layers, polygons and edges, as numbers of sets of layers and columns beside them."""
+    cut = edges(polygons.filter("layer IS NOT NULL"), by, width)
+    # many tasks, as the work of a slab grows faster than its bytes
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cut.repartition(tasks, *by, "slab").sortWithinPartitions(*by, "slab")
+    shape = T.StructType([*(polygons.schema[c] for c in by), T.StructField("layers", T.ArrayType(T.StringType())), *(T.StructField(n, T.DoubleType()) for n in names)])
+    arrow = to_arrow_schema(shape)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        cuts = changes(table, [*by, "slab"])
+        for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+            rows = table.slice(start, end - start)
+            layer, layers = named(rows.column("layer"))
+            polygon, kinds = named(rows.column("polygon"))
+            polygon = layer * len(kinds) + polygon
+            for covers, *columns in run(layer, len(layers), polygon, *(rows.column(c).to_numpy() for c in ("xa", "ya", "xb", "yb"))):
+                sets, number = np.unique(covers, return_inverse=True)
+                shown = pa.array([[x for bit, x in enumerate(layers) if c >> bit & 1] for c in sets.tolist()], arrow.field("layers").type)
+                keys = [pa.repeat(rows.column(c)[0], len(covers)) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, shown.take(pa.array(number.ravel())), *(pa.array(c, pa.float64()) for c in columns)], schema=arrow)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in whole_groups(batches, [*by, "slab"]):
+            yield from done(parts)
+
+    return met.mapInArrow(each, shape)
 
 
 def trapezoids(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
@@ -124,25 +228,20 @@ def trapezoids(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
     ``polygons``: by, layer (string, up to 62 of them in one slab), polygon (an id inside the layer) and rings. Rings may cross themselves (the even-odd rule holds inside a polygon id), touch or repeat; rings of fewer than three
     points, null rings and null layers count nowhere. ``width`` is that of the slabs: a slab's work grows with the square of the edges in it that overlap in y, so it should hold some thousands.
     """
-    cut = edges(polygons.filter("layer IS NOT NULL"), by, width)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in polygons.schema.fields if f.name in by)
+    return slabs(polygons, by, width, sweep, ["xa", "xb", "low_a", "low_b", "high_a", "high_b"])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = list(sweep(pdf))
-        out = pd.concat(parts) if parts else pd.DataFrame(columns=["layers", "xa", "xb", "low_a", "low_b", "high_a", "high_b"])
-        for name, value in zip(by, key, strict=False):
-            out[name] = value
-        return out
 
-    names = ("xa", "xb", "low_a", "low_b", "high_a", "high_b")
-    out = cut.groupBy(*by, "slab").applyInPandas(run, ", ".join(filter(None, [kept, "layers array<string>", *(f"{n} double" for n in names)])))
-    return out.select(*by, "layers", *names)
+def areas(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
+    """by, layers, area: how much exactly these layers cover together. Unions, differences and intersections of layers are sums of such rows.
+
+    A slab gives a row for each set of layers, and where its polygons are dense upright boxes its work is bounded by their grid (:func:`covered`).
+    """
 
+    def run(*slab: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        found = covered(*slab)
+        yield np.array(list(found), dtype=np.int64), np.array(list(found.values()))
 
-def areas(polygons: DataFrame, by: list[str], width: float) -> DataFrame:
-    """by, layers, area: how much exactly these layers cover together. Unions, differences and intersections of layers are sums of such rows."""
-    piece = (F.col("xb") - F.col("xa")) * (F.col("high_a") - F.col("low_a") + F.col("high_b") - F.col("low_b")) / 2
-    return trapezoids(polygons, by, width).groupBy(*by, "layers").agg(F.sum(piece).alias("area"))
+    return slabs(polygons, by, width, run, ["area"]).groupBy(*by, "layers").agg(F.sum("area").alias("area"))
 
 
 def area_where(condition: Column) -> Column:

@@ -29,6 +29,25 @@ def changes(rows: pa.RecordBatch | pa.Table, by: list[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by group, in lists of batches that hold whole groups only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and held[-1].slice(held[-1].num_rows - 1).select(by).to_pylist() != batch.slice(0, 1).select(by).to_pylist():
+            yield held
+            held = []
+        cuts = changes(batch, by)
+        if len(cuts):
+            yield [*held, batch.slice(0, int(cuts[-1]))]
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield held
+
+
 def pointed(rows: DataFrame, by: list[str], name: str, columns: list[str], point: Callable[..., np.ndarray]) -> DataFrame:
     """``rows`` with ``name``, the id of the row of their group at the place that ``point`` gives for each.
 
@@ -49,21 +68,7 @@ def pointed(rows: DataFrame, by: list[str], name: str, columns: list[str], point
         return pa.RecordBatch.from_arrays([*batch.columns, batch.column("id").take(pa.array(at))], schema=batch.schema.append(pa.field(name, batch.schema.field("id").type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held and held[-1].slice(held[-1].num_rows - 1).select(by).to_pylist() != batch.slice(0, 1).select(by).to_pylist():
-                yield done(held)
-                held = []
-            cuts = changes(batch, by)
-            if len(cuts):
-                yield done([*held, batch.slice(0, int(cuts[-1]))])
-                held = [batch.slice(int(cuts[-1]))]
-            else:
-                held.append(batch)
-        if held:
-            yield done(held)
+        yield from map(done, whole_groups(batches, by))
 
     return sorted_rows.mapInArrow(run, widened(rows.schema, name, rows.schema["id"].dataType))
 

@@ -108,3 +108,31 @@ def test_points_in_polygons_with_holes(spark):
 
 def test_nothing(spark):
     assert pg.areas(spark.createDataFrame([], SHAPE), ["g"], 1.0).count() == 0
+
+
+@pytest.mark.parametrize("layers", [3, 12])
+def test_dense_boxes_are_counted_in_cells(monkeypatch, layers):
+    rng = np.random.default_rng(8)
+    n, side = 3000, 48
+    x0, y0 = rng.integers(0, side, n), rng.integers(0, side, n)
+    x1, y1 = np.minimum(x0 + rng.integers(1, 9, n), side), y0 + rng.integers(0, 9, n)
+    layer, both = rng.integers(0, layers, n), lambda a, b: np.concatenate([a, b]).astype(float)
+    slab = (np.tile(layer, 2), layers, np.tile(np.arange(n), 2), both(x0, x0), both(y0, y1), both(x1, x1), both(y0, y1))
+    raster = np.zeros((side + 1, side + 10), dtype=np.int64)
+    for a, b, c, d, bit in zip(x0, x1, y0, y1, layer, strict=True):
+        raster[a:b, c:d] |= 1 << int(bit)
+    want = {c: float(k) for c, k in zip(*(v.tolist() for v in np.unique(raster, return_counts=True)), strict=True) if c}
+    swept = {}
+    for covers, xa, xb, low, _, high, _ in pg.sweep(*slab):
+        pg.summed(covers, (xb - xa) * (high - low), swept)
+    assert swept == want
+    for pairs in (pg.PAIRS, 200):
+        monkeypatch.setattr(pg, "PAIRS", pairs)
+        monkeypatch.setattr(pg, "sweep", None)  # no pair of a box and an interval is made
+        assert pg.covered(*slab) == want
+
+
+def test_a_ring_of_boxes_beside_others_is_swept(spark):
+    rows = [("a", "l", "1", rings(rect(0, 0, 10, 10), rect(4, 4, 6, 6))), ("a", "l", None, rings(rect(5, 0, 20, 1))), ("a", "m", "1", rings(rect(0, 0, 10, 10)))]
+    got = found(spark.createDataFrame(rows, SHAPE), 100.0)
+    assert got == {("a", ("l", "m")): 96.0, ("a", ("l",)): 10.0, ("a", ("m",)): 4.0}
