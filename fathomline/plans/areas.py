@@ -33,7 +33,8 @@ def a17(spark, d):
   {CELL_SQL.format(k="k", more="")}, cell AS (SELECT DISTINCT k, x, nx, y, ny FROM ys JOIN cb USING (k, x, nx) WHERE y0 <= y AND y1 >= ny) SELECT strip, class, CAST(sum((nx - x) * (ny - y)) AS DOUBLE) AS area FROM cell JOIN (SELECT DISTINCT k, strip, class FROM b) USING (k) GROUP BY 1, 2""")
 def x28_dissolved(spark, d):
     """Each class's boxes, clipped to a region and dissolved: the region is a layer beside them."""
-    found = boxes(spark, d)
+    corner = lambda k, c: F.col("rings")[0][k][c]
+    found = boxes(spark, d).filter((corner(0, "x") < 3000) & (corner(2, "x") > 1000) & (corner(0, "y") < 3000) & (corner(2, "y") > 1000))
     region = found.select("strip").distinct().select("strip", F.lit("region").alias("layer"), F.lit("region").alias("polygon"), polygons.box(*(F.lit(v) for v in (1000, 1000, 3000, 3000))).alias("rings"))
     sets = polygons.areas(found.unionByName(region), ["strip"], SLAB).filter(F.array_contains("layers", "region"))
     parts = sets.select("strip", "area", F.explode(F.array_remove("layers", "region")).alias("class"))
