@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 
@@ -154,21 +156,139 @@ def merged_boxes(rows: DataFrame, by: list[str], least: float, across_models: bo
     return pointed(rows, by, "kept_by", ["model", "x1", "y1", "x2", "y2"], point)
 
 
-def matched_boxes(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Of candidate pairs (by, a, b, score, iou), a one-to-one choice: by falling score each a takes its best free b."""
+#: Least overlaps that are looked at one after the other, falling.
+OVERLAPS = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "a", "iou", "b"], ascending=[False, True, False, True], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            free = a not in used_a and b not in used_b
-            keep.append(free)
-            if free:
-                used_a.add(a)
-                used_b.add(b)
-        return pdf[keep]
 
-    return pairs.groupBy(*by).applyInPandas(run, pairs.schema)
+def near_kinds(boxes: np.ndarray, models: np.ndarray, least: float, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Kinds of other models whose overlap is ``least`` or more, and the overlap, each pair once.
+
+    The common width of two boxes is then at least that share of the wider one's, so by rising left sides only those are met that begin within the rest of the width.
+    """
+    order = np.argsort(boxes[:, 0], kind="stable")
+    b, m = boxes[order], models[order]
+    slack = 1e-9 * (1 + np.abs(b[:, 2]))
+    reach = np.searchsorted(b[:, 0], b[:, 2] - least * (b[:, 2] - b[:, 0]) + slack, side="right")
+    count = np.maximum(reach - np.arange(len(b)) - 1, 0)
+    part = np.cumsum(count) // chunk
+    for p in np.unique(part):
+        span = np.flatnonzero(part == p)
+        c = count[span]
+        i = np.repeat(span, c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        tall = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
+        some = (tall > 0) & (m[i] != m[j])
+        i, j, tall = i[some], j[some], tall[some]
+        both = np.maximum(np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0]), 0) * tall
+        iou = both / ((b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1]) + (b[j, 2] - b[j, 0]) * (b[j, 3] - b[j, 1]) - both)
+        some = iou >= least
+        yield order[i[some]], order[j[some]], iou[some]
+
+
+def four_places(v: np.ndarray) -> np.ndarray:
+    """As :func:`functions.score.rounded`: half up, after eight places."""
+    return np.floor((np.floor(v * 1e8 + 0.5 + 1e-7) + 5000) / 10000) / 1e4
+
+
+def greedy(ids: np.ndarray, model: np.ndarray, boxes: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Places of a, places of b and overlap (to four places): by falling overlap each box, the smallest id first, takes the smallest later id of another model that no box took.
+
+    ``ids`` rise. Equal boxes of a model are a kind. The overlaps are gone through from the greatest down, among kinds with boxes left to take and to be taken, so where boxes lie densely few pairs
+    of kinds are looked at before all are taken. At one overlap, sources come by id and take from queues of targets, so no pair of boxes is made.
+    """
+    first, number = distinct(*boxes.T, model)
+    order = np.lexsort((np.arange(len(number)), number))
+    queues = np.split(order, np.cumsum(np.bincount(number))[:-1])
+    sources, targets = [q.tolist() for q in queues], [q.tolist() for q in queues]
+    kinds, models, out, above = boxes[first], model[first], [], math.inf
+    for least_now in [*(t for t in OVERLAPS if t > least), least]:
+        live = np.array([k for k in range(len(first)) if sources[k] or targets[k]], dtype=np.int64)
+        parts = []
+        for i, j, iou in near_kinds(kinds[live], models[live], max(least, least_now - 1e-3)):
+            score = four_places(iou)
+            here = (score < above) & ((score >= least_now) | (least_now == least))
+            parts.append((live[i[here]], live[j[here]], score[here]))
+        if not parts:
+            above = least_now
+            continue
+        i, j, score = (np.concatenate(v) for v in zip(*parts, strict=True))
+        by = np.argsort(-score, kind="stable")
+        i, j, score = i[by], j[by], score[by]
+        cuts = np.flatnonzero(np.diff(score)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(score)], strict=True):
+            if start == end:
+                continue
+            beside: dict[int, list[int]] = {}
+            for u, v in zip(i[start:end].tolist(), j[start:end].tolist(), strict=True):
+                if sources[u] and targets[v] and sources[u][0] < targets[v][-1]:
+                    beside.setdefault(u, []).append(v)
+                if sources[v] and targets[u] and sources[v][0] < targets[u][-1]:
+                    beside.setdefault(v, []).append(u)
+            out += taken(sources, targets, beside, float(score[start]))
+        above = least_now
+    return out
+
+
+def taken(sources: list[list[int]], targets: list[list[int]], beside: dict[int, list[int]], score: float) -> list[tuple[int, int, float]]:
+    """The pairs of one overlap: sources of the kinds in ``beside``, by rising id, take the first later target of the kinds beside theirs. Both are taken off their queues."""
+    out = []
+    at = {v: 0 for vs in beside.values() for v in vs}
+    gone: dict[int, set[int]] = {}
+    waiting = [(sources[u][0], u, 0) for u in beside]
+    heapq.heapify(waiting)
+    while waiting:
+        a, u, k = heapq.heappop(waiting)
+        best, owner, left = -1, -1, False
+        for v in beside[u]:
+            queue, n = targets[v], at[v]
+            while n < len(queue) and queue[n] <= a:
+                n += 1
+            at[v] = n
+            if n < len(queue):
+                left = True
+                if best < 0 or queue[n] < best:
+                    best, owner = queue[n], v
+        if left:
+            out.append((a, best, score))
+            gone.setdefault(u, set()).add(a)
+            targets[owner].pop(at[owner])
+            if k + 1 < len(sources[u]):
+                heapq.heappush(waiting, (sources[u][k + 1], u, k + 1))
+    for u, ids in gone.items():
+        sources[u] = [x for x in sources[u] if x not in ids]
+    return out
+
+
+def matched_boxes(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """by, a, b, iou: of the boxes (id, model, x1, y1, x2, y2) of a group, a one-to-one choice of pairs of different models with a < b that overlap enough (:func:`greedy`).
+
+    Boxes without an id, a model or a place, and rows of an id that is there already, take no part. A task holds one group's boxes and no pairs of them.
+    """
+    sides = ["x1", "y1", "x2", "y2"]
+    kept = rows.select(*by, "id", "model", *(F.col(c).cast("double").alias(c) for c in sides)).dropna(subset=["id", "model", *sides])
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = kept.repartition(tasks, *by).sortWithinPartitions(*by, "id", "model", *sides)
+    shape = T.StructType([*(rows.schema[c] for c in by), *(T.StructField(n, rows.schema["id"].dataType) for n in "ab"), T.StructField("iou", T.DoubleType())])
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in whole_groups(batches, by):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            ids, model = table.column("id").to_numpy(), pc.dictionary_encode(table.column("model").combine_chunks()).indices.to_numpy()
+            boxes = np.stack([table.column(c).to_numpy() for c in sides], axis=1)
+            cuts = changes(table, by)
+            rows, found = [], []
+            for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+                new = start + np.concatenate([[0], np.flatnonzero(ids[start + 1 : end] != ids[start : end - 1]) + 1])
+                pairs = greedy(ids[new], model[new], boxes[new], least)
+                rows += [start] * len(pairs)
+                found += [(new[a], new[b], iou) for a, b, iou in pairs]
+            a, b = (np.array([p[k] for p in found], dtype=np.int64) for k in (0, 1))
+            at = pa.array(rows, pa.int64())
+            key = table.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(at) for c in by), key.take(pa.array(a)), key.take(pa.array(b)), pa.array([p[2] for p in found], pa.float64())], schema=arrow)
+
+    return kept.mapInArrow(run, shape)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -302,5 +302,4 @@ def d04(spark, d):
 
 @query("d05_j26_greedy_match")
 def d05(spark, d):
-    pairs = box_pairs(spark, d).select("strip", "tile", F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("iou").alias("score"), "iou")
-    return sequential.matched_boxes(pairs, ["strip", "tile"]).select("a", "b", "iou")
+    return sequential.matched_boxes(boxes(spark, d), ["strip", "tile"], 0.3).select("a", "b", "iou")

@@ -133,3 +133,34 @@ def test_a_task_of_routes_holds_places_not_targets(spark):
     assert "Aggregate" in plan[plan.index("FlatMapGroupsInPandas") :]
     want = routed_by_the_book(pdf)
     assert {r["id"]: r["step"] for r in found.collect()} == want
+
+
+def test_matching_of_boxes_equals_all_pairs_and_makes_few(spark, monkeypatch):
+    rng = np.random.default_rng(26)
+    n = 260
+    x, y = rng.integers(0, 30, (2, n))
+    boxes = pd.DataFrame({"g": rng.integers(0, 3, n), "id": rng.permutation(n), "model": rng.choice(["a", "b", "c"], n), "x1": x, "y1": y, "x2": x + rng.choice([10, 12, 20], n), "y2": y + rng.choice([10, 12, 20], n)})
+    boxes.loc[:59, ["x1", "y1", "x2", "y2"]] = [3, 4, 13, 14]  # many equal ones
+    pairs = boxes.merge(boxes, on="g").query("id_x < id_y and model_x != model_y")
+    both = (np.minimum(pairs.x2_x, pairs.x2_y) - np.maximum(pairs.x1_x, pairs.x1_y)).clip(0) * (np.minimum(pairs.y2_x, pairs.y2_y) - np.maximum(pairs.y1_x, pairs.y1_y)).clip(0)
+    pairs["exact"] = both / ((pairs.x2_x - pairs.x1_x) * (pairs.y2_x - pairs.y1_x) + (pairs.x2_y - pairs.x1_y) * (pairs.y2_y - pairs.y1_y) - both)
+    pairs["iou"] = (pairs.exact * 1e4 + 0.5).astype(int) / 1e4
+    used_a, used_b, want = set(), set(), set()
+    for a, b, iou in pairs[pairs.exact >= 0.3].sort_values(["iou", "id_x", "id_y"], ascending=[False, True, True])[["id_x", "id_y", "iou"]].itertuples(index=False):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.add((a, b, iou))
+    odd = [(0, None, "a", 3.0, 4.0, 13.0, 14.0), (0, 1000, None, 3.0, 4.0, 13.0, 14.0), (0, 1001, "b", None, 4.0, 13.0, 14.0)]
+    boxes = boxes.astype({c: float for c in ("x1", "y1", "x2", "y2")})
+    frame = spark.createDataFrame([*boxes.itertuples(index=False, name=None), *odd], "g long, id long, model string, x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(r) for r in sequential.matched_boxes(frame, ["g"], 0.3).select("a", "b", "iou").collect()]
+    assert set(got) == want and len(got) == len(want) > 150
+    assert sequential.matched_boxes(frame.filter("g > 9"), ["g"], 0.3).count() == 0
+
+    seen, near = [], sequential.near_kinds
+    monkeypatch.setattr(sequential, "near_kinds", lambda *v: (seen.append(len(p[0])) or p for p in near(*v)))
+    n = 6000
+    at = rng.integers(0, 40, (n, 2)).astype(float)
+    found = sequential.greedy(np.arange(n), rng.integers(0, 3, n), np.concatenate([at, at + 40], axis=1), 0.3)
+    assert len(found) > n / 2 and sum(seen) < n * n / 12, sum(seen)  # over an eighth of all pairs overlap enough, and are of different models
