@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from pyspark.sql import functions as F
 
+from fathomline.functions import text
 from fathomline.llm import jaccard, probing, tokens
 from fathomline.operators import joins, search, strips, triage, windows
 
@@ -142,3 +146,27 @@ def test_the_cache_of_a_packing_is_bounded_by_its_parameter(spark):
     for w, ids in zip(words, plain, strict=True):
         assert found.many([w])[0].tolist() == ids
         assert len(found.pieces) <= 2500 and len(found.units) <= 2000 // 6 + 1000
+
+
+def test_an_index_shuffles_texts_and_no_rows_of_terms(spark, monkeypatch):
+    texts = [(1, "red red blue of the"), (2, "Blue, green"), (2, "blue green green"), (3, None), (4, "a of -- x"), (None, "red"), (5, "")]
+    rows = spark.createDataFrame(texts, "k long, text string")
+    tf = {}
+    for k, x in texts:
+        for w in re.findall("[a-z0-9]+", (x or "").lower()):
+            if len(w) > 1 and w not in text.STOP_WORDS:
+                tf[k, w] = tf.get((k, w), 0) + 1
+    df = Counter(w for _, w in tf)
+    idf = {w: math.log(8 / (n + 1)) + 1 for w, n in df.items()}
+    raw = {(k, w): (1 + math.log(n)) * idf[w] for (k, w), n in tf.items()}
+    norm = {k: math.sqrt(sum(v * v for (j, _), v in raw.items() if j == k)) for k, _ in raw}
+    for least in (search.LEAST, 4):  # one part, and many
+        monkeypatch.setattr(search, "LEAST", least)
+        weights, rarity = search.index(rows, "k", "text")
+        assert {(r["k"], r["term"]): r["w"] for r in weights.collect()} == pytest.approx({p: v / norm[p[0]] for p, v in raw.items()})
+        assert {r["term"]: (r["df"], r["idf"]) for r in rarity.collect()} == {w: (df[w], pytest.approx(idf[w])) for w in df}
+        assert "Generate" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    none = search.index(rows.filter("k > 9"), "k", "text")
+    assert none[0].count() == none[1].count() == 0
+    key = search.index(rows.withColumn("k", F.concat(F.lit("k"), "k")), "k", "text")[0]
+    assert {r["k"] for r in key.collect()} == {"k1", "k2", None}
