@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +18,42 @@ from fathomline.operators import search
 
 #: In a search that compares all with all: items looked at together, and queries; queries of a group and items of a part, at most; parts that are made where there are items enough.
 ROWS, ASKED, GROUP, PART, TASKS = 1024, 2048, 8192, 65536, 64
+#: Terms whose places a task keeps at most.
+KNOWN = 200_000
 #: Scores that differ by less may be equal when rounded to 6 places.
 ROUNDED = 1.5e-6
 
 
-def signs(term: Column, dim: int, spread: int, seed: int = 0) -> Column:
-    """array<struct<dim, sign>>: the ``spread`` places and signs of a term's vector, from a digest of the term, so that no matrix is stored and new terms need none."""
-
-    def one(r: Column) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}:"), r.cast("string"), F.lit(":"), term))
-        place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % dim
-        return F.struct(place.alias("dim"), F.when(F.conv(F.substring(digest, 13, 4), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), one)
-
-
 def projected(weights: DataFrame, key: str, dim: int, spread: int = 16, seed: int = 0) -> DataFrame:
     """key, dim, v: the weights (key, term, w) as vectors of ``dim`` places, of length 1, zeros left out.
 
     Inner products are kept in the mean (Johnson and Lindenstrauss); the error falls with the square root of ``dim``.
     """
-    places = weights.select(key, "w", F.inline(signs(F.col("term"), dim, spread, seed)))
-    sums = places.groupBy(key, "dim").agg(F.sum((F.col("w") * F.col("sign")).cast("decimal(18,12)")).cast("double").alias("v")).filter("v != 0")
+    def places(term: str) -> tuple[int, ...]:
+        """Twice each of a term's places, and one more where its sign is negative: from digests of the term, so no matrix is stored and new terms need none."""
+        digests = (hashlib.md5(f"{seed}:{r}:{term}".encode()).hexdigest() for r in range(spread))
+        return tuple(int(h[:12], 16) % dim * 2 + int(h[12:16], 16) % 2 for h in digests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            if len(known) > KNOWN:
+                known.clear()
+            terms, keys = batch.column("term").dictionary_encode(), batch.column(key).dictionary_encode(null_encoding="encode")
+            at = np.array([known.get(t) or known.setdefault(t, places(t)) for t in terms.dictionary.to_pylist()], dtype=np.int64).reshape(-1, spread)[terms.indices.to_numpy()]
+            w = batch.column("w").to_numpy()
+            units = (np.sign(w) * np.floor(np.abs(w) * 1e12 + 0.5)).astype(np.int64)[:, None]
+            cell = keys.indices.to_numpy().astype(np.int64)[:, None] * dim + (at >> 1)
+            cells, number = np.unique(cell, return_inverse=True)
+            sums = np.zeros(len(cells), dtype=np.int64)
+            np.add.at(sums, number.ravel(), np.where(at & 1, -units, units).ravel())
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(cells // dim)), pa.array(cells % dim), pa.array(sums)], schema=arrow)
+
+    shape = T.StructType([T.StructField(key, weights.schema[key].dataType), T.StructField("dim", T.LongType()), T.StructField("units", T.LongType())])
+    arrow = to_arrow_schema(shape)
+    # a batch's weights are added up before they are shuffled, in whole units of the twelfth place, so that their order does not matter
+    parts = weights.select(key, "term", "w").dropna(subset=["term", "w"]).mapInArrow(run, shape).repartition(key)
+    sums = parts.groupBy(key, "dim").agg((F.sum("units") / 1e12).alias("v")).filter("v != 0")
     return sums.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key))))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text
 from fathomline.llm import jaccard, probing, tokens
-from fathomline.operators import joins, search, strips, triage, windows
+from fathomline.operators import joins, projection, search, strips, triage, windows
+from fathomline.plans import registry
 
 
 def test_track_just_at_the_header_tolerance_stays(spark):
@@ -170,3 +173,23 @@ def test_an_index_shuffles_texts_and_no_rows_of_terms(spark, monkeypatch):
     assert none[0].count() == none[1].count() == 0
     key = search.index(rows.withColumn("k", F.concat(F.lit("k"), "k")), "k", "text")[0]
     assert {r["k"] for r in key.collect()} == {"k1", "k2", None}
+
+
+def test_a_projection_adds_up_before_its_shuffle(spark):
+    weights = spark.createDataFrame([(1, f"t{k}", (-1.0) ** k * 0.01 * k) for k in range(300)] + [(2, "t1", None), (None, "t2", 0.5)], "k long, term string, w double")
+    want = {}
+    for k, t, w in [tuple(r) for r in weights.collect() if r["w"] is not None]:
+        for r in range(3):
+            h = hashlib.md5(f"7:{r}:{t}".encode()).hexdigest()
+            at = (k, int(h[:12], 16) % 8)
+            want[at] = want.get(at, Decimal(0)) + round(Decimal(repr(w)), 12) * (-1) ** int(h[12:16], 16)
+    norm = {k: math.sqrt(sum(float(v) ** 2 for (j, _), v in want.items() if j == k)) for k, _ in want}
+    found = projection.projected(weights, "k", 8, 3, seed=7)
+    assert {(r["k"], r["dim"]): r["v"] for r in found.collect()} == pytest.approx({p: float(v) / norm[p[0]] for p, v in want.items() if v})
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_counts_of_a_stored_index_cut_no_text_again(spark):
+    found = registry.QUERIES["k11_stored_index"](spark, "/root/testdata/sf0.001")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["of"]: r["n"] for r in found.collect()}["passages"] == registry.QUERIES["f35_passages"](spark, "/root/testdata/sf0.001").count()
