@@ -101,15 +101,15 @@ class WordHashes(dict):
 
 
 #: The caches of a Python worker, which later tasks reuse.
-CACHES: list[dict] = []
+CACHES: list = []
 
 
-def kept(cache: dict) -> dict:
+def kept[C](cache: C) -> C:
     CACHES.append(cache)
     return cache
 
 
-def only(*used: dict) -> None:
+def only(*used: object) -> None:
     """Empties the other operators' caches, so that a worker that several stages use holds one stage's only."""
     for cache in CACHES:
         if cache and not any(cache is u for u in used):

@@ -35,14 +35,15 @@ def tokenized(docs: DataFrame, path: str, end: int, pieces: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            ids = [np.append(x, np.uint32(end)) for x in encoder(path, pieces).many(batch.column("text").to_pylist())]
+            ids, lengths = encoder(path, pieces).ended(batch.column("text"), end)
+            ids = np.split(ids, np.cumsum(lengths)[:-1])
             doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             members: dict[str | None, list[int]] = {}
             for i, source in enumerate(batch.column("source").cast(pa.string()).to_pylist()):
                 members.setdefault(source, []).append(i)
             joined = [np.concatenate([ids[i] for i in own]) for own in members.values()]
             narrow = [x.astype(np.uint16).tobytes() if x.max() < 65536 else b"\xff" + x.tobytes() for x in joined]
-            lists = [[[of[i] for i in own] for own in members.values()] for of in (doc_ids, [len(x) for x in ids])]
+            lists = [[[of[i] for i in own] for own in members.values()] for of in (doc_ids, lengths.tolist())]
             columns = [pa.array(list(members), pa.string()), pa.array([len(x) for x in joined], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists), pa.array(narrow, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["source", "n", "doc_ids", "lengths", "ids"])
 
@@ -175,7 +176,7 @@ def packed(docs: DataFrame, length: int = 1024, windows_of: int = 64, proportion
     A window is ``windows_of`` sequences of ``length`` tokens; sources of which a window would hold less than a quarter of a sequence send that much at a time. They share a window by ``proportions``, by default by their tokens, so that all queues end
     together; sources not named wait until the others are used up. Only the last sequence can be shorter. A null text is packed as an empty one (its end id
     alone), a null source is a source of its own, a null doc_id stays null, and repeated rows are documents of their own. Other columns are
-    ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused. A worker caches the ids of ``pieces`` pieces of text (about 200 bytes each).
+    ignored; an empty table has no pieces. The driver reads one row a source; more than ``most_sources`` are refused. A worker caches the ids of ``pieces`` pieces of text (about 40 bytes each).
     """
     tokens = tokenized(docs, path or tokenizer_path(), end, pieces)
     totals = tokens.groupBy("source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()

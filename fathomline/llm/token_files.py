@@ -35,9 +35,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, vocabulary: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         for batch in blocks(batches, most=6 << 20):
-            ids = [np.append(x, np.uint32(end)) for x in encoder(vocabulary).many(batch.column("text").to_pylist())]
-            lens = np.array([len(x) for x in ids])
-            stream = np.concatenate(ids)
+            stream, lens = encoder(vocabulary).ended(batch.column("text"), end)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(stream)], pa.int64()), pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([encode(stream)], pa.binary())],
                 names=["shard", "block", "start", "n_ids", "doc_ids", "lengths", "code"],

@@ -1,18 +1,20 @@
 """Token ids of a public byte-level BPE vocabulary, by the tokenizers library.
 
-That vocabulary's pre-tokeniser starts a new piece at every blank before a word, so a text may be cut there and the pieces encoded one by one:
-ids of pieces seen before come from a bounded cache. Texts with runs of blanks, where that does not hold, are encoded whole.
+That vocabulary's pre-tokeniser starts a new piece at every blank before a word, so texts may be cut there: the distinct pieces of a block are looked
+up in a bounded cache, the library encodes those not found, and a text's ids are gathered from its pieces' ids. Texts where that does not hold, with runs
+of blanks or with a token that has a blank inside, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import struct
 from collections.abc import Callable
-from itertools import islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from fathomline.llm.common import kept, only
 
@@ -30,25 +32,64 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}}
 
 
-class Cache(dict):
-    """What ``make`` gives for each key; after :meth:`trim` at most ``most`` entries. Frequent keys come early, so a full cache gives up its newer half."""
+#: The same as an array of code units; no UTF-8 text holds the byte 255, which stands for the mark between two units.
+SHOWN_AS = np.array([ord(BYTE_CHARS[b]) for b in range(255)] + [ord("\n")], "<u2")
+#: Units that the model is given at once, and stretches of ids that are gathered at once.
+AT_ONCE = 20_000
+#: Ids end to end, and how many each text has.
+Ragged = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
-        super().__init__()
-        self.make, self.most = make, most
 
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.make(key)
-        return value
+def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(lengths)
+    out, shift = np.empty(ends[-1] if len(ends) else 0, ids.dtype), starts - (ends - lengths)
+    for at in range(0, len(ends), AT_ONCE):
+        part, a, z = slice(at, at + AT_ONCE), ends[at] - lengths[at], ends[min(at + AT_ONCE, len(ends)) - 1]
+        out[a:z] = ids.take(np.arange(a, z) + np.repeat(shift[part], lengths[part]))
+    return out
+
+
+class Cache:
+    """The ids of strings; after :meth:`trim` of at most ``most``. Frequent strings come early, so a full cache gives up its newer half."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def clear(self) -> None:
+        self.keys, self.ids, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def trim(self) -> None:
         if len(self) > self.most:
-            for key in list(islice(self, self.most // 2, None)):
-                del self[key]
+            n = self.most // 2
+            self.keys, self.starts = pa.concat_arrays([self.keys[:n], self.keys[:0]]), self.starts[: n + 1].copy()
+            self.ids = self.ids[: self.starts[-1]].copy()
+
+    def places(self, strings: pa.Array, make: Callable[[pa.Array], Ragged]) -> np.ndarray:
+        """Where each of the distinct ``strings`` is, after those that were missing have come in with the ids that ``make`` gives them."""
+        found = pc.index_in(strings, value_set=self.keys)
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        if missing.any():
+            new = strings.filter(pa.array(missing))
+            ids, lengths = make(new)
+            at[missing] = len(self) + np.arange(len(new))
+            self.keys, self.ids = pa.concat_arrays([self.keys, new]), np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        return at
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids at each place."""
+        starts = self.starts.take(places)
+        return starts, self.starts.take(places + 1) - starts
 
 
 class Encoder:
-    """text -> ids as 32-bit numbers. The caches hold ``most`` pieces and a sixth as many units (about 200 bytes an entry)."""
+    """text -> ids as 32-bit numbers. The caches hold ``most`` pieces and a sixth as many units (about 40 bytes an entry)."""
 
     def __init__(self, path: str, most: int = 900_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,54 +97,113 @@ class Encoder:
         import regex
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         plan = json.loads(self.tokenizer.to_str())
-        #: Only this pre-tokeniser, without a normaliser, may be done piece by piece.
+        vocabulary = plan["model"].get("vocab")
+        #: Only this pre-tokeniser, without a normaliser, may be done piece by piece; the model must know every byte and be plain.
         self.in_pieces = plan["normalizer"] is None and plan["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.special = tuple(t["content"] for t in plan["added_tokens"])
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in plan["model"]["merges"]] if self.in_pieces else []
-        # the model without its own cache, as ours is asked first
-        self.bpe = None
+        self.in_pieces = self.in_pieces and plan["model"]["type"] == "BPE" and set(BYTE_CHARS.values()) <= set(vocabulary)
+        self.in_pieces = self.in_pieces and not any(plan["model"].get(x) for x in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        #: What a text must not hold if it is to be cut at blanks.
+        self.apart = {"  ", *(t["content"] for t in plan["added_tokens"])}
         if self.in_pieces:
-            self.tokenizer.model = BPE(vocab=plan["model"]["vocab"], merges=merges, cache_capacity=0)
-            self.bpe = self.tokenizer.model.tokenize
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in plan["model"]["merges"]]
+            # units come with marks between them, each once: the library need not look for them nor keep them
+            self.model = Tokenizer(BPE(vocab=vocabulary, merges=merges, cache_capacity=0))
+            self.model.pre_tokenizer = CharDelimiterSplit("\n")
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+            byte, blank = {c: b for b, c in BYTE_CHARS.items()}, BYTE_CHARS[32]
+            inside = [t for t in vocabulary if blank in t[1:] and set(t) <= byte.keys()]
+            self.apart |= {bytes(map(byte.__getitem__, t)).decode("utf-8", "ignore") for t in inside}
+        self.apart = {x for x in self.apart if not any(y in x and y != x for y in self.apart)}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.pieces, self.units = kept(Cache(self.piece, most)), kept(Cache(self.unit, most // 6))
+        self.pieces, self.units = kept(Cache(most)), kept(Cache(most // 6))
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    def modelled(self, unit: str) -> bytes:
-        shown = unit.replace(" ", BYTE_CHARS[32]) if unit.isascii() and unit.isprintable() else unit.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = [t.id for t in self.bpe(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def unit(self, unit: str) -> bytes:
-        """Ids of one of the pre-tokeniser's units."""
-        found = self.pieces.get(unit[1:]) if unit[0] == " " and unit[1:].isalpha() else None
-        return self.modelled(unit) if found is None else found
-
-    def piece(self, word: str) -> bytes:
-        """Ids of a blank and what follows up to the next blank; letters alone are one unit."""
-        return self.modelled(" " + word) if word.isalpha() else b"".join(map(self.units.__getitem__, self.split(" " + word)))
+    def modelled(self, units: pa.Array) -> Ragged:
+        """Ids of units of the pre-tokeniser. Tokens have as many bytes as their units, so a unit's last token ends where the unit does."""
+        shown = []
+        for at in range(0, len(units), AT_ONCE):
+            part = units[at : at + AT_ONCE].cast(pa.binary())
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), pa.scalar(b"\xff", pa.binary()))[0].as_py()
+            shown.append(SHOWN_AS.take(np.frombuffer(joined, np.uint8)).tobytes().decode("utf-16-le"))
+        ids = [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(shown, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.searchsorted(np.cumsum(self.sizes.take(ids)), np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64))) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def spelled(self, strings: pa.Array, before: str = "") -> Ragged:
+        """Ids of strings of several units each, with ``before`` in front."""
+        lists = [self.split(before + x) for x in strings.to_numpy(zero_copy_only=False)]
+        units = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+        places = self.units.places(units.dictionary, self.modelled)
+        starts, lengths = self.units.at(places.take(units.indices.to_numpy()))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+        return gathered(self.units.ids, starts, lengths), np.diff(upto.take(ends), prepend=0)
+
+    def worded(self, words: pa.Array) -> Ragged:
+        """Ids of pieces, given without their blank; letters alone are one unit."""
+        alone = pc.utf8_is_alpha(words)
+        letters = words.filter(alone)
+        (one, n), (more, m) = self.modelled(pc.binary_join_element_wise(" ", letters, "")), self.spelled(words.filter(pc.invert(alone)), " ")
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        alone = alone.to_numpy(zero_copy_only=False)
+        for own, k, first in ((alone, n, 0), (~alone, m, len(one))):
+            starts[own], lengths[own] = first + np.cumsum(k) - k, k
+        return gathered(np.concatenate([one, more]), starts, lengths), lengths
+
+    def flat(self, texts: pa.Array) -> Ragged:
+        """Ids of all texts, end to end, and their number in each; none for null."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = np.ones(len(texts), bool)
+        if self.in_pieces:
+            whole = pc.ends_with(texts, " ").to_numpy(zero_copy_only=False)
+            for x in self.apart:
+                whole = whole | pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not whole.any():
+            return self.cut(texts)
+        found = self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        found = [np.array(x.ids, np.uint32) for x in found]
+        ids, lengths = self.cut(pc.if_else(pa.array(whole), "", texts)) if self.in_pieces else (np.zeros(0, np.uint32), np.zeros(len(texts), np.int64))
+        starts = np.cumsum(lengths) - lengths
+        lengths[whole] = n = np.array([len(x) for x in found])
+        starts[whole] = len(ids) + np.cumsum(n) - n
+        return gathered(np.concatenate([ids, *found]), starts, lengths), lengths
+
+    def cut(self, texts: pa.Array) -> Ragged:
+        """The same for texts that may be cut at blanks."""
+        self.pieces.trim()
+        self.units.trim()
+        words = pc.split_pattern(texts, " ")
+        first = words.offsets.to_numpy()[:-1].astype(np.int64)  # an empty text has one empty word
+        words = words.flatten()
+        opening, opened = self.spelled(words.take(pa.array(first)))
+        later = np.ones(len(words), bool)
+        later[first] = False
+        words = words.filter(pa.array(later)).dictionary_encode()
+        places = self.pieces.places(words.dictionary, self.worded)
+        starts, lengths = np.zeros(len(later), np.int64), np.zeros(len(later), np.int64)
+        starts[later], lengths[later] = self.pieces.at(places.take(words.indices.to_numpy()))
+        starts[first], lengths[first] = len(self.pieces.ids) + np.cumsum(opened) - opened, opened
+        return gathered(np.concatenate([self.pieces.ids, opening]), starts, lengths), np.add.reduceat(lengths, first)
+
+    def ended(self, texts: pa.Array, end: int) -> Ragged:
+        """The same with the id ``end`` after each text."""
+        ids, lengths = self.flat(texts)
+        return np.insert(ids, np.cumsum(lengths), np.uint32(end)), lengths + 1
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, none for null."""
-        self.pieces.trim()
-        self.units.trim()
-        piece, unit = self.pieces.__getitem__, self.units.__getitem__
-        out = []
-        for text in texts:
-            if not text:
-                ids = b""
-            elif not self.in_pieces or "  " in text or text[-1] == " " or any(s in text for s in self.special):  # runs of blanks; special tokens
-                ids = self.encode(text)
-            else:
-                first, *words = text.split(" ")
-                ids = b"".join([*map(unit, self.split(first)), *map(piece, words)])
-            out.append(np.frombuffer(ids, dtype=np.uint32))
-        return out
+        ids, lengths = self.flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
 
 ENCODERS: dict[str, Encoder] = {}

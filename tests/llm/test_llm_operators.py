@@ -395,6 +395,24 @@ def test_ids_in_pieces_equal_ids_of_the_whole():
         assert e.many([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_with_a_blank_inside_are_not_cut():
+    e = tokens.encoder(tokens.tokenizer_path())
+    texts = ["a \xa0 \xa0 b", "x \xa0 \xa0 \xa0 \xa0 y", "a \xa0 \xa0b", "plain text", None, "\xa0 \xa0 ", "a\n \xa0\n \nb \xa0"]
+    for got, text in zip(e.many(texts), texts, strict=True):
+        assert got.tolist() == (e.tokenizer.encode(text, add_special_tokens=False).ids if text else [])
+
+
+def test_the_library_is_called_for_blocks_and_not_for_pieces(monkeypatch):
+    e = tokens.Encoder(tokens.tokenizer_path())
+    calls, modelled = [], e.modelled
+    monkeypatch.setattr(e, "modelled", lambda units: (calls.append(len(units)), modelled(units))[1])
+    texts = [" ".join(f"word{chr(97 + i % 26)} n{i * j}, {chr(97 + j % 26)}{chr(97 + i % 26)}q." for j in range(40)) for i in range(200)]
+    got = e.many(texts)
+    assert len(calls) <= 3
+    assert [x.tolist() for x in got] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in e.many(texts)] == [x.tolist() for x in got] and len(calls) <= 3  # all pieces are known now
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, range_coder.MOST_IDS])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 3000, 20_000])
 def test_blocks_of_ids_round_trip(top, n):
