@@ -34,13 +34,17 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2, vocabulary: str | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start = TaskContext.get().partitionId(), 0, 0
-        for batch in blocks(batches, most=6 << 20):
-            stream, lens = encoder(vocabulary).ended(batch.column("text"), end)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(stream)], pa.int64()), pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([encode(stream)], pa.binary())],
-                names=["shard", "block", "start", "n_ids", "doc_ids", "lengths", "code"],
-            )
-            block, start = block + 1, start + len(stream)
+        for batch in blocks(batches, most=24 << 20):  # the more texts at once, the fewer distinct pieces
+            ids, lengths = encoder(vocabulary).ended(batch.column("text"), end)
+            row = at = 0
+            for part in blocks(iter([batch]), most=6 << 20):
+                lens = lengths[row : row + part.num_rows]
+                stream = ids[at : at + lens.sum()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(stream)], pa.int64()), pa.array([part.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([encode(stream)], pa.binary())],
+                    names=["shard", "block", "start", "n_ids", "doc_ids", "lengths", "code"],
+                )
+                row, at, block, start = row + part.num_rows, at + len(stream), block + 1, start + len(stream)
 
     rows = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)

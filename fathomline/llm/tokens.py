@@ -34,6 +34,10 @@ BYTE_CHARS = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + i) for i, b in enume
 
 #: The same as an array of code units; no UTF-8 text holds the byte 255, which stands for the mark between two units.
 SHOWN_AS = np.array([ord(BYTE_CHARS[b]) for b in range(255)] + [ord("\n")], "<u2")
+#: Strings of letters and printable ASCII without apostrophes, which may begin a unit of their own, with single line ends after them; and what a byte
+#: of theirs is: a sign, a digit, a letter or a line end.
+PLAIN = "^([!-&(-~\\pL]+\n?)+$"
+KIND = np.array([3 if b == 10 else 2 if b > 127 or chr(b).isalpha() else 1 if chr(b).isdigit() else 0 for b in range(256)], np.int8)
 #: Units that the model is given at once, and stretches of ids that are gathered at once.
 AT_ONCE = 20_000
 #: Ids end to end, and how many each text has.
@@ -50,6 +54,39 @@ def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return out
 
 
+def ordered(ids: np.ndarray, lengths: np.ndarray, first: pa.Array) -> Ragged:
+    """Ids of strings in their own order, where those marked in ``first`` were done before the others."""
+    first = first.to_numpy(zero_copy_only=False)
+    own = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])
+    starts, sizes = np.empty_like(lengths), np.empty_like(lengths)
+    starts[own], sizes[own] = np.cumsum(lengths) - lengths, lengths
+    return gathered(ids, starts, sizes), sizes
+
+
+def runs(strings: pa.Array, before: str) -> tuple[pa.Array, np.ndarray]:
+    """The units of strings that are PLAIN: runs of letters, digits or signs, and line ends. A blank in front belongs to the first."""
+    if not len(strings):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    strings = pc.binary_join_element_wise(before, strings, "")
+    ends = np.cumsum(pc.binary_length(strings).to_numpy().astype(np.int64))
+    text = "".join(strings.to_numpy(zero_copy_only=False)).encode()
+    kind, first = KIND.take(np.frombuffer(text, np.uint8)), np.concatenate([[0], ends[:-1]])
+    if before:
+        kind[first] = kind[first + 1]
+    new = np.diff(kind, prepend=np.int8(0)) != 0
+    new[first] = True
+    starts = np.append(np.flatnonzero(new), len(text))
+    units = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(text)])
+    return units, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def held(texts: pa.Array, strings: set[str]) -> list[str]:
+    """Those of ``strings`` that texts may hold: a search of all their bytes is much faster than one of each text."""
+    *_, text = texts.buffers()
+    text = text.to_pybytes() if text else b""
+    return [x for x in strings if x.encode() in text]
+
+
 class Cache:
     """The ids of strings; after :meth:`trim` of at most ``most``. Frequent strings come early, so a full cache gives up its newer half."""
 
@@ -137,26 +174,29 @@ class Encoder:
         ends = np.searchsorted(np.cumsum(self.sizes.take(ids)), np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64))) + 1
         return ids, np.diff(ends, prepend=0)
 
-    def spelled(self, strings: pa.Array, before: str = "") -> Ragged:
-        """Ids of strings of several units each, with ``before`` in front."""
+    def units_of(self, strings: pa.Array, before: str) -> tuple[pa.Array, np.ndarray]:
+        """The units of strings with ``before`` in front, end to end, and the number of each string's."""
         lists = [self.split(before + x) for x in strings.to_numpy(zero_copy_only=False)]
-        units = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+        return pa.array(list(chain.from_iterable(lists)), pa.string()), np.array([len(x) for x in lists], np.int64)
+
+    def spelled(self, strings: pa.Array, before: str = "") -> Ragged:
+        """Ids of strings of several units each, with ``before``, a blank or nothing, in front."""
+        plain = pc.match_substring_regex(strings, PLAIN)
+        one, n = runs(strings.filter(plain), before)
+        more, m = self.units_of(strings.filter(pc.invert(plain)), before)
+        units = pa.concat_arrays([one, more]).dictionary_encode()
         places = self.units.places(units.dictionary, self.modelled)
         starts, lengths = self.units.at(places.take(units.indices.to_numpy()))
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
-        return gathered(self.units.ids, starts, lengths), np.diff(upto.take(ends), prepend=0)
+        sizes = np.diff(upto.take(np.cumsum(np.concatenate([n, m]))), prepend=0)
+        return ordered(gathered(self.units.ids, starts, lengths), sizes, plain)
 
     def worded(self, words: pa.Array) -> Ragged:
         """Ids of pieces, given without their blank; letters alone are one unit."""
         alone = pc.utf8_is_alpha(words)
-        letters = words.filter(alone)
-        (one, n), (more, m) = self.modelled(pc.binary_join_element_wise(" ", letters, "")), self.spelled(words.filter(pc.invert(alone)), " ")
-        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        alone = alone.to_numpy(zero_copy_only=False)
-        for own, k, first in ((alone, n, 0), (~alone, m, len(one))):
-            starts[own], lengths[own] = first + np.cumsum(k) - k, k
-        return gathered(np.concatenate([one, more]), starts, lengths), lengths
+        one, n = self.modelled(pc.binary_join_element_wise(" ", words.filter(alone), ""))
+        more, m = self.spelled(words.filter(pc.invert(alone)), " ")
+        return ordered(np.concatenate([one, more]), np.concatenate([n, m]), alone)
 
     def flat(self, texts: pa.Array) -> Ragged:
         """Ids of all texts, end to end, and their number in each; none for null."""
@@ -164,7 +204,7 @@ class Encoder:
         whole = np.ones(len(texts), bool)
         if self.in_pieces:
             whole = pc.ends_with(texts, " ").to_numpy(zero_copy_only=False)
-            for x in self.apart:
+            for x in held(texts, self.apart):
                 whole = whole | pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)

@@ -9,6 +9,8 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -413,6 +415,16 @@ def test_the_library_is_called_for_blocks_and_not_for_pieces(monkeypatch):
     assert [x.tolist() for x in e.many(texts)] == [x.tolist() for x in got] and len(calls) <= 3  # all pieces are known now
 
 
+def test_plain_strings_have_the_units_of_the_pattern():
+    e = tokens.encoder(tokens.tokenizer_path())
+    strings = pa.array(["ab", "a1,b", "x.\nÉy,\n", "漢字12%%%", "(q)"])
+    for before in ("", " "):
+        (units, n), (want, m) = tokens.runs(strings, before), e.units_of(strings, before)
+        assert (units.to_pylist(), n.tolist()) == (want.to_pylist(), m.tolist())
+    odd = pa.array(["don't", "a\n\nb", "\na", "", "é\xa0", "٣a"])
+    assert not any(pc.match_substring_regex(odd, tokens.PLAIN).to_pylist())
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, range_coder.MOST_IDS])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 3000, 20_000])
 def test_blocks_of_ids_round_trip(top, n):
