@@ -9,9 +9,9 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
