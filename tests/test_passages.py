@@ -67,3 +67,17 @@ def test_searches_share_one_index(spark, monkeypatch):
     first = plans.index(spark, "/root/testdata/sf0.001")
     monkeypatch.setattr(plans, "cut", lambda *_: pytest.fail("built again"))
     assert plans.index(spark, "/root/testdata/sf0.001").passages.count() == first.passages.count()
+
+
+def test_every_item_is_sought_in_every_document(spark):
+    """Items of a word or two, of stop words or of signs only have no term between their first and last word."""
+    from fathomline.plans import passages as plans
+
+    texts = ["Red fish swims in the sea.", "a bird of the air", "redfish, blue fish", "...", None, ""]
+    asked = ["fish", "of the", "blue fish", "fish swims in", "Red fish swims", "...", "", "no such words here", None, "Kelvin red", "in the sea."]
+    docs = spark.createDataFrame(list(enumerate([*texts, "xKelvin red"])), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    idf = spark.createDataFrame([("swims", 1, 1.0), ("fish", 2, 1.0)], "term string, df long, idf double")
+    want = {(i, k) for i, item in enumerate(asked) for k, x in enumerate([*texts, "xKelvin red"]) if item is not None and x is not None and item in x}
+    got = [tuple(r) for r in plans.holders(docs, items, idf).collect()]
+    assert set(got) == want and len(got) == len(want) > 14
