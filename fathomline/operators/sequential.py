@@ -321,17 +321,157 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] and np.isfinite(cost[owner[j] - 1, j - 1]))
 
 
-def assigned(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Of gated candidate pairs (by, a, b, cost) the one-to-one choice of most pairs and then least cost."""
+def transport(supply: np.ndarray, demand: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """How much each edge (a, b) carries where as much as possible is carried from the ``supply`` of sources to the ``demand`` of sinks, and then at least total cost.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(pdf["a"].unique()), sorted(pdf["b"].unique())
-        cost = np.full((len(a), len(b)), np.inf)
-        cost[pd.Index(a).get_indexer(pdf["a"]), pd.Index(b).get_indexer(pdf["b"])] = pdf["cost"]
-        chosen = {(a[i], b[j]) for i, j in assignment(cost)}
-        return pdf[[k in chosen for k in zip(pdf["a"], pdf["b"], strict=True)]]
+    Each round finds the shortest ways from all sources with supply left to the nearest sinks with demand left, by potentials, and carries what ways of that length let through. Costs are not negative.
+    """
+    carried = np.zeros(len(a), dtype=np.int64)
+    if not len(a):
+        return carried
+    left, free = supply.astype(np.int64), demand.astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    into, starts = np.unique(b[order], return_index=True)
+    sources = a[order]
+    before, after = np.zeros(len(left)), np.zeros(len(free))
+    fine = 1e-10 * max(1.0, float(cost.max()))
+    while True:
+        reduced = cost + before[a] - after[b]
+        reduced[reduced < fine] = 0.0
+        rest, waiting = reduced[order], free > 0
+        used = np.flatnonzero(carried)
+        back, ahead = a[used], b[used]
+        near, far = np.where(left > 0, 0.0, np.inf), np.full(len(free), np.inf)
+        while True:
+            far[into] = np.minimum.reduceat(near[sources] + rest, starts)
+            reach = far[waiting].min(initial=np.inf)
+            nearer = near.copy()
+            np.minimum.at(nearer, back, far[ahead])
+            new = nearer[nearer < near]
+            near = nearer
+            # what lies no nearer than the nearest demand changes nothing
+            if not (new < reach).any():
+                break
+        if not np.isfinite(reach):
+            return carried
+        before += np.minimum(near, reach)
+        after += np.minimum(far, reach)
+        tight = np.flatnonzero((cost + before[a] - after[b] < 2 * fine) & (near[a] <= reach) & (far[b] <= reach))
+        onward: dict[int, list[tuple[int, int]]] = {}
+        for e, i, j in zip(tight.tolist(), a[tight].tolist(), b[tight].tolist(), strict=True):
+            onward.setdefault(i, []).append((e, j))
+        held: dict[int, list[tuple[int, int]]] = {}
+        for e, i, j in zip(used.tolist(), back.tolist(), ahead.tolist(), strict=True):
+            held.setdefault(j, []).append((e, i))
+        let_through(left, free, carried, onward, held)
+
+
+def let_through(left: np.ndarray, free: np.ndarray, carried: np.ndarray, onward: dict[int, list[tuple[int, int]]], held: dict[int, list[tuple[int, int]]]) -> None:
+    """Carries more from each source with supply left along edges of ``onward`` (source -> edge, sink), and back along carrying edges of ``held`` (sink -> edge, source), until no way is left."""
+    dead: set[int] = set()
+    for start in [i for i in onward if left[i] > 0]:
+        while left[start] > 0:
+            came: dict[int, tuple[int, int]] = {}
+            behind: dict[int, tuple[int, int]] = {start: (-1, -1)}
+            stack, end = [start], -1
+            while stack and end < 0:
+                i = stack.pop()
+                for e, j in onward.get(i, ()):
+                    if j in came or j in dead:
+                        continue
+                    came[j] = (e, i)
+                    if free[j] > 0:
+                        end = j
+                        break
+                    for k, n in held.get(j, ()):
+                        if n not in behind and carried[k] > 0:
+                            behind[n] = (k, j)
+                            stack.append(n)
+            if end < 0:
+                # what a search in vain has met leads nowhere in this round
+                dead.update(came)
+                break
+            way, j = [], end
+            while j >= 0:
+                e, i = came[j]
+                k, j = behind[i]
+                way.append((e, k))
+            n = min(left[start], free[end], *(carried[k] for _, k in way if k >= 0))
+            for e, k in way:
+                carried[e] += n
+                if k >= 0:
+                    carried[k] -= n
+            left[start] -= n
+            free[end] -= n
+
+
+def within_reach(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, d: places a of (x, y), which are sorted by x, and b of (px, py) that lie within ``reach``. Looked at are those in its band of x."""
+    low, high = np.searchsorted(x, px - reach, "left"), np.searchsorted(x, px + reach, "right")
+    ends = np.cumsum(high - low)
+    out, start = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    while start < len(px):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000, "right")))
+        n = (high - low)[start:stop]
+        b = np.repeat(np.arange(start, stop), n)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[start:stop], n)
+        d = np.sqrt((x[a] - px[b]) * (x[a] - px[b]) + (y[a] - py[b]) * (y[a] - py[b]))
+        keep = d <= reach
+        out.append((a[keep], b[keep], d[keep]))
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def reassigned(prior: DataFrame, later: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """by, a, b, cost: of the pairs of a prior and a later row (id, x, y) of a group within ``reach``, the one-to-one choice of most pairs, and then of least total distance (to 4 digits).
+
+    Rows of a group at one place can stand in for each other, so places are assigned with their numbers of rows, and rows meet only where they are chosen: no pair is a row. Of equally good choices one is
+    taken that depends on the rows alone. A task holds one group's rows and the pairs of its places. Rows with a null take no part, and of rows that repeat an id one does.
+    """
+    columns = [*by, "side", "x", "y", "id"]
+    sides = [df.select(*by, F.lit(k).alias("side"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "id") for k, df in enumerate((prior, later))]
+    rows = sides[0].unionByName(sides[1]).dropna()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *by).sortWithinPartitions(*columns)
+    shape = T.StructType([*(rows.schema[c] for c in by), *(T.StructField(n, rows.schema["id"].dataType) for n in "ab"), T.StructField("cost", T.DoubleType())])
+    arrow = to_arrow_schema(shape)
+
+    def chosen(x: np.ndarray, y: np.ndarray, ids: np.ndarray, at: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of rows, in pairs, and their costs."""
+        kinds = []
+        for side in sides:
+            k = side[np.sort(np.unique(ids[side], return_index=True)[1])]
+            new = np.flatnonzero(np.concatenate([[True], (x[k][1:] != x[k][:-1]) | (y[k][1:] != y[k][:-1])])) if len(k) else np.zeros(0, np.int64)
+            kinds.append((k, new, np.diff([*new, len(k)])))
+        (p, p_new, supply), (q, q_new, demand) = kinds
+        a, b, d = within_reach(x[p[p_new]], y[p[p_new]], x[q[q_new]], y[q[q_new]], reach)
+        cost = np.floor(np.floor(d * 1e8 + 0.5) / 1e4 + 0.5) / 1e4
+        n = transport(supply, demand, a, b, cost)
+        out = []
+        for kind, new, rows_of in ((a, p_new, p), (b, q_new, q)):
+            order = np.argsort(kind, kind="stable")
+            taken, held = n[order], kind[order]
+            first = np.cumsum(taken) - taken
+            base = first[np.searchsorted(held, held, "left")] if len(held) else first
+            start = np.empty_like(n)
+            start[order] = new[held] + first - base
+            out.append(rows_of[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)])
+        return at[out[0]], at[out[1]], np.repeat(cost, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in whole_groups(batches, by):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            x, y, side = (table.column(c).to_numpy() for c in ("x", "y", "side"))
+            ids = pc.dictionary_encode(table.column("id").combine_chunks()).indices.to_numpy()
+            cuts = changes(table, by)
+            for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+                here = side[start:end]
+                a, b, cost = chosen(x[start:end], y[start:end], ids[start:end], np.arange(start, end), (np.flatnonzero(here == 0), np.flatnonzero(here == 1)))
+                if len(cost):
+                    key = table.column("id").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(a)) for c in by), key.take(pa.array(a)), key.take(pa.array(b)), pa.array(cost)], schema=arrow)
 
-    return pairs.groupBy(*by).applyInPandas(run, pairs.schema)
+    return rows.mapInArrow(run, shape)
 
 
 def away(p: np.ndarray, q: np.ndarray) -> np.ndarray:

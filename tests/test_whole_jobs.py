@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.operators import sequential
 from fathomline.plans import registry
@@ -164,3 +165,28 @@ def test_matching_of_boxes_equals_all_pairs_and_makes_few(spark, monkeypatch):
     at = rng.integers(0, 40, (n, 2)).astype(float)
     found = sequential.greedy(np.arange(n), rng.integers(0, 3, n), np.concatenate([at, at + 40], axis=1), 0.3)
     assert len(found) > n / 2 and sum(seen) < n * n / 12, sum(seen)  # over an eighth of all pairs overlap enough, and are of different models
+
+
+def test_assignment_by_places_is_optimal_and_makes_no_pairs(spark):
+    rng = np.random.default_rng(29)
+    n = 420
+    pdf = pd.DataFrame({"site": rng.integers(0, 4, n), "side": rng.integers(0, 2, n), "id": rng.permutation(n), "x": rng.integers(0, 6, n) * 9, "y": rng.integers(0, 6, n) * 9.5})
+    odd = pd.DataFrame({"site": [0, 0, None, 1], "side": [0, 1, 0, 1], "id": [None, 900, 901, 902], "x": [0, None, 0, 0], "y": [0, 0, 0, None]})
+    frame = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pd.concat([pdf, odd]).itertuples(index=False)], "site double, side double, id double, x double, y double")
+    frame = frame.withColumns({"site": F.col("site").cast("int"), "id": F.col("id").cast("long")}).repartition(5)
+    found = sequential.reassigned(frame.filter("side = 0").drop("side"), frame.filter("side = 1").drop("side"), ["site"], 12.0)
+    got = found.toPandas()
+    pdf = pdf.set_index("id")
+    for site, g in pdf.groupby("site"):
+        p, q = g[g.side == 0], g[g.side == 1]
+        d = np.hypot(p.x.to_numpy()[:, None] - q.x.to_numpy(), p.y.to_numpy()[:, None] - q.y.to_numpy())
+        want = sequential.assignment(np.where(d <= 12, d, np.inf))
+        mine = got[got.site == site]
+        assert len(mine) == len(want) > 20 and mine.cost.sum() == pytest.approx(sum(d[i, j] for i, j in want), abs=1e-2)
+    assert got.a.is_unique and got.b.is_unique
+    assert np.allclose(got.cost, np.hypot(pdf.loc[got.a, "x"].to_numpy() - pdf.loc[got.b, "x"].to_numpy(), pdf.loc[got.a, "y"].to_numpy() - pdf.loc[got.b, "y"].to_numpy()), atol=1e-4)
+    assert list(found.sort("site", "a").toPandas().b) == list(sequential.reassigned(*(frame.repartition(3).filter(f"side = {k}").drop("side") for k in (0, 1)), ["site"], 12.0).sort("site", "a").toPandas().b)
+    assert sequential.reassigned(*(frame.filter(f"side = {k} AND site > 9").drop("side") for k in (0, 1)), ["site"], 12.0).count() == 0
+    # rows of j13 are sorted and streamed; a join would make every pair of targets within reach a row
+    plan = registry.QUERIES["j13_d06_assignment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" not in plan
