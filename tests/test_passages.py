@@ -81,3 +81,47 @@ def test_every_item_is_sought_in_every_document(spark):
     want = {(i, k) for i, item in enumerate(asked) for k, x in enumerate([*texts, "xKelvin red"]) if item is not None and x is not None and item in x}
     got = [tuple(r) for r in plans.holders(docs, items, idf).collect()]
     assert set(got) == want and len(got) == len(want) > 14
+
+
+def test_searches_of_blocks_equal_the_join_on_terms(spark, tmp_path, monkeypatch):
+    """Pairs of a query and a text are added up and ranked where a block is read; none that is not among the first is a row."""
+    import numpy as np
+    import pyarrow.compute as pc
+    from pyspark.sql import functions as F
+
+    from fathomline.operators import blocks, search, windows
+
+    rng = np.random.default_rng(31)
+    pool = np.array([f"w{k}" for k in range(25)] + ["the", "x", "Ñandú", "W3", "İs"])
+    draw = lambda n: " ".join(rng.choice(pool, n)) + rng.choice([".", "\n", ""])
+    rows = spark.createDataFrame([*((f"{k // 4}#0.{k % 4}", draw(rng.integers(1, 30))) for k in range(300)), ("90#0.0", ""), ("91#0.0", None), ("92#0.0", "the x")], "key string, text string").repartition(3)
+    asked = spark.createDataFrame([*((k, draw(rng.integers(1, 6))) for k in range(20)), (90, "the"), (91, None), (92, "nowhere"), (93, "w1 w2")], "q int, text string")
+    weights, idf = search.index(rows, "key", "text")
+    want = search.hits(asked, "q", "text", (weights, idf), "key").cache()
+    expected = sorted(map(tuple, want.collect()))
+    first = sorted(map(tuple, search.top(want, "q", "key", 3).select("q", "key", "rank").collect()))
+    capped = lambda found: sorted(map(tuple, windows.capped_top(found.withColumn("doc", F.substring_index("key", "#", 1)), ["q"], "doc", [F.desc("score"), F.col("key")], 2, 5).select("q", "key", "rank").collect()))
+    soft = capped(want)
+    assert len(expected) > 3000
+    for size, weights_at_once in ((blocks.BLOCK, blocks.ASKED), (300, 10)):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        monkeypatch.setattr(blocks, "ASKED", weights_at_once)
+        path = str(tmp_path / f"index{size}")
+        blocks.build(rows, "key", "text", path)
+        stored = spark.read.parquet(f"{path}/blocks")
+        assert (stored.count() > 30) == (size == 300) and not (tmp_path / f"index{size}" / "counted").exists()
+        found = spark.read.parquet(f"{path}/idf")
+        assert {r["term"]: (r["df"], round(r["idf"], 9)) for r in found.collect()} == {r["term"]: (r["df"], round(r["idf"], 9)) for r in idf.collect()}
+        heavy = {r["term"]: round(r["w"], 9) for r in weights.groupBy("term").agg(F.max("w").alias("w")).collect()}
+        assert {r["term"]: round(r["w"], 9) for r in blocks.heaviest(stored).collect()} == heavy
+        q = blocks.asked(asked, "q", "text", found)
+        assert sorted(map(tuple, blocks.hits(stored, q, "q", "key").collect())) == expected
+        few = blocks.hits(stored, q, "q", "key", 3, positive=True)
+        assert sorted(map(tuple, search.top(few, "q", "key", 3).select("q", "key", "rank").collect())) == first
+        some = blocks.hits(stored, q, "q", "key", 5, group=lambda keys: pc.list_element(pc.split_pattern(keys, "#"), 0))
+        assert capped(some) == soft
+        if size > 300:
+            assert few.count() < len(expected) / 4 and some.count() < len(expected) / 2
+    none = str(tmp_path / "none")
+    blocks.build(rows.filter("key = 'none'"), "key", "text", none)
+    assert blocks.hits(spark.read.parquet(f"{none}/blocks"), blocks.asked(asked, "q", "text", spark.read.parquet(f"{none}/idf")), "q", "key").count() == 0
