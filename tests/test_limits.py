@@ -193,3 +193,45 @@ def test_the_counts_of_a_stored_index_cut_no_text_again(spark):
     found = registry.QUERIES["k11_stored_index"](spark, "/root/testdata/sf0.001")
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["of"]: r["n"] for r in found.collect()}["passages"] == registry.QUERIES["f35_passages"](spark, "/root/testdata/sf0.001").count()
+
+
+def widest_shuffle(frame):
+    """Rows of the largest exchange of a frame that was run."""
+    return max(int(n) for n in re.findall(r"\d+", ",".join(shuffled(frame._jdf.queryExecution().executedPlan()))))
+
+
+def shuffled(plan):
+    """Rows that each exchange of an executed plan wrote."""
+    out = []
+    if "Exchange" in plan.nodeName() and plan.metrics().contains("shuffleRecordsWritten"):
+        out.append(str(plan.metrics().get("shuffleRecordsWritten").get().value()))
+    inner = plan.plan() if plan.nodeName().endswith("QueryStage") else plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else None
+    for child in ([inner] if inner is not None else [plan.children().apply(k) for k in range(plan.children().size())]):
+        out += shuffled(child)
+    return out
+
+
+@pytest.mark.parametrize("held", [joins.HELD, 7])
+def test_pairs_of_rows_that_share_places_are_not_shuffled(spark, monkeypatch, held):
+    """Places carry their rows through the join; every pair of rows is made behind it, those of null ids too."""
+    monkeypatch.setattr(joins, "HELD", held)
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    rng = np.random.default_rng(33)
+    a, b = ([(None if i == 3 else i, f"n{i}", float(y) / 10, float(x) / 10) for i, y, x in zip(range(n), rng.integers(0, 2, n), rng.integers(0, 2, n), strict=True)] for n in (150, 130))
+    left, right = (spark.createDataFrame([*rows, (900, "nowhere", None, 0.1)], "id long, name string, lat double, lon double").repartition(3) for rows in (a, b))
+    want = sorted((str(i), n, str(k), m) for i, n, y, x in a for k, m, v, u in b if abs(y - v) + abs(x - u) < 0.15)
+    near = joins.near(left, right, 12000.0)
+    assert near.columns == ["id", "name", "lat", "lon", "r_id", "r_name", "r_lat", "r_lon", "distance_m"]
+    assert sorted((str(r["id"]), r["name"], str(r["r_id"]), r["r_name"]) for r in near.collect()) == want and len(want) > 10_000
+    assert widest_shuffle(near) < 1000
+    ids = joins.near(left.select("id", "lat", "lon"), right.select("id", "lat", "lon"), 12000.0, digits=1)
+    assert sorted((str(r["id"]), str(r["r_id"])) for r in ids.collect()) == sorted((i, k) for i, _, k, _ in want)
+    places = joins.near(left.select("lat", "lon"), right.select("lat", "lon"), 12000.0)
+    assert places.count() == len(want)
+
+    t = spark.createDataFrame([(i, 1 + k % 2, 0, "c", int(x * 300), int(y * 300)) for k, (i, _, x, y) in enumerate([*a, *b])], "id long, survey long, site long, class string, x int, y int").repartition(3)
+    rows = t.collect()
+    both = sorted((str(p["id"]), str(q["id"])) for p in rows for q in rows if p["survey"] + 1 == q["survey"] and np.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= 30)
+    found = triage.change_pairs(t, 30.0)
+    assert sorted((str(r["prior_id"]), str(r["id"])) for r in found.collect()) == both and len(both) > 9000
+    assert widest_shuffle(found) < 1000
